@@ -115,11 +115,12 @@ DELIMITERS = (",", ";", "\t", "|")
 def ledger_lines(spark: SparkSession, sf_dir: str, flawed: bool) -> DataFrame:
     """Lines of the files: file_key, delimiter, row_no, sub, event, fields. ``flawed`` adds odd lines.
 
-    A file holds at most FILE_ROWS rows of one ledger, whatever the length of the ledger.
+    A file holds at most FILE_ROWS rows of one ledger, whatever the length of the ledger. Flawed files are
+    all comma-separated: no delimiter can be told from ragged lines, and the comma is the default.
     """
     rows = ledger(spark, sf_dir)
     part = F.floor((F.col("row_no") - 2) / FILE_ROWS).cast("bigint")
-    key = F.pmod(F.col("file_id").cast("bigint"), F.lit(4)).cast("int")
+    key = F.lit(0) if flawed else F.pmod(F.col("file_id").cast("bigint"), F.lit(4)).cast("int")
     fields = F.array(*[F.col(c) for c in FILE_COLUMNS])
     lines = rows.select(
         F.concat_ws("-", "file_id", part.cast("string")).alias("file_key"),

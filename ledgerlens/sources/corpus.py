@@ -39,9 +39,9 @@ def with_file_id(files: DataFrame) -> DataFrame:
 
 
 def missing_files(registered: DataFrame, files: DataFrame) -> DataFrame:
-    """Registered files (column ``stored_filename``) with no file of that name in the listing."""
-    names = files.select(F.element_at(F.split("path", "/"), -1).alias("stored_filename"))
-    return registered.join(names, "stored_filename", "left_anti")
+    """Registered files (``source_file_id``) whose bytes are not among ``files``."""
+    present = files.select(F.sha2("content", 256).alias("source_file_id"))
+    return registered.join(present, "source_file_id", "left_anti")
 
 
 def with_encoding(files: DataFrame, encodings: tuple[str, ...] = ProfilingConfig.encodings) -> DataFrame:
