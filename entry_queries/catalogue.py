@@ -484,18 +484,19 @@ def u1_all_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def u4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return profiled(spark, sf_dir).issues.select("file_id", "issue_fingerprint")
+    issues = profile_catalog(spark, sf_dir).latest_issues()
+    return issues.select(F.col("source_file_id").alias("file_id"), "issue_fingerprint")
 
 
 @query
 def a17_issue_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    totals = rollup.issue_totals(profiled(spark, sf_dir).issues)
-    return totals.select("file_id", F.explode("issue_totals").alias("severity", "n"))
+    totals = rollup.issue_totals(profile_catalog(spark, sf_dir).latest_issues(), "source_file_id")
+    return totals.select(F.col("source_file_id").alias("file_id"), F.explode("issue_totals").alias("severity", "n"))
 
 
 @query
 def a18_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return profiled(spark, sf_dir).files.select("file_id", "status")
+    return profile_catalog(spark, sf_dir).latest_profiles().select(F.col("source_file_id").alias("file_id"), "status")
 
 
 def full_profile(columns: DataFrame) -> DataFrame:
@@ -639,15 +640,25 @@ def t6_run_page(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- stored profiles --------------------------------------------------------------------------------------
 
 
-def stored(spark: SparkSession, sf_dir: str, batch_id: str = "batch-1") -> P.StoredProfile:
-    nothing = spark.createDataFrame([], "file_id STRING")
-    return P.stored_form(profiled(spark, sf_dir), nothing, batch_id, M.BATCH_TIME, TABLE_CONFIG)
+_catalogs: dict[tuple[str, str], Catalog] = {}
+
+
+def profile_catalog(spark: SparkSession, sf_dir: str) -> Catalog:
+    """The ledgers profiled and stored; done once per session and folder, as reads come after a stored batch."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _catalogs:
+        catalog = Catalog(spark, scratch_path(spark, "catalog"))
+        nothing = spark.createDataFrame([], "file_id STRING")
+        result = P.stored_form(profiled(spark, sf_dir), nothing, "batch-1", M.BATCH_TIME, TABLE_CONFIG)
+        P.store_profile(catalog, result, "batch-1", M.BATCH_TIME)
+        _catalogs[key] = catalog
+    return _catalogs[key]
 
 
 @query
 def f6_issue_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = reads.filter_issues(
-        stored(spark, sf_dir).issues, severity="error", issue_code="invalid_date_value", status="open", column_name="posted_date"
+        profile_catalog(spark, sf_dir).latest_issues(), severity="error", issue_code="invalid_date_value", status="open", column_name="posted_date"
     )
     return found.select("issue_fingerprint", "source_file_id", "row_number", "observed_value")
 
@@ -655,7 +666,7 @@ def f6_issue_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def t1_issue_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A page of warnings with the total beside it."""
-    warnings = reads.filter_issues(stored(spark, sf_dir).issues, severity="warning")
+    warnings = reads.filter_issues(profile_catalog(spark, sf_dir).latest_issues(), severity="warning")
     page = reads.issue_page(warnings, 3, 50)
     return page.crossJoin(F.broadcast(reads.total(warnings))).select("issue_fingerprint", "source_file_id", "issue_code", "total")
 
@@ -663,23 +674,23 @@ def t1_issue_page(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def t2_profile_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All reruns of one file, newest first."""
-    first = stored(spark, sf_dir).profiles
+    first = profile_catalog(spark, sf_dir).latest_profiles()
     runs = first.unionByName(first.withColumns({"run_id": F.lit("rerun"), "generated_at": F.col("generated_at") + F.expr("INTERVAL 1 DAY")}))
     return reads.profile_page(runs, "8", 1, 20).select("source_file_id", "row_count", F.date_format("generated_at", "yyyy-MM-dd").alias("day"))
 
 
 @query
 def t3_column_page(spark: SparkSession, sf_dir: str) -> DataFrame:
-    result = stored(spark, sf_dir)
-    wanted = result.profiles.filter("source_file_id = '8'").select("profile_id")
-    columns = result.columns.join(wanted, "profile_id", "left_semi")
+    catalog = profile_catalog(spark, sf_dir)
+    wanted = catalog.latest_profiles().filter("source_file_id = '8'").select("profile_id")
+    columns = catalog.latest_column_profiles().join(wanted, "profile_id", "left_semi")
     return reads.page(columns, [F.col("column_position")], 2, 4, 200).select("column_position", "column_name", "inferred_data_type")
 
 
 @query
 def a17_profile_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    result = stored(spark, sf_dir)
-    totals = reads.profiles_with_totals(result.profiles, result.issues)
+    catalog = profile_catalog(spark, sf_dir)
+    totals = reads.profiles_with_totals(catalog.latest_profiles(), catalog.latest_issues())
     return totals.select("source_file_id", "status", *[
         F.coalesce(F.try_element_at("issue_totals", F.lit(s)), F.lit(0).cast("bigint")).alias(s)
         for s in ("critical", "error", "warning", "info")

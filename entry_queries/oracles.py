@@ -350,7 +350,7 @@ CLEAN_FILES = f"""
 lines AS (SELECT {FILE_KEY} AS file_key, {_DELIMITER} AS delimiter, row_no, [{", ".join(FILE_COLUMNS)}] AS fields,
    {", ".join(FILE_COLUMNS)} FROM ledger),
 files AS (SELECT file_key, delimiter, concat(concat_ws(delimiter, {", ".join(q(c) for c in FILE_COLUMNS)}), chr(10),
-   string_agg(concat_ws(delimiter, {", ".join(FILE_COLUMNS)}), '\n' ORDER BY row_no), chr(10)) AS text FROM lines GROUP BY ALL),
+   string_agg(concat_ws(delimiter, {", ".join(FILE_COLUMNS)}), '\n' ORDER BY row_no), chr(10)) AS text FROM lines GROUP BY file_key, delimiter),
 known AS (SELECT *, sha256(text) AS file_id FROM files)"""
 FLAWED = f"""
 shaped AS (SELECT {FILE_KEY} AS file_key, row_no, CASE WHEN row_no % 11 = 0 THEN [{", ".join(FILE_COLUMNS)}, 'extra', 'extra']

@@ -49,10 +49,6 @@ def strip(c: Column) -> Column:
     return F.trim(c, F.lit(WHITESPACE))
 
 
-def percent_text(c: Column) -> Column:
-    return F.format_string("%.2f%%", c)
-
-
 def decimal_text(c: Column, scale: Column) -> Column:
     """Plain text of a DECIMAL with the given number of decimal places (at most its own scale)."""
     plain = c.cast("decimal(38,10)").cast("string")

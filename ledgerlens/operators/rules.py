@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from ledgerlens.config import ProfilingConfig
 from ledgerlens.functions import dates, money
-from ledgerlens.functions.text import decimal_text, issue_fingerprint, percent_text
+from ledgerlens.functions.text import decimal_text, issue_fingerprint, let_sql
 from ledgerlens.operators.concepts import MONEY, NOT_NULL
 from ledgerlens.operators.ordered import block_of
 
@@ -61,122 +61,107 @@ _FIELDS = (
 
 def _finding(
     rule: str,
-    column: Column | None = None,
-    row: Column | None = None,
-    observed: Column | None = None,
-    expected: Column | None = None,
-    message: Column | None = None,
-) -> Column:
+    column: str = "NULL",
+    row: str = "NULL",
+    observed: str = "NULL",
+    expected: str = "NULL",
+    message: str | None = None,
+) -> str:
+    """SQL struct of one finding; the arguments are SQL over the columns at hand."""
     severity, text = RULES[rule]
     code = "invalid_date_value" if rule == "ambiguous_date" else rule
-    values = (column, row, F.lit(code), F.lit("data_quality"), F.lit(severity), message, observed, expected)
-    defaults = dict(message=F.lit(text))
-    return F.struct(
-        *[
-            (v if v is not None else defaults.get(name, F.lit(None))).cast(kind).alias(name)
-            for (name, kind), v in zip(_FIELDS[1:], values)
-        ]
-    )
+    values = (column, row, f"'{code}'", "'data_quality'", f"'{severity}'", message or f"'{text}'", observed, expected)
+    fields = (f"'{name}', CAST({v} AS {kind})" for (name, kind), v in zip(_FIELDS[1:], values))
+    return f"named_struct({', '.join(fields)})"
+
+
+def _case(*branches: tuple[str, str]) -> str:
+    """The first finding whose condition holds, else NULL."""
+    return "CASE " + " ".join(f"WHEN {condition} THEN {found}" for condition, found in branches) + " END"
 
 
-def _emit(df: DataFrame, finding: Column) -> DataFrame:
-    """Rows for which ``finding`` (NULL where the rule does not apply) holds a finding."""
-    found = df.select("file_id", finding.alias("f")).filter(F.col("f").isNotNull())
-    return found.select("file_id", "f.*")
+def _emit(df: DataFrame, *findings: str) -> DataFrame:
+    """All findings (SQL, NULL where a rule does not apply) of every row, worked out in one pass."""
+    return df.selectExpr("file_id", f"inline(array_compact(array({', '.join(findings)})))")
 
 
-def _emit_all(df: DataFrame, findings: list[Column]) -> DataFrame:
-    """Several independent findings per row in one pass."""
-    return df.select("file_id", F.explode(F.array_compact(F.array(*findings))).alias("f")).select("file_id", "f.*")
+_USABLE = "exists(names, n -> n <> '')"
 
 
 def file_class_rules(classified: DataFrame) -> DataFrame:
     """``classified`` as from ``classify_files``."""
-    kind = F.col("file_class")
     return _emit(
         classified,
-        F.when(kind == "unsupported_encoding", _finding("unsupported_encoding")).when(
-            kind == "empty_file", _finding("empty_file")
+        _case(
+            ("file_class = 'unsupported_encoding'", _finding("unsupported_encoding")),
+            ("file_class = 'empty_file'", _finding("empty_file")),
         ),
     )
 
 
 def header_rules(headers: DataFrame) -> DataFrame:
     """``headers`` as from ``extract_headers``: missing, blank and repeated column names."""
-    missing = _emit(headers, F.when(~F.col("usable"), _finding("missing_header")))
-    columns = headers.filter("usable").select("file_id", "names", F.posexplode("names").alias("position", "name"))
-    repeated = F.size(F.filter("names", lambda n: n == F.col("name"))) > 1
+    missing = _emit(headers, _case(("NOT usable", _finding("missing_header"))))
+    columns = headers.filter("usable").selectExpr("file_id", "names", "posexplode(names) AS (position, name)")
+    blank = _finding("blank_column_name", row="1", observed="position + 1")
+    repeated = "size(filter(names, n -> n = name)) > 1"
     names = _emit(
-        columns,
-        F.when(
-            F.col("name") == "",
-            _finding("blank_column_name", row=F.lit(1), observed=(F.col("position") + 1).cast("string")),
-        ).when(repeated, _finding("duplicate_column_name", column=F.col("name"))),
+        columns, _case(("name = ''", blank), (repeated, _finding("duplicate_column_name", column="name")))
     )
     return missing.unionByName(names)
 
 
 def concept_rules(headers: DataFrame) -> DataFrame:
     """Files with a usable header but no amount, debit or credit column."""
-    money_columns = F.array(F.lit("amount"), F.lit("debit"), F.lit("credit"))
-    known = F.filter("concepts", lambda c: c.isNotNull())
+    known = "arrays_overlap(array_compact(concepts), array('amount', 'debit', 'credit'))"
     return _emit(
-        headers.filter("usable"),
-        F.when(~F.arrays_overlap(known, money_columns), _finding("required_financial_field_not_found")),
+        headers.filter("usable"), _case((f"NOT {known}", _finding("required_financial_field_not_found")))
     )
 
 
 def shape_rules(records: DataFrame) -> DataFrame:
     """Blank records and records wider or narrower than the header; ``records`` as written, header included."""
-    width, n = F.size("names"), F.size("fields")
-    usable = F.exists("names", lambda name: name != "")
-    wide_or_narrow = dict(row=F.col("record_no"), observed=n.cast("string"), expected=width.cast("string"))
+    sized = dict(row="record_no", observed="size(fields)", expected="size(names)")
     return _emit(
-        records.filter((F.col("record_no") > 1) & usable),
-        F.when(F.col("row_no").isNull(), _finding("completely_empty_row", row=F.col("record_no")))
-        .when(n > width, _finding("row_too_many_fields", **wide_or_narrow))
-        .when(n < width, _finding("row_too_few_fields", **wide_or_narrow)),
+        records.filter(f"record_no > 1 AND {_USABLE}"),
+        _case(
+            ("row_no IS NULL", _finding("completely_empty_row", row="record_no")),
+            ("size(fields) > size(names)", _finding("row_too_many_fields", **sized)),
+            ("size(fields) < size(names)", _finding("row_too_few_fields", **sized)),
+        ),
     )
 
 
 def count_rules(counts: DataFrame, config: ProfilingConfig = ProfilingConfig()) -> DataFrame:
     """Row limit reached and duplicate rows; ``counts`` as from ``file_counts``."""
-    duplicates = F.col("duplicate_row_count")
-    return _emit_all(
-        counts,
-        [
-            F.when(F.col("row_count") >= F.lit(config.max_rows), _finding("profiling_row_limit")),
-            F.when(
-                duplicates > 0,
-                _finding(
-                    "duplicate_rows",
-                    observed=duplicates.cast("string"),
-                    message=F.format_string(RULES["duplicate_rows"][1], duplicates),
-                ),
-            ),
-        ],
+    limit = "false" if config.max_rows is None else f"row_count >= {config.max_rows}"
+    message = f"format_string('{RULES['duplicate_rows'][1]}', duplicate_row_count)"
+    duplicates = _finding("duplicate_rows", observed="duplicate_row_count", message=message)
+    return _emit(
+        counts, _case((limit, _finding("profiling_row_limit"))), _case(("duplicate_row_count > 0", duplicates))
     )
 
 
 def cell_rules(cells: DataFrame) -> DataFrame:
     """Findings about single cells of financial columns; at most one per cell, in one pass without a shuffle."""
-    concept, value = F.col("concept"), F.col("value")
-    where = dict(column=F.col("name"), row=F.col("row_no"))
-    observed = dict(**where, observed=value)
+    where = dict(column="name", row="row_no")
+    observed = dict(**where, observed="value")
     # The parsers run only on the columns they are for.
-    bad_money = concept.isin(*MONEY) & ~money.parse("value")["valid"]
-    day = F.when(concept == "transaction_date", dates.parse("value"))
+    day = _case(
+        ("_day.ambiguous", _finding("ambiguous_date", **observed)),
+        ("_day.value IS NULL", _finding("invalid_date_value", **observed)),
+    )
     return _emit(
-        cells.filter(concept.isNotNull()),
-        F.when(
-            value == "",
-            F.when(concept.isin(*NOT_NULL), _finding("unexpected_null_value", **where)).when(
-                concept == "identifier", _finding("missing_transaction_identifier", **where)
+        cells.filter("concept IS NOT NULL"),
+        _case(
+            (f"value = '' AND concept IN {NOT_NULL}", _finding("unexpected_null_value", **where)),
+            ("value = '' AND concept = 'identifier'", _finding("missing_transaction_identifier", **where)),
+            (
+                f"concept IN {MONEY} AND NOT {money.parse_sql('value')}.valid",
+                _finding("invalid_monetary_value", **observed),
             ),
-        )
-        .when(bad_money, _finding("invalid_monetary_value", **observed))
-        .when(day["ambiguous"], _finding("ambiguous_date", **observed))
-        .when((concept == "transaction_date") & day["value"].isNull(), _finding("invalid_date_value", **observed)),
+            ("concept = 'transaction_date'", let_sql("_day", dates.parse_sql("value"), day)),
+        ),
     )
 
 
@@ -185,21 +170,14 @@ def repeated_identifier_rules(cells: DataFrame, block_rows: int | None = None) -
 
     One identifier may fill a large part of all rows, so rows are joined on (identifier, block of rows).
     """
-    ids = cells.filter((F.col("concept") == "identifier") & (F.col("value") != "")).withColumn(
-        "block", block_of("row_no", block_rows)
-    )
+    ids = cells.filter("concept = 'identifier' AND value <> ''").withColumn("block", block_of("row_no", block_rows))
     key = ["file_id", "position", "value"]
     occurring = ids.groupBy(*key, "block").agg(F.count(F.lit(1)).alias("cnt"))
     repeated = occurring.groupBy(*key).agg(F.sum("cnt").alias("cnt")).filter("cnt > 1")
     blocks = occurring.join(repeated, key, "left_semi")
     return _emit(
         ids.join(blocks.select(*key, "block"), [*key, "block"], "left_semi"),
-        _finding(
-            "duplicate_transaction_identifier",
-            column=F.col("name"),
-            row=F.col("row_no"),
-            observed=F.col("value"),
-        ),
+        _finding("duplicate_transaction_identifier", column="name", row="row_no", observed="value"),
     )
 
 
@@ -220,63 +198,49 @@ def numeric_rules(cells: DataFrame, columns: DataFrame, block_rows: int | None =
     blocks = F.sequence(F.lit(0).cast("bigint"), block_of(F.col("row_count") + 1, block_rows))
     suspects = suspects.select("file_id", "position", F.explode(blocks).alias("block"))
     others = cells.filter(
-        F.col("concept").isNull() & (F.col("value") != "") & ~money.parse("value", "false")["valid"]
+        f"concept IS NULL AND value <> '' AND NOT {money.parse_sql('value', 'false')}.valid"
     ).withColumn("block", block_of("row_no", block_rows))
     return _emit(
         others.join(suspects, ["file_id", "position", "block"], "left_semi"),
-        _finding("invalid_numeric_value", column=F.col("name"), row=F.col("row_no"), observed=F.col("value")),
+        _finding("invalid_numeric_value", column="name", row="row_no", observed="value"),
     )
 
 
 def column_rules(columns: DataFrame, config: ProfilingConfig = ProfilingConfig()) -> DataFrame:
     """Findings about whole columns; several may apply to one."""
-    where = dict(column=F.col("column_name"))
-    filled = F.col("non_null_count")
-    share = F.coalesce(F.try_divide(F.col("null_count") * 100.0, F.col("row_count")), F.lit(0.0))
-    threshold = config.null_percentage_threshold
-    return _emit_all(
+    threshold = float(config.null_percentage_threshold)
+    share = "coalesce(try_divide(null_count * 100.0D, row_count), 0.0D)"
+    formats = _finding("inconsistent_date_formats", column="column_name", observed="array_join(date_formats, ', ')")
+    nulls = _finding(
+        "high_null_percentage",
+        column="column_name",
+        observed=f"format_string('%.2f%%', {share})",
+        expected=f"'<{threshold:.2f}%'",
+    )
+    constant = _finding("constant_value_column", column="column_name", observed="only_value")
+    return _emit(
         columns,
-        [
-            F.when(
-                F.size("date_formats") > 1,
-                _finding("inconsistent_date_formats", **where, observed=F.array_join("date_formats", ", ")),
-            ),
-            F.when(filled == 0, _finding("all_null_column", **where)),
-            F.when(
-                (F.col("unique_count") == 1) & (filled > 1),
-                _finding("constant_value_column", **where, observed=F.col("only_value")),
-            ),
-            F.when(
-                (share >= threshold) & (filled > 0),
-                _finding(
-                    "high_null_percentage",
-                    **where,
-                    observed=percent_text(share),
-                    expected=F.concat(F.lit("<"), percent_text(F.lit(float(threshold)))),
-                ),
-            ),
-        ],
+        _case(("size(date_formats) > 1", formats)),
+        _case(("non_null_count = 0", _finding("all_null_column", column="column_name"))),
+        _case(("unique_count = 1 AND non_null_count > 1", constant)),
+        _case((f"{share} >= {threshold!r}D AND non_null_count > 0", nulls)),
     )
 
 
 def balance_rules(running: DataFrame) -> DataFrame:
     """``running`` as from ``running_balance``."""
-    where = dict(column=F.col("balance_name"), row=F.col("row_no"), observed=F.col("reported_text"))
-    return _emit_all(
-        running,
-        [
-            F.when(
-                ~F.col("matches"),
-                _finding("invalid_running_balance", **where, expected=decimal_text(F.col("expected"), F.col("scale"))),
-            ),
-            F.when(F.col("reported") < 0, _finding("unexpected_negative_balance", **where)),
-        ],
+    where = dict(column="balance_name", row="row_no", observed="reported_text")
+    texts = running.withColumn("expected_text", decimal_text(F.col("expected"), F.col("scale")))
+    return _emit(
+        texts,
+        _case(("NOT matches", _finding("invalid_running_balance", **where, expected="expected_text"))),
+        _case(("reported < 0", _finding("unexpected_negative_balance", **where))),
     )
 
 
 def verifiability_rules(summary: DataFrame) -> DataFrame:
     """``summary`` as from ``balance_summary``."""
-    return _emit(summary, F.when(~F.col("verifiable"), _finding("running_balance_not_verifiable")))
+    return _emit(summary, _case(("NOT verifiable", _finding("running_balance_not_verifiable"))))
 
 
 def all_issues(*findings: DataFrame) -> DataFrame:
