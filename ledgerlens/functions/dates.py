@@ -15,10 +15,13 @@ from ledgerlens.functions.text import ascii_digits_sql, let_sql, strip_sql
 # Labels of the accepted formats, in text order.
 FORMATS = ("%Y-%m-%d", "%Y-%m-%d %H:%M:%S", "%d/%m/%Y", "%m/%d/%Y", "%m/%d/%Y %H:%M:%S", "ISO-8601")
 
+_HOUR, _SIXTY = r"(?:[01]\d|2[0-3])", r"[0-5]\d"
+_PART = rf"(?:{_HOUR}(?::{_SIXTY}(?::{_SIXTY})?)?|{_HOUR}(?:{_SIXTY}(?:{_SIXTY})?)?)"
+_OFFSET = rf"[+-](?:{_HOUR}(?::\d\d(?::\d\d)?)?|{_HOUR}(?:\d\d(?:\d\d)?)?)(?:[.,]\d+)?"
+# The common ISO parser takes a fraction after any part, one with its point missing, and overlooks what
+# stands between a full fraction, or one character between a part, and an offset.
 _TIME = (
-    r"(?:[01]\d|2[0-3])"
-    r"(?:(?::[0-5]\d(?::[0-5]\d(?:[.,]\d+)?)?)|(?:[0-5]\d(?:[0-5]\d(?:[.,]\d+)?)?))?"
-    r"(?:[+-](?:[01]\d|2[0-3])(?:(?::[0-5]\d(?::[0-5]\d(?:\.\d+)?)?)|(?:[0-5]\d(?:[0-5]\d(?:\.\d+)?)?))?)?"
+    rf"(?:{_PART}(?:[.,]\d+)?(?:{_OFFSET})?|{_HOUR}{_SIXTY}{_SIXTY}\d{{2,}}(?:{_OFFSET})?|{_PART}(?:[.,]\d{{6}}[^+-]*|[^+-]){_OFFSET})"
 )
 _TAIL = rf"(?:[\s\S]{_TIME})?\z"
 _YEAR = r"\A(?!0000)\d{4}"
@@ -40,9 +43,10 @@ def _two(part: str) -> str:
 
 def _clock_sql(tail: str) -> str:
     """Clock text of an ISO tail (separator, time, offset); midnight when there is no tail."""
-    packed = "rpad(replace(regexp_extract(_tail, r'^[\\s\\S]([0-9:]*)', 1), ':', ''), 6, '0')"
+    digits = "replace(regexp_extract(_tail, r'^[\\s\\S]([0-9:]*)', 1), ':', '')"
+    packed = f"rpad(regexp_extract({digits}, r'^((?:[0-9][0-9])*)', 1), 6, '0')"
     # An offset may carry a fraction too; the time's own one follows its seconds directly.
-    fraction = "rpad(regexp_extract(_tail, r'^[\\s\\S][0-9:]+[.,](\\d+)', 1), 6, '0')"
+    fraction = "rpad(regexp_extract(_tail, r'^[\\s\\S](?:[0-9]{6}(?=[0-9]{2})|[0-9:]+[.,])([0-9]+)', 1), 6, '0')"
     clock = f"concat(substr(_p, 1, 2), ':', substr(_p, 3, 2), ':', substr(_p, 5, 2), '.', {fraction})"
     return let_sql("_tail", tail, let_sql("_p", packed, clock))
 

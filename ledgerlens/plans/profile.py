@@ -19,6 +19,7 @@ from ledgerlens.operators.shaping import data_records, header_cells, limit_rows,
 from ledgerlens.plans.register import run_id
 from ledgerlens.sources.catalog import Catalog
 from ledgerlens.sources.corpus import (
+    EMPTY_FILE,
     extract_headers,
     parse_files,
     parsed_files,
@@ -286,8 +287,11 @@ def profile_registered(
     found = materialize(hashes.groupBy("file_id").agg(F.min("path").alias("path")), "found")
     chosen = materialize(found.join(wanted, "file_id", "left_semi"), "chosen")
     listed = F.broadcast(chosen) if chosen.count() <= BROADCAST_FILES else chosen
-    files = read_corpus(catalog.spark, directory).join(listed, "path")
-    missing = wanted.join(found, "file_id", "left_anti")
+    empty = wanted.filter(F.col("file_id") == EMPTY_FILE).select(
+        "file_id", F.lit(0).cast("bigint").alias("length"), F.lit(b"").alias("content")
+    )
+    files = read_corpus(catalog.spark, directory).join(listed, "path").select("file_id", "length", "content").unionByName(empty)
+    missing = wanted.filter(F.col("file_id") != EMPTY_FILE).join(found, "file_id", "left_anti")
     stored = stored_form(profile_files(files, config), missing, batch_id, now, config)
     store_profile(catalog, stored, batch_id, now)
     return stored

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from ledgerlens.config import RegistrationConfig
 from ledgerlens.operators.registration import MESSAGES, check_files, mark_duplicates
 from ledgerlens.sources.catalog import Catalog
-from ledgerlens.sources.corpus import read_corpus
+from ledgerlens.sources.corpus import EMPTY_FILE, read_corpus
 
 RUN_TYPE = "source_file_upload"
 STEP = "receive_and_register"
@@ -34,10 +34,17 @@ def read_landing(
     """Manifest rows (path, original_filename, mime_type, source_system_code, discovered_at) with size and checksum.
 
     Files above the limit are listed but never opened. The bytes are hashed in the scan and go no further.
+    The file source lists no empty file, so a manifest row without a listed file stands for one.
     """
     listing = read_corpus(spark, directory).select("path", "length")
     hashes = read_corpus(spark, directory, config.max_bytes).select("path", F.sha2("content", 256).alias("sha256_checksum"))
-    return manifest.join(listing, "path").join(hashes, "path", "left")
+    landed = manifest.join(listing, "path", "left").join(hashes, "path", "left")
+    return landed.withColumns(
+        {
+            "length": F.coalesce("length", F.lit(0).cast("bigint")),
+            "sha256_checksum": F.when(F.col("length").isNull(), EMPTY_FILE).otherwise(F.col("sha256_checksum")),
+        }
+    )
 
 
 def landing_of(files: DataFrame, config: RegistrationConfig = RegistrationConfig()) -> DataFrame:

@@ -6,6 +6,7 @@ file is a bounded piece of work of one task, and the corpus is spread over files
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -15,6 +16,8 @@ from ledgerlens.config import ProfilingConfig
 from ledgerlens.functions.text import strip
 from ledgerlens.operators.concepts import concepts_of
 
+# Fixed value: the checksum of no bytes at all. The file source lists no empty file.
+EMPTY_FILE = hashlib.sha256(b"").hexdigest()
 BOM = b"\xef\xbb\xbf"
 SNIFF_CHARACTERS = 8192
 # Records per output row of the parser: keeps every row small however many records a file holds.
