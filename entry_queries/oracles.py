@@ -211,7 +211,7 @@ DAYS = (
 NULLS = (
     "CAST(n_rows AS BIGINT) AS row_count, CAST(n_null AS BIGINT) AS null_count, CAST(n_full AS BIGINT) AS non_null_count"
 )
-NULL_SHARE = "CAST(CAST(n_null * 100.0 / n_rows AS DECIMAL(7,4)) AS VARCHAR) AS null_percentage"
+NULL_SHARE = "CAST(CAST(CAST(n_null AS DOUBLE) / CAST(n_rows AS DOUBLE) * 100 AS DECIMAL(7,4)) AS VARCHAR) AS null_percentage"
 DISTINCT = "n_distinct AS unique_count, CAST(greatest(n_full - n_distinct, 0) AS BIGINT) AS duplicate_value_count"
 
 # --- ledgers: m = movement, r = reported balance ---
@@ -312,8 +312,8 @@ R_COLUMN = union(
     finding("typed", "constant_value_column", "info", "Column contains one constant value.", column="name", observed="lo_text",
             where="n_distinct = 1 AND n_full > 1"),
     finding("typed", "high_null_percentage", "warning", "Column null percentage exceeds the configured threshold.", column="name",
-            observed="printf('%.2f%%', CAST(n_null AS DOUBLE) * 100.0 / CAST(n_rows AS DOUBLE))", expected="'<50.00%'",
-            where="CAST(n_null AS DOUBLE) * 100.0 / CAST(n_rows AS DOUBLE) >= 50 AND n_full > 0"),
+            observed="printf('%.2f%%', CAST(n_null AS DOUBLE) / CAST(n_rows AS DOUBLE) * 100)", expected="'<50.00%'",
+            where="CAST(n_null AS DOUBLE) / CAST(n_rows AS DOUBLE) * 100 >= 50 AND n_full > 0"),
 )
 R_BALANCE = union(
     finding("checked", "invalid_running_balance", "error", "Reported running balance does not match calculated balance.",

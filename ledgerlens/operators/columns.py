@@ -16,6 +16,8 @@ from ledgerlens.operators.ordered import in_ordered_parts
 
 COLUMN = ["file_id", "position", "name", "concept"]
 MONEY_COLUMN = f"coalesce(concept IN {MONEY}, false)"
+# Percentage of NULL values as a DOUBLE, 0 without rows.
+NULL_SHARE = "coalesce(try_divide(CAST(null_count AS DOUBLE), row_count) * 100, 0D)"
 # Texts that count as booleans.
 BOOLEANS = ("true", "false", "yes", "no", "0", "1")
 
@@ -155,7 +157,7 @@ def column_statistics(parsed: DataFrame, config: ProfilingConfig = ProfilingConf
         F.col("rows").alias("row_count"),
         F.col("nulls").alias("null_count"),
         (F.col("rows") - F.col("nulls")).alias("non_null_count"),
-        F.coalesce(F.try_divide(F.col("nulls") * 100.0, F.col("rows")), F.lit(0.0))
+        F.expr(NULL_SHARE.replace("null_count", "nulls").replace("row_count", "rows"))
         .cast("decimal(7,4)")
         .alias("null_percentage"),
         F.col("distinct").alias("unique_count"),

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from ledgerlens.config import ProfilingConfig
 from ledgerlens.functions import dates, money
 from ledgerlens.functions.text import decimal_text, issue_fingerprint, let_sql
+from ledgerlens.operators.columns import NULL_SHARE
 from ledgerlens.operators.concepts import MONEY, NOT_NULL
 from ledgerlens.operators.ordered import block_of
 
@@ -209,12 +210,12 @@ def numeric_rules(cells: DataFrame, columns: DataFrame, block_rows: int | None =
 def column_rules(columns: DataFrame, config: ProfilingConfig = ProfilingConfig()) -> DataFrame:
     """Findings about whole columns; several may apply to one."""
     threshold = float(config.null_percentage_threshold)
-    share = "coalesce(try_divide(null_count * 100.0D, row_count), 0.0D)"
+    share = NULL_SHARE
     formats = _finding("inconsistent_date_formats", column="column_name", observed="array_join(date_formats, ', ')")
     nulls = _finding(
         "high_null_percentage",
         column="column_name",
-        observed=f"format_string('%.2f%%', {share})",
+        observed=f"concat(format_number({share}, 2), '%')",
         expected=f"'<{threshold:.2f}%'",
     )
     constant = _finding("constant_value_column", column="column_name", observed="only_value")
