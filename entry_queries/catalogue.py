@@ -18,6 +18,7 @@ from ledgerlens.streaming.intake import landing_stream, start_intake
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
+_catalogs: dict[tuple[str, str, str], Catalog] = {}
 TABLE_CONFIG = ProfilingConfig(max_rows=None)
 LANDING_CONFIG = RegistrationConfig(max_bytes=16_000)
 
@@ -324,11 +325,11 @@ def a15_file_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return L.ledger_view(I.ledger_records(spark, sf_dir))
+    return tables.ledger_from_table(I.ledger(spark, sf_dir), "file_id", I.LEDGER_COLUMNS, "row_no")
 
 
 def sides(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return L.ledger_view(I.sides_records(spark, sf_dir))
+    return tables.ledger_from_table(I.sides(spark, sf_dir), "file_id", I.SIDES_COLUMNS, "row_no")
 
 
 def _totals(df: DataFrame) -> DataFrame:
@@ -556,11 +557,6 @@ def two_waves(spark: SparkSession, sf_dir: str) -> tuple[R.Registration, R.Regis
     return first, second
 
 
-def both(spark: SparkSession, sf_dir: str, part: str) -> DataFrame:
-    first, second = two_waves(spark, sf_dir)
-    return getattr(first, part).unionByName(getattr(second, part))
-
-
 @query
 def j4_duplicate_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents as one batch without further checks: which copies are duplicates?"""
@@ -571,12 +567,14 @@ def j4_duplicate_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def b1_register_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.upload_responses(both(spark, sf_dir, "outcomes")).drop("run_id")
+    first, second = two_waves(spark, sf_dir)
+    return R.upload_responses(first.outcomes.unionByName(second.outcomes)).drop("run_id")
 
 
 @query
 def b2_register_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    runs, steps = both(spark, sf_dir, "runs"), both(spark, sf_dir, "steps")
+    first, second = two_waves(spark, sf_dir)
+    runs, steps = first.runs.unionByName(second.runs), first.steps.unionByName(second.steps)
     return runs.join(steps.select("run_id", "step_name", "metadata_json"), "run_id").select(
         "run_id", "run_type", "status", "source_file_id", "error_message", "step_name", "metadata_json"
     )
@@ -591,6 +589,14 @@ def k1_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def stored_registrations(spark: SparkSession, sf_dir: str) -> Catalog:
+    """The catalogue of both waves, stored once per session and folder for the queries that only read it."""
+    key = (spark.sparkContext.applicationId, sf_dir, "registrations")
+    if key not in _catalogs:
+        _catalogs[key] = registered_catalog(spark, sf_dir)
+    return _catalogs[key]
+
+
 def registered_catalog(spark: SparkSession, sf_dir: str) -> Catalog:
     catalog = Catalog(spark, scratch_path(spark, "catalog"))
     systems, landed = M.source_systems(spark, sf_dir), landing(spark, sf_dir)
@@ -600,22 +606,22 @@ def registered_catalog(spark: SparkSession, sf_dir: str) -> Catalog:
         batch = R.register_batch(
             landed.filter(lang).drop("lang"), systems, catalog.read("source_files"), batch_id, M.BATCH_TIME, LANDING_CONFIG
         )
-        R.store_registration(catalog, R.Registration(*[materialize(p, "batch") for p in batch]), batch_id, M.BATCH_TIME)
+        R.store_registration(catalog, batch, batch_id, M.BATCH_TIME)
     return catalog
 
 
 @query
 def j1_files_with_system(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = both(spark, sf_dir, "files")
-    return reads.files_with_system(files, M.source_systems(spark, sf_dir)).select(
+    catalog = stored_registrations(spark, sf_dir)
+    return reads.files_with_system(catalog.read("source_files"), catalog.read("source_systems")).select(
         "source_file_id", "original_filename", "source_system_code", "source_system_name"
     )
 
 
 @query
 def j2_runs_with_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    runs, steps = both(spark, sf_dir, "runs"), both(spark, sf_dir, "steps")
-    nested = reads.runs_with_steps(runs, steps)
+    catalog = stored_registrations(spark, sf_dir)
+    nested = reads.runs_with_steps(catalog.read("pipeline_runs"), catalog.read("pipeline_run_steps"))
     step = F.element_at("steps", 1)
     return nested.select(
         "run_id", "status", F.size("steps").alias("n_steps"), step["step_name"].alias("step_name"), step["status"].alias("step_status")
@@ -624,28 +630,27 @@ def j2_runs_with_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def t4_system_page(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reads.system_page(M.source_systems(spark, sf_dir), 2, 5).select("code", "name", "is_active")
+    return reads.system_page(stored_registrations(spark, sf_dir).read("source_systems"), 2, 5).select("code", "name", "is_active")
 
 
 @query
 def t5_file_page(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reads.file_page(both(spark, sf_dir, "files"), 2, 20).select("source_file_id", "original_filename")
+    return reads.file_page(stored_registrations(spark, sf_dir).read("source_files"), 2, 20).select("source_file_id", "original_filename")
 
 
 @query
 def t6_run_page(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reads.run_page(both(spark, sf_dir, "runs"), 3, 20).select("run_id", "status")
+    return reads.run_page(stored_registrations(spark, sf_dir).read("pipeline_runs"), 3, 20).select("run_id", "status")
 
 
 # --- stored profiles --------------------------------------------------------------------------------------
 
 
-_catalogs: dict[tuple[str, str], Catalog] = {}
 
 
 def profile_catalog(spark: SparkSession, sf_dir: str) -> Catalog:
     """The ledgers profiled and stored; done once per session and folder, as reads come after a stored batch."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+    key = (spark.sparkContext.applicationId, sf_dir, "profiles")
     if key not in _catalogs:
         catalog = Catalog(spark, scratch_path(spark, "catalog"))
         nothing = spark.createDataFrame([], "file_id STRING")

@@ -95,15 +95,18 @@ def ledger_records(spark: SparkSession, sf_dir: str, columns: list[str] | None =
     return records_from_table(ledger(spark, sf_dir), "file_id", columns or LEDGER_COLUMNS, row_no="row_no")
 
 
-def sides_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+def sides(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ledgers with debit and credit columns instead of amounts."""
     amount = F.col("amount")
     out = amount.startswith("(") | amount.startswith("-")
     plain = F.regexp_replace(amount, r"^PHP |[$()-]", "")
-    df = ledger(spark, sf_dir).withColumns(
+    return ledger(spark, sf_dir).withColumns(
         {"debit": F.when(out, plain).otherwise(""), "credit": F.when(out, "").otherwise(amount)}
     )
-    return records_from_table(df, "file_id", SIDES_COLUMNS, row_no="row_no")
+
+
+def sides_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return records_from_table(sides(spark, sf_dir), "file_id", SIDES_COLUMNS, row_no="row_no")
 
 
 # --- files ------------------------------------------------------------------------------------------------

@@ -36,20 +36,28 @@ def data_records(records: DataFrame) -> DataFrame:
 
 
 def limit_rows(records: DataFrame, n: int) -> DataFrame:
-    """The first ``n`` kept rows of every file; nothing after the n-th one is left, blank records included."""
+    """The first ``n`` kept rows of every file; nothing after the n-th one is left, blank records included.
+
+    Rows tell by their number; only blank records are joined to where their file stops.
+    """
+    numbered = records.filter((F.col("record_no") == 1) | (F.col("row_no") <= n + 1))
     last = records.filter(F.col("row_no") == n + 1).select("file_id", F.col("record_no").alias("_last"))
-    return (
-        records.join(last, "file_id", "left")
-        .filter(F.col("_last").isNull() | (F.col("record_no") <= F.col("_last")))
+    blank = (
+        records.filter((F.col("record_no") > 1) & F.col("row_no").isNull())
+        .join(last, "file_id", "left")
+        .filter(F.col("_last").isNull() | (F.col("record_no") < F.col("_last")))
         .drop("_last")
     )
+    return numbered.unionByName(blank)
 
 
 def to_cells(records: DataFrame) -> DataFrame:
-    """One row per cell: file_id, record_no, row_no, position, name, concept, value."""
-    return records.select(
-        "file_id", "record_no", "row_no", "names", "concepts", F.posexplode("fields").alias("position", "value")
-    ).select(
+    """One row per cell: file_id, record_no, row_no, position, name, concept, value.
+
+    Every record has at least one field. The outer form keeps Spark from testing that on each record.
+    """
+    exploded = F.posexplode_outer("fields").alias("position", "value")
+    return records.select("file_id", "record_no", "row_no", "names", "concepts", exploded).select(
         "file_id",
         "record_no",
         "row_no",

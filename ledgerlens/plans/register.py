@@ -8,6 +8,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ledgerlens.config import RegistrationConfig
+from ledgerlens.durable import materialize
 from ledgerlens.operators.registration import MESSAGES, check_files, mark_duplicates
 from ledgerlens.sources.catalog import Catalog
 from ledgerlens.sources.corpus import EMPTY_FILE, read_corpus
@@ -63,9 +64,15 @@ def register_batch(
     now: datetime,
     config: RegistrationConfig = RegistrationConfig(),
 ) -> Registration:
+    """Outcome, catalogue row and audit of every landed file.
+
+    The bytes are hashed once, and the outcome is fixed in a table before the registry it depends on grows.
+    """
+    landing = materialize(landing, "landing")
     outcomes = mark_duplicates(check_files(landing, systems, config), registry).withColumn(
         "run_id", run_id(RUN_TYPE, batch_id, F.col("path"))
     )
+    outcomes = materialize(outcomes, "outcomes")
     at = F.lit(now)
     done = F.col("outcome") != "failed"
     files = outcomes.filter(F.col("outcome") == "registered").select(

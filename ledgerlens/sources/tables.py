@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ledgerlens.functions.text import strip
-from ledgerlens.operators.concepts import literal_concepts
+from ledgerlens.operators.concepts import MONEY, literal_concepts
 from ledgerlens.operators.ordered import number_rows
 from ledgerlens.operators.shaping import to_cells
 
@@ -38,6 +38,19 @@ def records_from_table(
     )
 
 
+def ledger_from_table(df: DataFrame, group_key: str, columns: list[str], row_no: str) -> DataFrame:
+    """The ledger view of a table (see ``ledger_view``); reads the money columns only."""
+    found = literal_concepts(df.sparkSession, columns)
+    first = {c: columns[found.index(c)] for c in MONEY if c in found}
+    absent = F.lit(None).cast("string")
+    return df.select(
+        F.col(group_key).cast("string").alias("file_id"),
+        F.col(row_no).cast("bigint").alias("row_no"),
+        (F.lit(first["balance"]) if "balance" in first else absent).alias("balance_name"),
+        *[(as_text(first[c]) if c in first else absent).alias(c) for c in MONEY],
+    )
+
+
 def cells_from_table(
     df: DataFrame, group_key: str, columns: list[str], *, order_keys: list[str] | None = None, row_no: str | None = None
 ) -> DataFrame:
