@@ -6,14 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from entry_queries import inputs as I, inputs_more as M
+from entry_queries import inputs as I, more_inputs as M
 from ledgerlens.config import ProfilingConfig, RegistrationConfig
 from ledgerlens.durable import materialize, scratch_path
 from ledgerlens.functions import dates, money, text
 from ledgerlens.operators import columns as C, concepts, ledger as L, ordered, reads, registration, rollup, rules, shaping
 from ledgerlens.plans import profile as P, register as R
 from ledgerlens.sources import corpus as K, tables
-from ledgerlens.sources.catalog import Catalog, latest_profiles, of_runs
+from ledgerlens.sources.catalog import Catalog
 from ledgerlens.streaming.intake import landing_stream, start_intake
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -513,8 +513,8 @@ def full_profile(columns: DataFrame) -> DataFrame:
 @query
 def column_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: every statistic of every column of every ledger."""
-    value_counts = materialize(counts(spark, sf_dir), "value-counts")
-    return full_profile(C.column_profiles(value_counts))
+    values = materialize(C.parsed_values(counts(spark, sf_dir)), "values")
+    return full_profile(C.column_profiles(values))
 
 
 def file_profile(files: DataFrame) -> DataFrame:
@@ -670,10 +670,12 @@ def f6_issue_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def t1_issue_page(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A page of warnings with the total beside it."""
+    """A page of warnings, and the total of the listing as one more row."""
     warnings = reads.filter_issues(profile_catalog(spark, sf_dir).latest_issues(), severity="warning")
     page = reads.issue_page(warnings, 3, 50)
-    return page.crossJoin(F.broadcast(reads.total(warnings))).select("issue_fingerprint", "source_file_id", "issue_code", "total")
+    items = page.select("issue_fingerprint", "source_file_id", "issue_code")
+    total = reads.total(warnings).select(F.col("total").cast("string").alias("total"))
+    return items.unionByName(total, allowMissingColumns=True)
 
 
 @query

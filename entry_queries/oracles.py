@@ -6,7 +6,7 @@ Built from common table expressions; ``_with`` chains the ones a query needs.
 from __future__ import annotations
 
 from entry_queries.inputs import DELIMITERS, FILE_COLUMNS, FILE_ROWS, LEDGER_COLUMNS, SIDES_COLUMNS
-from entry_queries.inputs_more import HEADER_NAMES, ORDER_COLUMNS
+from entry_queries.more_inputs import HEADER_NAMES, ORDER_COLUMNS
 
 CONCEPT = {
     "transaction_id": "identifier",
@@ -599,8 +599,9 @@ ORACLES: dict[str, str] = {
     "t6_run_page": _with([LANDING], "SELECT run_id, status FROM res ORDER BY run_id DESC LIMIT 20 OFFSET 40"),
     "f6_issue_filter": _with(ISSUES, f"""SELECT {FINGERPRINT} AS issue_fingerprint, file_id AS source_file_id, CAST(row_number AS BIGINT) AS row_number, observed_value FROM issues
         WHERE severity = 'error' AND issue_code = 'invalid_date_value' AND column_name = 'posted_date'"""),
-    "t1_issue_page": _with(ISSUES, f"""SELECT {FINGERPRINT} AS issue_fingerprint, file_id AS source_file_id, issue_code, count(*) OVER () AS total FROM issues
-        WHERE severity = 'warning' ORDER BY 1 DESC LIMIT 50 OFFSET 100"""),
+    "t1_issue_page": _with(ISSUES, f"""SELECT * FROM (SELECT {FINGERPRINT} AS issue_fingerprint, file_id AS source_file_id, issue_code, CAST(NULL AS VARCHAR) AS total
+        FROM issues WHERE severity = 'warning' ORDER BY 1 DESC LIMIT 50 OFFSET 100)
+        UNION ALL SELECT NULL, NULL, NULL, CAST(count(*) AS VARCHAR) FROM issues WHERE severity = 'warning'"""),
     "t2_profile_page": _with([LEDGER], """SELECT file_id AS source_file_id, count(*) AS row_count, day FROM ledger, (VALUES ('2024-06-01'), ('2024-06-02')) AS v(day)
         WHERE file_id = '8' GROUP BY ALL"""),
     "t3_column_page": _with(STATS, "SELECT position AS column_position, name AS column_name, kind AS inferred_data_type FROM typed WHERE file_id = '8' ORDER BY position LIMIT 4 OFFSET 4"),

@@ -273,8 +273,11 @@ def column_profiles(
     headers: DataFrame | None = None,
     bounded: bool = False,
 ) -> DataFrame:
-    """One row per column. With ``headers`` columns of files without rows are included."""
-    parsed = parsed_values(counts)
+    """One row per column. With ``headers`` columns of files without rows are included.
+
+    ``counts`` may be parsed already; three branches read it, so a written table spares parsing it again.
+    """
+    parsed = counts if "number" in counts.columns else parsed_values(counts)
     key = ["file_id", "column_position"]
     stats = column_statistics(parsed, config)
     if headers is not None:

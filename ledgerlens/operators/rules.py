@@ -190,21 +190,27 @@ def mostly_numeric(columns: DataFrame) -> DataFrame:
     )
 
 
-def numeric_rules(cells: DataFrame, columns: DataFrame, block_rows: int | None = None) -> DataFrame:
+def numeric_rules(
+    cells: DataFrame, columns: DataFrame, block_rows: int | None = None, few_columns: bool = False
+) -> DataFrame:
     """Values that are no numbers in mostly numeric columns; ``columns`` as from ``column_statistics``.
 
-    Joined per block of rows, so that no column, however long, is one join key.
+    With ``few_columns`` (the caller has counted them) the columns are broadcast. Otherwise cells are joined
+    per block of rows, so that no column, however long, is one join key. Only cells of such columns are parsed.
     """
     suspects = mostly_numeric(columns).select("file_id", F.col("column_position").alias("position"), "row_count")
-    blocks = F.sequence(F.lit(0).cast("bigint"), block_of(F.col("row_count") + 1, block_rows))
-    suspects = suspects.select("file_id", "position", F.explode(blocks).alias("block"))
-    others = cells.filter(
-        f"concept IS NULL AND value <> '' AND NOT {money.parse_sql('value', 'false')}.valid"
-    ).withColumn("block", block_of("row_no", block_rows))
-    return _emit(
-        others.join(suspects, ["file_id", "position", "block"], "left_semi"),
-        _finding("invalid_numeric_value", column="name", row="row_no", observed="value"),
-    )
+    filled = cells.filter("concept IS NULL AND value <> ''")
+    if few_columns:
+        found = filled.join(F.broadcast(suspects.drop("row_count")), ["file_id", "position"], "left_semi")
+    else:
+        blocks = F.sequence(F.lit(0).cast("bigint"), block_of(F.col("row_count") + 1, block_rows))
+        found = filled.withColumn("block", block_of("row_no", block_rows)).join(
+            suspects.select("file_id", "position", F.explode(blocks).alias("block")),
+            ["file_id", "position", "block"],
+            "left_semi",
+        )
+    other = _finding("invalid_numeric_value", column="name", row="row_no", observed="value")
+    return _emit(found, _case((f"NOT {money.parse_sql('value', 'false')}.valid", other)))
 
 
 def column_rules(columns: DataFrame, config: ProfilingConfig = ProfilingConfig()) -> DataFrame:

@@ -11,7 +11,7 @@ from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ledgerlens.config import BROADCAST_FILES, ProfilingConfig
+from ledgerlens.config import BROADCAST_COLUMNS, BROADCAST_FILES, ProfilingConfig
 from ledgerlens.durable import materialize
 from ledgerlens.operators import columns as col_ops, ledger as ledger_ops, rollup, rules
 from ledgerlens.operators.reads import unprofiled
@@ -60,10 +60,11 @@ def _profile(
     bounded: bool,
 ) -> Profile:
     cells = to_cells(rows)
-    counts = materialize(col_ops.value_counts(cells), "value-counts")
+    parsed = materialize(col_ops.parsed_values(col_ops.value_counts(cells)), "values")
     columns = materialize(
-        col_ops.column_profiles(counts, config, headers=header_cells(headers), bounded=bounded), "columns"
+        col_ops.column_profiles(parsed, config, headers=header_cells(headers), bounded=bounded), "columns"
     )
+    few_columns = rules.mostly_numeric(columns).limit(BROADCAST_COLUMNS + 1).count() <= BROADCAST_COLUMNS
     file_counts = materialize(rollup.file_counts(raw, rows), "file-counts")
     ledger = ledger_ops.ledger_view(rows)
     summary = materialize(ledger_ops.balance_summary(ledger, config), "balances")
@@ -75,7 +76,7 @@ def _profile(
         rules.count_rules(file_counts.join(headers.filter("usable").select("file_id"), "file_id", "left_semi"), config),
         rules.cell_rules(cells),
         rules.repeated_identifier_rules(cells),
-        rules.numeric_rules(cells, columns),
+        rules.numeric_rules(cells, columns, few_columns=few_columns),
         rules.column_rules(columns, config),
         rules.verifiability_rules(summary),
         rules.balance_rules(ledger_ops.running_balance(ledger, config)),

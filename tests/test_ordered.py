@@ -95,3 +95,28 @@ def test_profile_adds_up_and_ignores_partitioning(ledger_records):
     assert stats[0] == stats[1]
     totals = C.column_statistics(C.parsed_values(counts))
     assert totals.filter("null_count + non_null_count <> row_count").count() == 0
+
+
+def test_numeric_outliers_do_not_depend_on_the_join(rows):
+    numbered = rows.withColumn("row_no", F.row_number().over(Window.partitionBy("g").orderBy("k")) + 1)
+    df = numbered.select(
+        "g", "row_no", F.when(F.col("k") % 11 == 0, "x").otherwise(F.col("v").cast("string")).alias("n"), F.lit("text").alias("t")
+    )
+    cells = shaping.to_cells(records_from_table(df, "g", ["n", "t"], row_no="row_no"))
+    columns = C.column_statistics(C.parsed_values(C.value_counts(cells)))
+    found = [
+        sorted(map(repr, rules.numeric_rules(cells, columns, *options).collect()))
+        for options in ((7, False), (100_000, False), (None, True))
+    ]
+    assert found[0] == found[1] == found[2]
+    assert len(found[0]) == df.filter("n = 'x'").count()
+
+
+def test_limit_rows_keeps_blank_records_up_to_the_last_row(spark):
+    records = spark.createDataFrame(
+        [("f", 1, None), ("f", 2, 2), ("f", 3, None), ("f", 4, 3), ("f", 5, None), ("f", 6, 4), ("g", 1, None), ("g", 2, None)],
+        "file_id STRING, record_no BIGINT, row_no BIGINT",
+    )
+    kept = lambda n: sorted((r.file_id, r.record_no) for r in shaping.limit_rows(records, n).collect())
+    assert kept(2) == [("f", 1), ("f", 2), ("f", 3), ("f", 4), ("g", 1), ("g", 2)]
+    assert len(kept(3)) == len(kept(9)) == 8
