@@ -2,11 +2,15 @@
 
 import pytest
 
+import entry_queries.catalogue
+import entry_queries.oracles
+
 import __spark_entry__ as entry_module
 from compare import connect, differences
 
 SF_DIR = "/root/testdata/sf0.001"
-QUERIES, ORACLES = entry_module.queries(), entry_module.oracle_sql()
+# the queries of the subpackage llm have tests of their own
+QUERIES, ORACLES = entry_queries.catalogue.QUERIES, entry_queries.oracles.ORACLES
 
 
 @pytest.fixture(scope="module")
@@ -16,6 +20,7 @@ def con():
 
 def test_every_query_has_an_oracle():
     assert set(ORACLES) == set(QUERIES)
+    assert set(QUERIES) <= set(entry_module.queries()) and set(ORACLES) <= set(entry_module.oracle_sql())
 
 
 @pytest.mark.parametrize("name", list(QUERIES))
