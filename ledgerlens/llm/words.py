@@ -15,6 +15,8 @@ import pyarrow as pa
 
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: Everything in ASCII but letters and digits.
+PUNCTUATION = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 #: Bytes of text worked on at a time; a longer text is taken alone.
@@ -79,11 +81,14 @@ def _hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return mix(out)
 
 
-def words_of(data: np.ndarray, offsets: np.ndarray) -> Words:
-    """Words of the texts ``data[offsets[i]:offsets[i + 1]]``; positions count from the start of ``data``."""
+def words_of(data: np.ndarray, offsets: np.ndarray, between: np.ndarray = SPACE) -> Words:
+    """Words of the texts ``data[offsets[i]:offsets[i + 1]]``; positions count from the start of ``data``.
+
+    ``between`` tells for every byte whether it parts words.
+    """
     low, high = int(offsets[0]), int(offsets[-1])
     part = data[low:high]
-    inside = ~SPACE[part]
+    inside = ~between[part]
     first, last = inside.copy(), inside.copy()
     first[1:] &= ~inside[:-1]
     last[:-1] &= ~inside[1:]
@@ -110,10 +115,12 @@ def shingles_of(words: Words, size: int, short: bool = True) -> tuple[np.ndarray
         whole = np.flatnonzero((counts > 0) & (counts < size))
         wanted[begins[whole]] = True
     at = np.flatnonzero(wanted)
-    total = np.zeros(len(at), np.uint64)
-    for j in range(size):
-        there = left[at] > j
-        total[there] += words.hash[at[there] + j] * _SHINGLE[j]
+    total = words.hash[at] * _SHINGLE[0]
+    brief = np.flatnonzero(left[at] < size)
+    for j in range(1, size):
+        more = words.hash[np.minimum(at + j, n - 1)] * _SHINGLE[j]
+        more[brief[left[at[brief]] <= j]] = 0
+        total += more
     return words.text[at], mix(total), at
 
 
