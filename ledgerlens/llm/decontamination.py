@@ -24,7 +24,7 @@ from ledgerlens.llm.words import PUNCTUATION, buffer_of, distinct, shingles_of,
 
 SEED_WORDS = 3
 #: Neighbouring n-grams of which the rarest becomes a seed.
-SEED_EVERY = 4
+SEED_EVERY = 2
 #: Longer items are cut into passages of so many words that overlap by half; shorter items are no evidence.
 PASSAGE_WORDS, LEAST_WORDS = 128, 5
 MATCH, MISMATCH, GAP = 2, -1, -1

@@ -6,9 +6,10 @@ goes with the size of the sets: sizes fall into bands, a set is indexed in the b
 probes the band of its own size and every lower one that may hold partners. Which segments a set probes, which it skips and where it probes the
 one-deletion neighbourhood is chosen per set by cost: small subsets are common, so they are expensive.
 
-Only keys that occur twice survive the first aggregation. Copies collapse before pairs are formed, buckets are then
-contracted around one member, and pairs are listed only between parts that are still apart, so a group of copies of
-any size costs its rows, not its pairs. Every candidate is verified on both whole texts.
+Only keys that occur twice survive the first aggregation. Copies collapse before pairs are formed, and buckets are
+contracted around their most central member, so a group of copies costs its rows, not its pairs. Pairs are listed only
+between parts that are still apart, and only of sets that can have a partner there: shingles that no other
+candidate holds bound from above what a set can share with any of them. Every candidate is verified on both whole texts.
 """
 
 from __future__ import annotations
@@ -163,6 +164,13 @@ def _rows(batches: Iterator[pa.RecordBatch], size: int, percent: int, narrow: bo
                 yield pa.RecordBatch.from_arrays([key, ids.take(pa.array(text + low)), info], names=["key", "id", "info"])
 
 
+def _shingles(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for low, _, text, shingle in _set_slices(batch, size):
+            columns = [batch.column(0).take(pa.array(text + low)), pa.array(shingle.view(np.int64))]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "shingle"])
+
+
 def _verify(batches: Iterator[pa.RecordBatch], size: int, percent: int) -> Iterator[pa.RecordBatch]:
     """Keeps the pairs (a, b, text_a, text_b) whose whole sets are similar enough."""
 
@@ -204,19 +212,25 @@ def similar_sets(
     rows = materialize(rows.select("key", F.col("rep").alias("id"), "info").distinct(), "keys")
 
     verified = partial(_verify, size=size, percent=percent)
-    wanted = rows.select("id").distinct()
-    if wanted.count() <= BROADCAST_IDS:
-        wanted = F.broadcast(wanted)
-    texts_of = materialize(named.join(wanted, "id", "left_semi"), "texts")
+
+    def only(df: DataFrame, ids: DataFrame) -> DataFrame:
+        """Rows of some ids; a list of checked size is broadcast."""
+        ids = materialize(ids.select("id").distinct(), "ids")
+        return df.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "id", "left_semi")
+
+    texts_of = materialize(only(named, rows), "texts")
 
     def links(pairs: DataFrame) -> DataFrame:
         left, right = (texts_of.select(F.col("id").alias(x), F.col("text").alias(f"text_{x}")) for x in "ab")
         both = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
         return materialize(both.mapInArrow(verified, "a bigint, b bigint"), "links")
 
-    # first, every bucket around its smallest member
-    hubs = rows.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("last")).where("a < last").drop("last")
-    tried = materialize(rows.join(hubs, "key").where("id > a").select("a", F.col("id").alias("b")).distinct(), "pairs")
+    # first, every bucket around its most central member: the one whose buckets are the largest together
+    members_of = rows.groupBy("key").agg(F.count("*").alias("n"))
+    central = rows.join(members_of, "key").groupBy("id").agg(F.sum("n").alias("n"))
+    hubs = rows.join(central, "id").groupBy("key").agg(F.max(F.struct("n", "id"))["id"].alias("hub"), F.count("*").alias("n"))
+    tried = rows.join(hubs.where("n > 1"), "key").where("id <> hub")
+    tried = materialize(tried.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct(), "pairs")
     found = links(tried)
 
     # then, in buckets that are still in parts, all that is not in the largest part against the other parts
@@ -225,9 +239,15 @@ def similar_sets(
     counts = rows.groupBy("key", "part").agg(F.count("*").alias("n"))
     split = counts.groupBy("key").agg(F.max_by("part", "n").alias("main"), F.count("*").alias("parts")).where("parts > 1")
     rows = materialize(rows.join(split.select("key", "main"), "key"), "parts")
-    one = rows.where("part <> main").select("key", "id", "info", "part", "main")
-    two = rows.select("key", *[F.col(c).alias(f"other_{c}") for c in ("id", "info", "part")])
-    n, m = F.expr("info DIV 32"), F.expr("other_info DIV 32")
+    n = F.expr("info DIV 32")
+    shingles = only(texts_of, rows).mapInArrow(partial(_shingles, size=size), "id bigint, shingle bigint")
+    private = shingles.groupBy("shingle").agg(F.count("*").alias("n"), F.min("id").alias("id")).where("n = 1")
+    private = private.groupBy("id").agg(F.count("*").alias("private"))
+    rows = rows.join(private, "id", "left").withColumn("most", n - F.coalesce("private", F.lit(0)))
+    rows = materialize(rows.where(F.col("most") * 100 >= n * percent).drop("private"), "open")
+    one = rows.where("part <> main")
+    two = rows.select("key", *[F.col(c).alias(f"other_{c}") for c in ("id", "info", "part", "most")])
+    m, common = F.expr("other_info DIV 32"), F.least("most", "other_most")
     roles = [(PROBE, INDEX), (PROBE_NEAR, INDEX_DELETED), (PROBE_DELETED, INDEX)]
     meets = F.lit(False)
     for probe, index in roles:
@@ -236,7 +256,7 @@ def similar_sets(
     pairs = one.join(two, "key").where(
         (F.col("part") != F.col("other_part"))
         & ((F.col("other_part") == F.col("main")) | (F.col("id") < F.col("other_id")))
-        & (F.least(n, m) * 100 >= F.greatest(n, m) * percent)
+        & (common * 100 >= (n + m - common) * percent)
         & meets
     )
     pairs = pairs.select(F.least("id", "other_id").alias("a"), F.greatest("id", "other_id").alias("b")).distinct()

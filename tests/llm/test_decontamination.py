@@ -43,7 +43,7 @@ def test_alignment_is_smith_waterman():
 def test_copies_and_edited_copies(spark, documents):
     chance = random.Random(8)
     vocabulary = [f"v{i}" for i in range(150)] + ["Straße", "él", "l'eau"]
-    items = [(i, " ".join(chance.choice(vocabulary) for _ in range(chance.randint(8, 60)))) for i in range(12)]
+    items = [(i, " ".join(chance.choice(vocabulary) for _ in range(chance.randint(18, 60)))) for i in range(12)]
     items.append((12, " ".join(chance.choice(vocabulary) for _ in range(400))))
     texts = []
     for k in range(120):
