@@ -7,7 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ledgerlens.llm import bpe, decontamination, language_id, ngram_join, secret_scan
+from ledgerlens.llm import bpe, decontamination, imatch, language_id, ngram_join, secret_scan, warc
+from ledgerlens.durable import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -32,6 +33,11 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"))
 
 
+@query
+def op5_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return imatch.fingerprints(table(spark, sf_dir, "documents"))
+
+
 @query
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = bpe.Vocabulary(bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")), public_tokenizers.PATTERN)
@@ -45,6 +51,28 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op7_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "warc")
+    warc.write_archive(table(spark, sf_dir, "pages"), path)
+    return warc.revisits(warc.read_archive(spark, path))
+
+
+ORACLES["op7_warc_archive"] = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+owners AS (SELECT html, max(page_id) AS owner FROM p GROUP BY html),
+d AS (SELECT p.page_id, strlen(p.html)::BIGINT AS payload_bytes, sha1(p.html) AS h, owner FROM p JOIN owners USING (html)),
+v AS (SELECT *, list_transform(range(8), lambda i: ('0x' || substring(h, 5 * i + 1, 5))::BIGINT) AS v FROM d),
+letters AS (
+  SELECT *, list_transform(range(32), lambda k: substring('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    ((v[k // 4 + 1] >> (15 - 5 * (k % 4))) & 31)::INT + 1, 1)) AS l FROM v)
+SELECT page_id, payload_bytes, array_to_string(l, '') AS payload_digest,
+  CASE WHEN page_id = owner THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id = owner THEN NULL ELSE owner END AS refers_to
+FROM letters
+"""
+
+
 @query
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similar_sets(table(spark, sf_dir, "documents"))
