@@ -8,8 +8,10 @@ one-deletion neighbourhood is chosen per set by cost: small subsets are common,
 
 Only keys that occur twice survive the first aggregation. Copies collapse before pairs are formed, and buckets are
 contracted around their most central member, so a group of copies costs its rows, not its pairs. Pairs are listed only
-between parts that are still apart, and only of sets that can have a partner there: shingles that no other
-candidate holds bound from above what a set can share with any of them. Every candidate is verified on both whole texts.
+between parts that are still apart, and only of sets that can be partners: shingles that no other candidate holds
+bound from above what a set shares with any of them, and the bits in which two sketches differ, one bit for the parity
+of each of many buckets of shingles, bound from below in how many shingles two sets differ. Every candidate is verified on both
+whole texts.
 """
 
 from __future__ import annotations
@@ -38,6 +40,9 @@ PROBES = PROBE | PROBE_NEAR | PROBE_DELETED
 #: Expected partners on a key of a subset of k shingles: COMMON * RARER ** k.
 COMMON, RARER = 1e5, 0.25
 
+#: 64-bit words of a sketch.
+SKETCH_WORDS = 16
+
 _CONTENT = seeds(1, 21)[0]
 
 
@@ -171,6 +176,19 @@ def _shingles(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Recor
             yield pa.RecordBatch.from_arrays(columns, names=["id", "shingle"])
 
 
+def _sketches(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """Size and sketch of every set: bit b is the parity of the number of its shingles in bucket b."""
+    names = ["id", "n", *[f"bits_{w}" for w in range(SKETCH_WORDS)]]
+    for batch in batches:
+        for low, high, text, shingle in _set_slices(batch, size):
+            words = np.zeros((high - low, SKETCH_WORDS), np.uint64)
+            bucket = (shingle >> np.uint64(32)) % np.uint64(64 * SKETCH_WORDS)
+            np.bitwise_xor.at(words, (text, (bucket >> np.uint64(6)).astype(np.int64)), np.uint64(1) << (bucket & np.uint64(63)))
+            columns = [batch.column(0).slice(low, high - low), pa.array(np.bincount(text, minlength=high - low))]
+            columns += [pa.array(np.ascontiguousarray(words[:, w]).view(np.int64)) for w in range(SKETCH_WORDS)]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+
 def _verify(batches: Iterator[pa.RecordBatch], size: int, percent: int) -> Iterator[pa.RecordBatch]:
     """Keeps the pairs (a, b, text_a, text_b) whose whole sets are similar enough."""
 
@@ -244,10 +262,16 @@ def similar_sets(
     private = shingles.groupBy("shingle").agg(F.count("*").alias("n"), F.min("id").alias("id")).where("n = 1")
     private = private.groupBy("id").agg(F.count("*").alias("private"))
     rows = rows.join(private, "id", "left").withColumn("most", n - F.coalesce("private", F.lit(0)))
-    rows = materialize(rows.where(F.col("most") * 100 >= n * percent).drop("private"), "open")
+    rows = rows.where(F.col("most") * 100 >= n * percent).select("key", "id", "info", "part", "main", n.alias("n"), "most")
+    rows = materialize(rows, "open")
+    bits = [f"bits_{w}" for w in range(SKETCH_WORDS)]
+    kinds = ", ".join(f"{b} bigint" for b in bits)
+    sketches = only(texts_of, rows).mapInArrow(partial(_sketches, size=size), f"id bigint, n bigint, {kinds}")
+    rows = materialize(rows.join(sketches, ["id", "n"]), "sketched")
     one = rows.where("part <> main")
-    two = rows.select("key", *[F.col(c).alias(f"other_{c}") for c in ("id", "info", "part", "most")])
-    m, common = F.expr("other_info DIV 32"), F.least("most", "other_most")
+    two = rows.select("key", *[F.col(c).alias(f"other_{c}") for c in ("id", "info", "part", "n", "most", *bits)])
+    both, common = F.col("n") + F.col("other_n"), F.least("most", "other_most")
+    differ = sum((F.bit_count(F.col(b).bitwiseXOR(F.col(f"other_{b}"))) for b in bits), F.lit(0))
     roles = [(PROBE, INDEX), (PROBE_NEAR, INDEX_DELETED), (PROBE_DELETED, INDEX)]
     meets = F.lit(False)
     for probe, index in roles:
@@ -256,8 +280,9 @@ def similar_sets(
     pairs = one.join(two, "key").where(
         (F.col("part") != F.col("other_part"))
         & ((F.col("other_part") == F.col("main")) | (F.col("id") < F.col("other_id")))
-        & (common * 100 >= (n + m - common) * percent)
+        & (common * 100 >= (both - common) * percent)
         & meets
+        & (differ * (100 + percent) <= both * (100 - percent))
     )
     pairs = pairs.select(F.least("id", "other_id").alias("a"), F.greatest("id", "other_id").alias("b")).distinct()
     found = found.unionByName(links(pairs.join(tried, ["a", "b"], "left_anti")))
