@@ -22,7 +22,9 @@ from ledgerlens.llm.words import buffer_of, slices
 #: Longer words are folded one by one.
 LONG_WORD = 256
 #: Distinct words that a task remembers.
-REMEMBERED = 400_000
+REMEMBERED = 150_000
+#: Bytes of text cut into words at a time.
+STRETCH = 1 << 20
 _NONE = np.int64(1) << 20
 
 
@@ -212,7 +214,7 @@ def encode(text: Column | str, vocabulary: Vocabulary) -> Column:
         for texts in batches:
             _, offsets = buffer_of(texts)
             ids, counts = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
-            for low, high in slices(offsets):
+            for low, high in slices(offsets, STRETCH):
                 found, count = memory.encode([t or "" for t in texts.slice(low, high - low).to_pylist()])
                 ids.append(found)
                 counts.append(count)
