@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ledgerlens.llm.words import buffer_of, slices
 
@@ -243,3 +243,11 @@ def decode(ids: Column | str, vocabulary: Vocabulary) -> Column:
             yield pa.Array.from_buffers(pa.binary(), len(lists), [valid, pa.py_buffer(offsets.tobytes()), pa.py_buffer(b"".join(parts))])
 
     return of(ids)
+
+
+def encoded(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """The documents with their ids and n_tokens in place of the text, and whether decoding gave the text's bytes again."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    docs = docs.withColumn("ids", encode(text, vocabulary)).withColumn("_bytes", decode("ids", vocabulary))
+    docs = docs.withColumns({"n_tokens": F.size("ids").cast("bigint"), "exact": F.col("_bytes") == text.cast("binary")})
+    return docs.drop("text", "_bytes")

@@ -28,6 +28,8 @@ EPOCHS, BATCH, RATE = 6, 64, 0.01
 #: Windows worked on at a time.
 STEP = 64
 UNKNOWN = "und"
+#: Below this score a text is taken to be in none of the languages: hardly more than an even choice among few.
+LEAST_SCORE = 0.35
 
 
 @dataclass
@@ -205,6 +207,13 @@ def held_out(doc_id: Column | str) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))
 
 
+def identified(docs: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
+    """The documents whose language can be told: a text with letters, and a likeliest language of at least this score."""
+    model = fit(docs.where(~held_out("doc_id")))
+    found = docs.withColumn("_language", predict(model, F.col("text").cast("string")))
+    return found.where((F.col("_language.label") != UNKNOWN) & (F.col("_language.score") >= least)).drop("_language")
+
+
 def identify(docs: DataFrame) -> DataFrame:
     """(doc_id, held_out, lang_pred, score) of every row of documents, learned from its labelled rows not held out."""
     model = fit(docs.where(~held_out("doc_id")))

@@ -205,6 +205,12 @@ def _verify(batches: Iterator[pa.RecordBatch], size: int, percent: int) -> Itera
         yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in batch.columns[:2]], names=["a", "b"])
 
 
+def by_ids(df: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+    """``df`` joined ("left_semi" or "left_anti") with ``ids`` of one column; a list of checked size is broadcast."""
+    ids = materialize(ids.distinct(), "ids")
+    return df.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, ids.columns, how)
+
+
 def similar_sets(
     docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", size: int = SHINGLE_WORDS, percent: int = PERCENT
 ) -> DataFrame:
@@ -230,13 +236,7 @@ def similar_sets(
     rows = materialize(rows.select("key", F.col("rep").alias("id"), "info").distinct(), "keys")
 
     verified = partial(_verify, size=size, percent=percent)
-
-    def only(df: DataFrame, ids: DataFrame) -> DataFrame:
-        """Rows of some ids; a list of checked size is broadcast."""
-        ids = materialize(ids.select("id").distinct(), "ids")
-        return df.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "id", "left_semi")
-
-    texts_of = materialize(only(named, rows), "texts")
+    texts_of = materialize(by_ids(named, rows.select("id"), "left_semi"), "texts")
 
     def links(pairs: DataFrame) -> DataFrame:
         left, right = (texts_of.select(F.col("id").alias(x), F.col("text").alias(f"text_{x}")) for x in "ab")
@@ -258,7 +258,7 @@ def similar_sets(
     split = counts.groupBy("key").agg(F.max_by("part", "n").alias("main"), F.count("*").alias("parts")).where("parts > 1")
     rows = materialize(rows.join(split.select("key", "main"), "key"), "parts")
     n = F.expr("info DIV 32")
-    shingles = only(texts_of, rows).mapInArrow(partial(_shingles, size=size), "id bigint, shingle bigint")
+    shingles = by_ids(texts_of, rows.select("id"), "left_semi").mapInArrow(partial(_shingles, size=size), "id bigint, shingle bigint")
     private = shingles.groupBy("shingle").agg(F.count("*").alias("n"), F.min("id").alias("id")).where("n = 1")
     private = private.groupBy("id").agg(F.count("*").alias("private"))
     rows = rows.join(private, "id", "left").withColumn("most", n - F.coalesce("private", F.lit(0)))
@@ -266,7 +266,7 @@ def similar_sets(
     rows = materialize(rows, "open")
     bits = [f"bits_{w}" for w in range(SKETCH_WORDS)]
     kinds = ", ".join(f"{b} bigint" for b in bits)
-    sketches = only(texts_of, rows).mapInArrow(partial(_sketches, size=size), f"id bigint, n bigint, {kinds}")
+    sketches = by_ids(texts_of, rows.select("id"), "left_semi").mapInArrow(partial(_sketches, size=size), f"id bigint, n bigint, {kinds}")
     rows = materialize(rows.join(sketches, ["id", "n"]), "sketched")
     one = rows.where("part <> main")
     two = rows.select("key", *[F.col(c).alias(f"other_{c}") for c in ("id", "info", "part", "n", "most", *bits)])
@@ -295,3 +295,16 @@ def similar_sets(
     return sizes.join(reached, "id", "left").select(
         F.col("id").alias(id_column), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id")
     )
+
+
+def keep_one_of_each(docs: DataFrame) -> DataFrame:
+    """The documents (doc_id, text, ...) without those that link, directly or not, to one with a smaller id.
+
+    Of rows that repeat an id the smallest one stays, in the order of the other columns. Rows with a null id stay.
+    """
+    found = materialize(similar_sets(docs), "groups").where("doc_id IS NOT NULL")
+    docs = by_ids(docs, found.where("doc_id <> component_id").select("doc_id"), "left_anti")
+    several = materialize(found.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "several")
+    rest = [c for c in docs.columns if c != "doc_id"]
+    smallest = by_ids(docs, several, "left_semi").groupBy("doc_id").agg(F.min(F.struct(*rest)).alias("row"))
+    return by_ids(docs, several, "left_anti").unionByName(smallest.select("doc_id", "row.*").select(docs.columns))
