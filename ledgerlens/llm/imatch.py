@@ -117,11 +117,14 @@ def fingerprints(docs: DataFrame, least: float = LEAST_SHARE, most: float = MOST
     chosen = lexicon(texts, least, most)
     following = materialize(next_ids(texts), "next")
     third = F.floor(F.length("text") / 3).cast("int")
-    need = texts.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max(third).alias("k"))
+    # both joins take the texts dealt out by id as they are, so that Spark deals them out once
+    named = texts.where("doc_id IS NOT NULL")
+    need = named.groupBy("doc_id").agg(F.max(third).alias("k"))
     need = need.join(following, "doc_id").select(F.col("doc_id").alias("for_id"), F.col("next_id").alias("doc_id"), "k")
-    begin = need.join(texts, "doc_id").select("for_id", F.col("text").substr(F.lit(1), F.col("k")).alias("begin"))
+    begin = need.join(named, "doc_id").select("for_id", F.col("text").substr(F.lit(1), F.col("k")).alias("begin"))
     begin = begin.groupBy(F.col("for_id").alias("doc_id")).agg(F.min("begin").alias("begin"))
-    rows = texts.join(begin, "doc_id", "left").withColumn("k", third)
+    nameless = texts.where("doc_id IS NULL").withColumn("begin", F.lit(None).cast("string"))
+    rows = named.join(begin, "doc_id", "left").unionByName(nameless).withColumn("k", third)
     kept = F.col("text").substr(F.lit(1), F.length("text") - F.col("k"))
     edited = F.concat(kept, F.coalesce(F.col("begin").substr(F.lit(1), F.col("k")), F.lit("")))
     rows = rows.select("doc_id", "text", edited.alias("edited"))
