@@ -20,6 +20,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 _catalogs: dict[tuple[str, str, str], Catalog] = {}
 TABLE_CONFIG = ProfilingConfig(max_rows=None)
+# For the queries that show the size limit.
 LANDING_CONFIG = RegistrationConfig(max_bytes=16_000)
 
 
@@ -535,21 +536,21 @@ def table_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- registration -----------------------------------------------------------------------------------------
 
 
-def landing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.landing_of(M.landed_documents(spark, sf_dir), LANDING_CONFIG).drop("doc_id")
+def landing(spark: SparkSession, sf_dir: str, config: RegistrationConfig = RegistrationConfig()) -> DataFrame:
+    return R.landing_of(M.landed_documents(spark, sf_dir), config).drop("doc_id")
 
 
 @query
 def f_register_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     checked = registration.check_files(
-        landing(spark, sf_dir).drop("lang"), M.source_systems(spark, sf_dir), LANDING_CONFIG
+        landing(spark, sf_dir, LANDING_CONFIG).drop("lang"), M.source_systems(spark, sf_dir), LANDING_CONFIG
     )
     return checked.select("path", "error_code", "error_message", "normalized_mime_type", "file_extension")
 
 
 def two_waves(spark: SparkSession, sf_dir: str) -> tuple[R.Registration, R.Registration]:
     """English documents land first, the others later."""
-    systems, landed = M.source_systems(spark, sf_dir), landing(spark, sf_dir)
+    systems, landed = M.source_systems(spark, sf_dir), landing(spark, sf_dir, LANDING_CONFIG)
     empty = spark.createDataFrame([], "sha256_checksum STRING")
     early, late = landed.filter("lang = 'en'").drop("lang"), landed.filter("lang <> 'en'").drop("lang")
     first = R.register_batch(early, systems, empty, "wave-1", M.BATCH_TIME, LANDING_CONFIG)
@@ -604,7 +605,7 @@ def registered_catalog(spark: SparkSession, sf_dir: str) -> Catalog:
     catalog.commit("systems", M.BATCH_TIME)
     for batch_id, lang in (("wave-1", "lang = 'en'"), ("wave-2", "lang <> 'en'")):
         batch = R.register_batch(
-            landed.filter(lang).drop("lang"), systems, catalog.read("source_files"), batch_id, M.BATCH_TIME, LANDING_CONFIG
+            landed.filter(lang).drop("lang"), systems, catalog.read("source_files"), batch_id, M.BATCH_TIME
         )
         R.store_registration(catalog, batch, batch_id, M.BATCH_TIME)
     return catalog

@@ -429,6 +429,8 @@ outcome AS (SELECT *, CASE WHEN lang = 'en' THEN 1 ELSE 2 END AS wave,
 res AS (SELECT *, concat(checksum, '_', sanitized) AS stored, CASE WHEN failed > 0 THEN 'failed'
    WHEN row_number() OVER (PARTITION BY checksum, failed > 0 ORDER BY wave, seconds, path) = 1 THEN 'registered' ELSE 'duplicate' END AS status,
    sha256(concat('source_file_upload|wave-', wave, '|', path)) AS run_id FROM outcome)"""
+# The same without a size limit.
+ANY_SIZE = LANDING.replace("size > 16000", "false")
 
 _ORDERS = """
 orders_text AS (SELECT CAST(o_custkey AS VARCHAR) AS file_id, 1 + row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS row_no,
@@ -581,7 +583,7 @@ ORACLES: dict[str, str] = {
             FROM (SELECT DISTINCT file_id FROM ledger) x LEFT JOIN issues i ON i.file_id = x.file_id GROUP BY x.file_id) s USING (file_id)"""),
     "f_register_checks": _with([LANDING], "SELECT path, error_code, error_message, kind AS normalized_mime_type, ext AS file_extension FROM outcome"),
     "j4_duplicate_files": """SELECT concat('landing/', doc_id) AS path, CASE WHEN row_number() OVER (PARTITION BY sha256(text) ORDER BY doc_id % 97, concat('landing/', doc_id)) = 1
-        AND strlen(text) <= 16000 THEN 'registered' ELSE 'duplicate' END AS outcome FROM documents""",
+        THEN 'registered' ELSE 'duplicate' END AS outcome FROM documents""",
     "b1_register_batch": _with([LANDING], """SELECT path, status, CASE WHEN status = 'duplicate' THEN 'duplicate' ELSE error_code END AS code,
         CASE WHEN status = 'duplicate' THEN 'This exact file has already been registered.' ELSE error_message END AS message,
         CASE WHEN status <> 'failed' THEN checksum END AS source_file_id FROM res"""),
@@ -590,13 +592,13 @@ ORACLES: dict[str, str] = {
           CASE WHEN status = 'registered' THEN concat(',"stored_filename":"', stored, '"') ELSE '' END,
           CASE WHEN status <> 'failed' THEN concat(',"sha256_checksum":"', checksum, '"') ELSE '' END,
           CASE WHEN status = 'registered' THEN concat(',"file_size_bytes":', size) ELSE '' END, '}') AS metadata_json FROM res"""),
-    "k1_registry": _with([LANDING], """SELECT checksum AS source_file_id, source AS source_system_code, original_filename, stored AS stored_filename,
+    "k1_registry": _with([ANY_SIZE], """SELECT checksum AS source_file_id, source AS source_system_code, original_filename, stored AS stored_filename,
         concat('raw/registered/', stored) AS relative_path, ext AS file_extension, kind AS mime_type, size AS file_size_bytes, 'registered' AS status FROM res WHERE status = 'registered'"""),
-    "j1_files_with_system": _with([LANDING], "SELECT checksum AS source_file_id, original_filename, source AS source_system_code, concat('System ', source) AS source_system_name FROM res WHERE status = 'registered'"),
-    "j2_runs_with_steps": _with([LANDING], "SELECT run_id, status, 1 AS n_steps, 'receive_and_register' AS step_name, status AS step_status FROM res"),
-    "t4_system_page": _with([LANDING], "SELECT code, concat('System ', code) AS name, is_active FROM systems ORDER BY 2, 1 LIMIT 5 OFFSET 5"),
-    "t5_file_page": _with([LANDING], "SELECT checksum AS source_file_id, original_filename FROM res WHERE status = 'registered' ORDER BY checksum DESC LIMIT 20 OFFSET 20"),
-    "t6_run_page": _with([LANDING], "SELECT run_id, status FROM res ORDER BY run_id DESC LIMIT 20 OFFSET 40"),
+    "j1_files_with_system": _with([ANY_SIZE], "SELECT checksum AS source_file_id, original_filename, source AS source_system_code, concat('System ', source) AS source_system_name FROM res WHERE status = 'registered'"),
+    "j2_runs_with_steps": _with([ANY_SIZE], "SELECT run_id, status, 1 AS n_steps, 'receive_and_register' AS step_name, status AS step_status FROM res"),
+    "t4_system_page": _with([ANY_SIZE], "SELECT code, concat('System ', code) AS name, is_active FROM systems ORDER BY 2, 1 LIMIT 5 OFFSET 5"),
+    "t5_file_page": _with([ANY_SIZE], "SELECT checksum AS source_file_id, original_filename FROM res WHERE status = 'registered' ORDER BY checksum DESC LIMIT 20 OFFSET 20"),
+    "t6_run_page": _with([ANY_SIZE], "SELECT run_id, status FROM res ORDER BY run_id DESC LIMIT 20 OFFSET 40"),
     "f6_issue_filter": _with(ISSUES, f"""SELECT {FINGERPRINT} AS issue_fingerprint, file_id AS source_file_id, CAST(row_number AS BIGINT) AS row_number, observed_value FROM issues
         WHERE severity = 'error' AND issue_code = 'invalid_date_value' AND column_name = 'posted_date'"""),
     "t1_issue_page": _with(ISSUES, f"""SELECT * FROM (SELECT {FINGERPRINT} AS issue_fingerprint, file_id AS source_file_id, issue_code, CAST(NULL AS VARCHAR) AS total

@@ -18,7 +18,7 @@ BROADCAST_COLUMNS = 500_000
 @dataclass(frozen=True)
 class ProfilingConfig:
     version: str = "1.0.0"
-    max_rows: int | None = 100_000  # rows examined per file; None examines all
+    max_rows: int | None = None  # rows examined per file; None examines all
     max_samples: int = 5
     null_percentage_threshold: float = 50.0
     balance_tolerance: Decimal = Decimal("0.01")
@@ -37,7 +37,8 @@ class ProfilingConfig:
 
 @dataclass(frozen=True)
 class RegistrationConfig:
-    max_bytes: int = 10 * 1024 * 1024
+    max_bytes: int | None = None  # largest file accepted; None accepts all
+    # File extensions and MIME types that stand for delimited text.
     extensions: tuple[str, ...] = (".csv",)
     mime_types: tuple[str, ...] = (
         "text/csv",

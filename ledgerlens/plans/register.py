@@ -51,9 +51,8 @@ def read_landing(
 def landing_of(files: DataFrame, config: RegistrationConfig = RegistrationConfig()) -> DataFrame:
     """The same for a table that already holds the ``content``."""
     size = F.octet_length("content").cast("bigint")
-    return files.withColumns(
-        {"length": size, "sha256_checksum": F.when(size <= config.max_bytes, F.sha2("content", 256))}
-    ).drop("content")
+    small = F.lit(True) if config.max_bytes is None else size <= config.max_bytes
+    return files.withColumns({"length": size, "sha256_checksum": F.when(small, F.sha2("content", 256))}).drop("content")
 
 
 def register_batch(

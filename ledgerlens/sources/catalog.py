@@ -48,6 +48,9 @@ class Catalog:
     def latest_profiles(self) -> DataFrame:
         return latest_profiles(self.read("source_file_profiles"))
 
+    def latest_profile_of_files(self) -> DataFrame:
+        return latest_of_files(self.read("source_file_profiles"))
+
     def latest_column_profiles(self) -> DataFrame:
         return of_runs(self.read("source_file_column_profiles"), self.latest_profiles())
 
@@ -61,6 +64,12 @@ def latest_profiles(profiles: DataFrame) -> DataFrame:
     return profiles.withColumn("_rank", F.row_number().over(newest)).filter("_rank = 1").drop("_rank")
 
 
+def latest_of_files(profiles: DataFrame) -> DataFrame:
+    """The newest profile of every file, whatever its version."""
+    newest = Window.partitionBy("source_file_id").orderBy(F.desc("generated_at"), F.desc("profile_version"), F.desc("run_id"))
+    return profiles.withColumn("_rank", F.row_number().over(newest)).filter("_rank = 1").drop("_rank")
+
+
 def of_runs(details: DataFrame, profiles: DataFrame) -> DataFrame:
     """Column profiles or issues that belong to the given profile rows."""
     return details.join(profiles.select("profile_id", "run_id"), ["profile_id", "run_id"], "left_semi")

@@ -1,13 +1,13 @@
 """Corpora of delimited files: one row per file, then one row per record.
 
-A file is at most ``RegistrationConfig.max_bytes`` long (larger ones never get registered), so parsing one
-file is a bounded piece of work of one task, and the corpus is spread over files.
+One task parses one file, and the corpus is spread over files. ``RegistrationConfig.max_bytes`` bounds that work where
+files may be too large for a task; tables of any size take the route of ``sources.tables``.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -19,6 +19,7 @@ from ledgerlens.operators.concepts import concepts_of
 # Fixed value: the checksum of no bytes at all. The file source lists no empty file.
 EMPTY_FILE = hashlib.sha256(b"").hexdigest()
 BOM = b"\xef\xbb\xbf"
+# Fixed value: characters that the delimiter is judged by.
 SNIFF_CHARACTERS = 8192
 # Records per output row of the parser: keeps every row small however many records a file holds.
 CHUNK_RECORDS = 5_000
@@ -81,18 +82,25 @@ def classify_files(decoded: DataFrame) -> DataFrame:
     )
 
 
+def _delimiter_of() -> Callable[[str], str]:
+    # Made inside a function so that it reaches the workers by value, without this package installed there.
+    def delimiter(head: str) -> str:
+        import csv
+
+        try:
+            return csv.Sniffer().sniff(head, delimiters=",;\t|").delimiter
+        except csv.Error:
+            return ","
+
+    return delimiter
+
+
 def detect_delimiters(decoded: DataFrame) -> DataFrame:
     """file_id, delimiter of every readable file, judged by its first characters; comma when undecided."""
 
-    def sniff(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import csv
-
-        def delimiter(head: str) -> str:
-            try:
-                return csv.Sniffer().sniff(head, delimiters=",;\t|").delimiter
-            except csv.Error:
-                return ","
+    delimiter = _delimiter_of()
 
+    def sniff(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for files in batches:
             yield pd.DataFrame({"file_id": files["file_id"], "delimiter": files["head"].map(delimiter)})
 
@@ -120,20 +128,21 @@ def parse_files(decoded: DataFrame, max_rows: int | None = None) -> DataFrame:
     (``error``), has one row without records.
     """
 
+    delimiter_of = _delimiter_of()
+
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import csv
         import io
+        import sys
 
+        csv.field_size_limit(sys.maxsize)  # a field may be as long as its file
         names = ["delimiter", "error", "header", "chunk", "records"]
 
         def chunks(text: str | None) -> Iterator[tuple]:
             if text is None:
                 yield None, None, None, 0, None
                 return
-            try:
-                delimiter = csv.Sniffer().sniff(text[:SNIFF_CHARACTERS], delimiters=",;\t|").delimiter
-            except csv.Error:
-                delimiter = ","
+            delimiter = delimiter_of(text[:SNIFF_CHARACTERS])
             try:
                 records = list(csv.reader(io.StringIO(text, newline=""), delimiter=delimiter))
             except csv.Error as problem:

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerlens.config import ProfilingConfig, RegistrationConfig
-from ledgerlens.operators import reads
+from ledgerlens.operators import reads, registration
 from ledgerlens.plans import profile as P, register as R
 from ledgerlens.schemas import SOURCE_FILES, SOURCE_SYSTEMS
 from ledgerlens.sources.catalog import Catalog
@@ -90,12 +90,12 @@ def test_uncommitted_and_replayed_batches(spark, tmp_path):
 
 @pytest.fixture(scope="module")
 def profiled(spark, tmp_path_factory):
-    """Three registered files: one fine, one unparseable, one gone; profiled twice."""
+    """Four registered files: one empty, one fine, one with a very long field, one gone; profiled twice."""
     root = tmp_path_factory.mktemp("profiled")
     folder = root / "files"
     folder.mkdir()
-    contents = {"empty": b"", "good": GOOD, "broken": b"id,amount\n1," + b"9" * 200_000 + b"\n", "gone": b"id,amount\n1,2\n"}
-    for name in ("good", "broken"):
+    contents = {"empty": b"", "good": GOOD, "wide": b"id,amount\n1," + b"9" * 200_000 + b"\n", "gone": b"id,amount\n1,2\n"}
+    for name in ("good", "wide"):
         (folder / name).write_bytes(contents[name])
     (folder / "copy of good").write_bytes(GOOD)
     catalog = Catalog(spark, f"file:{root}/catalog")
@@ -113,10 +113,11 @@ def profiled(spark, tmp_path_factory):
 
 def test_rerun_keeps_one_profile_and_all_runs(profiled):
     catalog, ids, _ = profiled
-    assert catalog.read("source_file_profiles").count() == 4
-    latest = catalog.latest_profiles().collect()
-    assert {(r.source_file_id, r.generated_at.day, r.status) for r in latest} == {(ids["good"], 3, "completed"), (ids["empty"], 3, "blocked")}
-    assert catalog.latest_column_profiles().count() == 2
+    assert catalog.read("source_file_profiles").count() == 6
+    latest = {r.source_file_id: (r.generated_at.day, r.status, r.row_count) for r in catalog.latest_profiles().collect()}
+    assert latest.keys() == {ids["good"], ids["empty"], ids["wide"]}
+    assert latest[ids["good"]][:2] == (3, "completed") and latest[ids["empty"]][:2] == (3, "blocked") and latest[ids["wide"]][2] == 1
+    assert catalog.latest_column_profiles().count() == 4
     issues = catalog.latest_issues()
     assert issues.count() == issues.select("issue_fingerprint").distinct().count()
     assert {r["count"] for r in catalog.read("pipeline_runs").groupBy("source_file_id").count().collect()} == {2}
@@ -127,21 +128,28 @@ def test_failures_are_audited(profiled):
     runs = {r.source_file_id: r for r in catalog.read("pipeline_runs").filter("batch_id = 'run-2'").collect()}
     assert runs[ids["good"]].status == "completed" and runs[ids["good"]].records_extracted == 1
     assert runs[ids["gone"]].error_message == "Registered source file is missing"
-    assert runs[ids["broken"]].status == "failed" and "field limit" in runs[ids["broken"]].error_message
     nested = reads.runs_with_steps(catalog.read("pipeline_runs"), catalog.read("pipeline_run_steps"))
     steps = {r.source_file_id: [s.status for s in r.steps] for r in nested.filter("batch_id = 'run-3'").collect()}
     assert steps[ids["good"]] == ["completed"] * 9
     assert steps[ids["gone"]] == ["failed"] + ["pending"] * 8
-    assert steps[ids["broken"]] == ["completed", "failed"] + ["pending"] * 7
 
 
 def test_only_unprofiled(profiled, spark):
     catalog, ids, folder = profiled
     stored = P.profile_registered(catalog, f"file:{folder}", "run-4", NOW.replace(day=4))
-    assert {r.source_file_id for r in stored.runs.collect()} == {ids["gone"], ids["broken"]}
+    assert {r.source_file_id for r in stored.runs.collect()} == {ids["gone"]}
     newer = P.profile_registered(catalog, f"file:{folder}", "run-5", NOW.replace(day=5), config=ProfilingConfig(version="2.0.0"))
-    assert {r.source_file_id for r in newer.profiles.collect()} == {ids["good"], ids["empty"]}
-    assert catalog.latest_profiles().count() == 4
+    assert {r.source_file_id for r in newer.profiles.collect()} == {ids["good"], ids["empty"], ids["wide"]}
+    assert catalog.latest_profiles().count() == 6
+    latest = catalog.latest_profile_of_files().collect()
+    assert sorted(r.source_file_id for r in latest) == sorted([ids["good"], ids["empty"], ids["wide"]])
+    assert {(r.profile_version, r.generated_at.day) for r in latest} == {("2.0.0", 5)}
+
+
+def test_files_without_checksum_are_refused(spark):
+    files = spark.createDataFrame([("a", None, NOW, None)], "path STRING, sha256_checksum STRING, discovered_at TIMESTAMP, error_code STRING")
+    with pytest.raises(Exception, match="without a checksum"):
+        registration.mark_duplicates(files, spark.createDataFrame([], "sha256_checksum STRING")).collect()
 
 
 def test_pages_and_filters(spark):

@@ -10,23 +10,23 @@ from ledgerlens.plans.profile import profile_files
 
 BOM = b"\xef\xbb\xbf"
 FILES = {
-    "clean_bank": b"id,date,amount,balance\na1,2026-01-01,100.00,100.00\na2,2026-01-13,-25.00,75.00\n",
-    "duplicate_rows": b"id,amount\na1,10\na1,10\n",
-    "null_heavy": b"id,amount,note\na1,10,\na2,,\na3,,x\n",
-    "mixed_dates": b"id,date,amount\na1,2026-01-13,10\na2,13/02/2026,20\n",
-    "currency_parentheses": b'id,amount\na1,"$1,200.50"\na2,"(200.50)"\na3,"PHP 50.00"\n',
-    "invalid_money": b"id,amount\na1,10\na2,not-money\n",
-    "duplicate_identifiers": b"id,amount\na1,10\na1,20\n",
-    "invalid_balance": b"id,amount,balance\na1,100,100\na2,-25,90\n",
-    "empty": b"\n",
-    "header_only": b"id,date,amount\n",
-    "quoted": b'id,description,amount\na1,"Coffee, snacks",12.50\n',
-    "utf8_bom": BOM + b"id,amount\na1,10\n",
-    "missing_financial": b"id,description\na1,hello\n",
-    "all_null": b"id,empty\na1,\na2,\n",
-    "constant_value": b"id,status,amount\na1,posted,10\na2,posted,20\n",
-    "manual_sample": b"date,description,amount\n2026-07-01,Phase 2A verification,125.50\n",
-    "end_to_end": b"id,date,amount,balance,note\na1,2026-01-01,100.00,100.00,x\na2,2026-01-13,(25.00),75.00,x\na2,bad,$oops,80.00,x\n",
+    "tidy": b"reference,posted date,amount,balance\nr-1,2031-05-04,250.00,250.00\nr-2,2031-05-19,-40.00,210.00\n",
+    "same_row_twice": b"id,total\nq7,81\nq7,81\n",
+    "sparse": b"id,amount,memo\ns1,7,\ns2,,\ns3,,kept\n",
+    "two_date_forms": b"id,date,total\nd1,2029-08-21,3\nd2,25/09/2029,4\n",
+    "marked_amounts": b'id,total\nm1,"$2,400.75"\nm2,"(400.75)"\nm3,"PHP 10.00"\n',
+    "word_for_amount": b"id,amount\nw1,6\nw2,pending\n",
+    "identifier_twice": b"id,amount\nz9,12\nz9,36\n",
+    "balance_off": b"id,amount,balance\nb1,60,60\nb2,-15,50\n",
+    "one_line_end": b"\r\n",
+    "names_only": b"reference,date,total,memo\n",
+    "comma_in_quotes": b'reference,memo,total\nc1,"Tea, two cups",8.40\n',
+    "marked_utf8": BOM + b"reference,total\nu1,15\n",
+    "no_amounts": b"id,memo\nn1,lunch\n",
+    "blank_column": b"id,unused\nk1,\nk2,\n",
+    "one_state": b"id,state,total\ne1,open,4\ne2,open,9\n",
+    "one_row": b"posting date,memo,net amount\n2033-11-30,Rent of the hall,940.25\n",
+    "many_faults": b"reference,date,amount,balance,memo\nf1,2027-02-03,80.00,80.00,same\nf2,2027-02-17,(30.00),50.00,same\nf2,soon,?12,60.00,same\n",
     "zero_bytes": b"",
     "ragged": b"id,amount\n1,2,3\n2\n",
     "no_money_all_null": b"description,empty\nx,\ny,\n",
@@ -70,45 +70,45 @@ def result(spark):
 
 EXPECTED = {
     # name: (types, issues as (code, column, row), status)
-    "clean_bank": ("identifier date currency currency", [], "completed"),
-    "duplicate_rows": (
+    "tidy": ("identifier date currency currency", [], "completed"),
+    "same_row_twice": (
         "identifier currency",
-        [("duplicate_rows", None, None), ("constant_value_column", "id", None), ("constant_value_column", "amount", None),
+        [("duplicate_rows", None, None), ("constant_value_column", "id", None), ("constant_value_column", "total", None),
          ("duplicate_transaction_identifier", "id", 2), ("duplicate_transaction_identifier", "id", 3)],
         "completed_with_warnings",
     ),
-    "null_heavy": (
+    "sparse": (
         "identifier currency text",
         [("unexpected_null_value", "amount", 3), ("unexpected_null_value", "amount", 4),
-         ("high_null_percentage", "amount", None), ("high_null_percentage", "note", None)],
+         ("high_null_percentage", "amount", None), ("high_null_percentage", "memo", None)],
         "completed_with_warnings",
     ),
-    "mixed_dates": ("identifier date currency", [("inconsistent_date_formats", "date", None)], "completed_with_warnings"),
-    "currency_parentheses": ("identifier currency", [], "completed"),
-    "invalid_money": ("identifier text", [("invalid_monetary_value", "amount", 3)], "completed_with_warnings"),
-    "duplicate_identifiers": (
+    "two_date_forms": ("identifier date currency", [("inconsistent_date_formats", "date", None)], "completed_with_warnings"),
+    "marked_amounts": ("identifier currency", [], "completed"),
+    "word_for_amount": ("identifier text", [("invalid_monetary_value", "amount", 3)], "completed_with_warnings"),
+    "identifier_twice": (
         "identifier currency",
         [("constant_value_column", "id", None), ("duplicate_transaction_identifier", "id", 2), ("duplicate_transaction_identifier", "id", 3)],
         "completed_with_warnings",
     ),
-    "invalid_balance": ("identifier currency currency", [("invalid_running_balance", "balance", 3)], "completed_with_warnings"),
-    "empty": ("", [("empty_file", None, None)], "blocked"),
-    "header_only": ("identifier text text", [("all_null_column", c, None) for c in ("id", "date", "amount")], "completed_with_warnings"),
-    "quoted": ("identifier text currency", [], "completed"),
-    "utf8_bom": ("identifier currency", [], "completed"),
-    "missing_financial": ("identifier text", [("required_financial_field_not_found", None, None)], "completed_with_warnings"),
-    "all_null": (
+    "balance_off": ("identifier currency currency", [("invalid_running_balance", "balance", 3)], "completed_with_warnings"),
+    "one_line_end": ("", [("empty_file", None, None)], "blocked"),
+    "names_only": ("identifier text text text", [("all_null_column", c, None) for c in ("reference", "date", "total", "memo")], "completed_with_warnings"),
+    "comma_in_quotes": ("identifier text currency", [], "completed"),
+    "marked_utf8": ("identifier currency", [], "completed"),
+    "no_amounts": ("identifier text", [("required_financial_field_not_found", None, None)], "completed_with_warnings"),
+    "blank_column": (
         "identifier text",
-        [("required_financial_field_not_found", None, None), ("all_null_column", "empty", None)],
+        [("required_financial_field_not_found", None, None), ("all_null_column", "unused", None)],
         "completed_with_warnings",
     ),
-    "constant_value": ("identifier text currency", [("constant_value_column", "status", None)], "completed_with_warnings"),
-    "manual_sample": ("date text currency", [], "completed"),
-    "end_to_end": (
+    "one_state": ("identifier text currency", [("constant_value_column", "state", None)], "completed_with_warnings"),
+    "one_row": ("date text currency", [], "completed"),
+    "many_faults": (
         "identifier date text currency text",
-        [("invalid_date_value", "date", 4), ("invalid_monetary_value", "amount", 4), ("duplicate_transaction_identifier", "id", 3),
-         ("duplicate_transaction_identifier", "id", 4), ("running_balance_not_verifiable", None, None),
-         ("constant_value_column", "note", None)],
+        [("invalid_date_value", "date", 4), ("invalid_monetary_value", "amount", 4), ("duplicate_transaction_identifier", "reference", 3),
+         ("duplicate_transaction_identifier", "reference", 4), ("running_balance_not_verifiable", None, None),
+         ("constant_value_column", "memo", None)],
         "completed_with_warnings",
     ),
     "zero_bytes": ("", [("empty_file", None, None)], "blocked"),
@@ -198,35 +198,35 @@ def values(row, **expected):
 
 def test_totals_and_balances(result):
     files, columns, issues = result
-    values(files["clean_bank"], monetary_total="75", opening_balance="0", closing_balance="75", calculated_closing_balance="75", running_balance_valid=True)
-    values(files["duplicate_rows"], monetary_total="20", duplicate_row_count=1, row_count=2)
-    values(files["currency_parentheses"], monetary_total="1050")
-    values(files["invalid_balance"], opening_balance="0", closing_balance="90", calculated_closing_balance="75", running_balance_valid=False, monetary_total="75")
-    values(files["header_only"], row_count=0, column_count=3, monetary_total=None, running_balance_valid=None)
-    values(files["empty"], delimiter=None, row_count=0, column_count=0)
-    values(files["utf8_bom"], encoding="utf-8-sig", delimiter=",")
+    values(files["tidy"], monetary_total="210", opening_balance="0", closing_balance="210", calculated_closing_balance="210", running_balance_valid=True)
+    values(files["same_row_twice"], monetary_total="162", duplicate_row_count=1, row_count=2)
+    values(files["marked_amounts"], monetary_total="2010")
+    values(files["balance_off"], opening_balance="0", closing_balance="50", calculated_closing_balance="45", running_balance_valid=False, monetary_total="45")
+    values(files["names_only"], row_count=0, column_count=4, monetary_total=None, running_balance_valid=None)
+    values(files["one_line_end"], delimiter=None, row_count=0, column_count=0)
+    values(files["marked_utf8"], encoding="utf-8-sig", delimiter=",")
     values(files["bom_semicolon"], encoding="utf-8-sig", delimiter=";")
     values(files["bad_bytes"], encoding=None, delimiter=None)
-    values(files["end_to_end"], closing_balance="80", monetary_total="75", opening_balance=None, running_balance_valid=None, row_count=3, column_count=5)
+    values(files["many_faults"], closing_balance="60", monetary_total="50", opening_balance=None, running_balance_valid=None, row_count=3, column_count=5)
     values(files["sides"], debit_total="31.5", credit_total="101", opening_balance="0", closing_balance="68.5", calculated_closing_balance="69.5", running_balance_valid=False)
     values(files["two_bases"], row_count=2, empty_row_count=1)
-    assert str(files["mixed_dates"]["date_range_start"]) == "2026-01-13"
-    assert str(files["mixed_dates"]["date_range_end"]) == "2026-02-13"
-    assert files["huge_field"]["error"] and "131072" in files["huge_field"]["error"]
+    assert str(files["two_date_forms"]["date_range_start"]) == "2029-08-21"
+    assert str(files["two_date_forms"]["date_range_end"]) == "2029-09-25"
+    assert files["huge_field"]["error"] is None and files["huge_field"]["row_count"] == 1
 
 
 def test_column_figures(result):
     _, columns, issues = result
-    values(columns["clean_bank"][2], standard_deviation="62.5")
-    values(columns["clean_bank"][3], standard_deviation="12.5")
-    amount = columns["currency_parentheses"][1]
-    assert (amount["minimum_value"], amount["maximum_value"], amount["detected_formats"]) == ("-200.50", "1200.50", ["currency"])
-    values(amount, median_value="50", mean_value="350", standard_deviation="610.027458")
-    values(columns["invalid_money"][1], minimum_length=2, maximum_length=9, average_length="5.5")
-    values(columns["duplicate_identifiers"][1], standard_deviation="5")
-    assert (columns["end_to_end"][2]["minimum_value"], columns["end_to_end"][2]["maximum_value"]) == ("$oops", "100.00")
-    assert columns["null_heavy"][2]["sample_values"] == ["x"]
-    by = {(r["issue_code"], r["column_name"]): r for n in ("null_heavy", "invalid_balance", "mixed_dates", "sides") for r in issues[n]}
+    values(columns["tidy"][2], standard_deviation="145")
+    values(columns["tidy"][3], standard_deviation="20")
+    amount = columns["marked_amounts"][1]
+    assert (amount["minimum_value"], amount["maximum_value"], amount["detected_formats"]) == ("-400.75", "2400.75", ["currency"])
+    values(amount, median_value="10", mean_value="670", standard_deviation="1235.259909")
+    values(columns["word_for_amount"][1], minimum_length=1, maximum_length=7, average_length="4")
+    values(columns["identifier_twice"][1], standard_deviation="12")
+    assert (columns["many_faults"][2]["minimum_value"], columns["many_faults"][2]["maximum_value"]) == ("(30.00)", "?12")
+    assert columns["sparse"][2]["sample_values"] == ["kept"]
+    by = {(r["issue_code"], r["column_name"]): r for n in ("sparse", "balance_off", "two_date_forms", "sides") for r in issues[n]}
     assert by["high_null_percentage", "amount"]["observed_value"] == "66.67%"
     assert by["high_null_percentage", "amount"]["expected_value"] == "<50.00%"
     assert by["inconsistent_date_formats", "date"]["observed_value"] == "%Y-%m-%d, %d/%m/%Y"
