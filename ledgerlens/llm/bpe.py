@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import base64
 import heapq
+import json
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -251,3 +253,39 @@ def encoded(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     docs = docs.withColumn("ids", encode(text, vocabulary)).withColumn("_bytes", decode("ids", vocabulary))
     docs = docs.withColumns({"n_tokens": F.size("ids").cast("bigint"), "exact": F.col("_bytes") == text.cast("binary")})
     return docs.drop("text", "_bytes")
+
+
+_BUCKETS = 1 << 16
+
+
+def fold_words(word: Column, ranks: dict[bytes, int]) -> Column:
+    """Ids of a word by Spark's higher-order functions alone: the same fold over hexadecimal pieces.
+
+    The ranks are a constant of buckets, because a lookup in a map walks through it. Meant for tables of distinct
+    words; see the README on why texts are not encoded this way.
+    """
+    buckets: list[dict[str, int]] = [{} for _ in range(_BUCKETS)]
+    for piece, rank in ranks.items():
+        key = piece.hex().upper()
+        buckets[zlib.crc32(key.encode()) % _BUCKETS][key] = rank
+    table = F.from_json(F.lit(json.dumps(buckets)), "array<map<string,int>>")
+    look = lambda key: F.element_at(F.element_at(table, (F.crc32(key) % _BUCKETS + 1).cast("int")), key)
+    let = lambda value, body: F.get(F.transform(F.array(value), body), F.lit(0))
+    raw = F.hex(word.cast("binary"))
+    n = (F.length(raw) / 2).cast("int")
+    first = F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(raw, 2 * i - 1, F.lit(2)))
+
+    def step(pieces: Column, _: Column) -> Column:
+        found = F.transform(F.sequence(F.lit(1), F.size(pieces) - 1), lambda i: look(F.concat(F.element_at(pieces, i), F.element_at(pieces, i + 1))))
+
+        def merge(r: Column) -> Column:
+            i = F.array_position(r, F.array_min(r)).cast("int")
+            joined = F.array(F.concat(F.element_at(pieces, i), F.element_at(pieces, i + 1)))
+            return F.when(F.array_min(r).isNull(), pieces).otherwise(
+                F.concat(F.slice(pieces, F.lit(1), i - 1), joined, F.slice(pieces, i + 2, F.size(pieces)))
+            )
+
+        return F.when(F.size(pieces) < 2, pieces).otherwise(let(found, merge))
+
+    folded = F.when(n < 2, first).otherwise(F.aggregate(F.sequence(F.lit(2), F.greatest(n, F.lit(2))), first, step))
+    return F.when(n == 0, F.array().cast("array<int>")).otherwise(F.transform(folded, look))

@@ -8,6 +8,7 @@ import public_tokenizers
 import pyarrow as pa
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 from hypothesis import given, settings, strategies as st
 
 from ledgerlens.llm import bpe, queries
@@ -42,6 +43,13 @@ def test_both_ways_of_folding():
         assert VOCABULARY.fold_long(word).tolist() == VOCABULARY.fold([word])[0].tolist()
 
 
+def test_higher_order_functions_give_the_same_ids(spark):
+    words = ["", "a", "the", " thatnenon", "Straße", "日本語", "zzzzzzzz", "\n\n", " 12345", "'ll"] + [None]
+    df = spark.createDataFrame([(w,) for w in words], "w string").select("w", bpe.fold_words(F.col("w"), RANKS).alias("ids"))
+    want = {w: None if w is None else VOCABULARY.fold([w.encode()])[0].tolist() for w in words}
+    assert {r.w: r.ids for r in df.collect()} == want
+
+
 def test_memory_forgets(monkeypatch):
     monkeypatch.setattr(bpe, "REMEMBERED", 5)
     memory = bpe._Memory(VOCABULARY)
