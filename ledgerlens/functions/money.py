@@ -1,8 +1,8 @@
 """Amounts in text. A value that is no number is NULL, never zero.
 
 ``parse`` yields STRUCT<valid, value, text>: ``text`` is the normalized number as written (scale kept),
-``value`` is DECIMAL(28,10) and is NULL also for a valid number too large for it. The expressions are SQL
-text over a column name: one expression tree, built in one call.
+``value`` is DECIMAL(28,10) and is NULL also for a valid number that it cannot hold exactly: such a number is never
+rounded. The expressions are SQL text over a column name: one expression tree, built in one call.
 """
 
 from __future__ import annotations
@@ -17,6 +17,8 @@ VALUE_TYPE = "decimal(28,10)"
 _SYMBOL = r"r'^(?:[$€£₱]|(?i:PHP))'"
 _NUMBER = r"r'\A[+-]?(?:[0-9]+(?:\.[0-9]+)?|\.[0-9]+)\z'"
 _LEADING = r"r'^[+-]?0*(?=[0-9.])'"
+# Further decimal places than VALUE_TYPE has.
+_FINER = r"r'\.[0-9]{10,}[1-9]'"
 
 
 def parse_sql(column: str, money: str = "true") -> str:
@@ -31,7 +33,8 @@ def parse_sql(column: str, money: str = "true") -> str:
     negative = f"if({in_parentheses}, NOT {minus} AND _size rlike '[1-9]', {minus})"
     text = f"concat(if({negative}, '-', ''), if(startswith(_size, '.'), '0', ''), _size)"
     text = let_sql("_size", f"regexp_replace(_digits, {_LEADING}, '')", text)
-    number = f"named_struct('valid', true, 'value', try_cast(_text AS {VALUE_TYPE}), 'text', _text)"
+    value = f"if(_text rlike {_FINER}, CAST(NULL AS {VALUE_TYPE}), try_cast(_text AS {VALUE_TYPE}))"
+    number = f"named_struct('valid', true, 'value', {value}, 'text', _text)"
     nothing = f"named_struct('valid', false, 'value', CAST(NULL AS {VALUE_TYPE}), 'text', CAST(NULL AS STRING))"
     parsed = f"if(_digits rlike {_NUMBER}, {let_sql('_text', text, number)}, {nothing})"
     return let_sql("_whole", strip_sql(column), let_sql("_digits", digits, parsed))
@@ -49,6 +52,11 @@ def parse_number(column: str) -> Column:
     return parse(column, "false")["value"]
 
 
+def is_whole(text: Column) -> Column:
+    """Whether normalized number text, of any length, has no fraction."""
+    return ~text.rlike(r"\.[0-9]*[1-9]")
+
+
 def scale_of(text: Column) -> Column:
     """Decimal places of normalized number text."""
     return F.char_length(F.substring_index(F.concat(text, F.lit(".")), ".", 2)) - F.char_length(

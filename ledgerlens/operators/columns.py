@@ -63,7 +63,7 @@ def _column_facts(parsed: DataFrame) -> DataFrame:
         F.count(F.when(filled, 1)).alias("distinct"),
         rows_with(valid).alias("numbers"),
         rows_with(valid & number.isNull()).alias("too_large"),
-        rows_with(valid & (number == F.floor(number))).alias("integers"),
+        rows_with(valid & money.is_whole(F.col("number.text"))).alias("integers"),
         rows_with(day.isNotNull() & filled).alias("dates"),
         rows_with(ambiguous).alias("ambiguous"),
         rows_with(dates.is_midnight(day) & filled).alias("midnights"),
@@ -98,7 +98,7 @@ def inferred_type() -> Column:
         .when(
             some & (F.col("numbers") == filled),
             F.when(concept.isin(*MONEY), "currency")
-            .when(F.col("integers") + F.col("too_large") == filled, "integer")
+            .when(F.col("integers") == filled, "integer")
             .otherwise("decimal"),
         )
         .when(
@@ -144,7 +144,9 @@ def column_statistics(parsed: DataFrame, config: ProfilingConfig = ProfilingConf
     numeric = kind.isin("integer", "decimal", "currency") & (F.col("numbers") > 0)
     dated = kind.isin("date", "datetime") & (F.col("dates") > 0)
     textual = kind.isin("text", "identifier") & F.col("min_text").isNotNull()
-    counted = F.col("numbers") - F.col("too_large")
+    # a figure of all numbers is only given where all are held exactly, never from the rest
+    exact = numeric & (F.col("too_large") == 0)
+    counted = F.col("numbers")
     fractions = F.col("s_fraction").try_cast("decimal(26,0)") * F.lit(Decimal("0.0000000001"))
     total = F.col("s_whole").try_cast("decimal(27,0)") + fractions.cast("decimal(37,10)")
     facts = _column_facts(parsed).withColumn("kind", inferred_type())
@@ -162,17 +164,17 @@ def column_statistics(parsed: DataFrame, config: ProfilingConfig = ProfilingConf
         .alias("null_percentage"),
         F.col("distinct").alias("unique_count"),
         F.greatest(F.col("rows") - F.col("nulls") - F.col("distinct"), F.lit(0)).alias("duplicate_value_count"),
-        F.when(numeric, F.col("low.t"))
+        F.when(exact, F.col("low.t"))
         .when(dated, F.date_format("min_day", "yyyy-MM-dd"))
         .when(textual, F.col("min_text"))
         .alias("minimum_value"),
-        F.when(numeric, F.col("high.t"))
+        F.when(exact, F.col("high.t"))
         .when(dated, F.date_format("max_day", "yyyy-MM-dd"))
         .when(textual, F.col("max_text"))
         .alias("maximum_value"),
-        F.when(numeric, F.try_divide(total, counted.cast("decimal(19,0)"))).try_cast("decimal(24,6)").alias("mean_value"),
+        F.when(exact, F.try_divide(total, counted.cast("decimal(19,0)"))).try_cast("decimal(24,6)").alias("mean_value"),
         F.when(
-            numeric,
+            exact,
             _spread()(counted, *[F.col(c) for c in ("s_whole", "s_fraction", "q_whole", "q_cross", "q_fraction")]),
         ).alias("standard_deviation"),
         F.when(textual, F.col("min_length")).alias("minimum_length"),
@@ -291,7 +293,7 @@ def column_profiles(
         .join(middle, key, "left")
         .withColumns(
             {
-                "median_value": F.when(numeric, F.col("median_value")),
+                "median_value": F.when(numeric & (F.col("overflow_count") == 0), F.col("median_value")),
                 "sample_values": F.coalesce("sample_values", F.array().cast("array<string>")),
                 "original_data_type": F.lit("string"),
             }

@@ -56,11 +56,15 @@ def movements(ledger: DataFrame) -> DataFrame:
 
 
 def control_totals(ledger: DataFrame) -> DataFrame:
-    """file_id, monetary_total, debit_total, credit_total; NULL where nothing parses."""
+    """file_id, monetary_total, debit_total, credit_total; NULL where nothing parses, or a number is not held exactly."""
     sums = {"monetary_total": "amount", "debit_total": "debit", "credit_total": "credit"}
-    return ledger.groupBy("file_id").agg(
-        *[F.sum(money.parse_money(c)).try_cast(RESULT_TYPE).alias(name) for name, c in sums.items()]
-    )
+    parsed = ledger.select("file_id", *[money.parse(c).alias(c) for c in sums.values()])
+
+    def total(c: str) -> Column:
+        all_held = F.count_if(F.col(f"{c}.valid") & F.col(f"{c}.value").isNull()) == 0
+        return F.when(all_held, F.sum(f"{c}.value")).try_cast(RESULT_TYPE)
+
+    return parsed.groupBy("file_id").agg(*[total(c).alias(name) for name, c in sums.items()])
 
 
 def _block_totals(rows: DataFrame) -> DataFrame:
@@ -145,20 +149,22 @@ def balance_summary(
     """One row per file with a parseable balance: opening, closing and calculated closing balance, validity.
 
     ``verifiable`` is false when movements or balances are incomplete; validity and opening are NULL then.
-    The last row decides on the closing balance, every row on the validity.
+    The last row with a balance decides on the closing balance (NULL if it is not held exactly), every row on the
+    validity.
     """
-    last = F.when(F.col("reported").isNotNull(), F.col("row_no"))
+    last = F.when(F.col("reported_text").isNotNull(), F.col("row_no"))
     totals = (
         _followed(ledger, config, block_rows)
         .groupBy("file_id")
         .agg(
             F.max("verifiable").alias("verifiable"),
             F.max("opening").alias("opening"),
+            F.max(last).alias("last"),
             F.max_by("reported", last).alias("closing"),
             F.max_by("expected", "row_no").alias("calculated"),
             F.min("matches").alias("all_match"),
         )
-        .filter(F.col("closing").isNotNull())
+        .filter(F.col("last").isNotNull())
     )
     verified = F.col("verifiable")
     return totals.select(

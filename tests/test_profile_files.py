@@ -46,6 +46,9 @@ FILES = {
     "bad_bytes": b"id,amount\n1,\xff\n",
     "newline_in_quotes": b'id,note,amount\n1,"two\nlines",5\n2,y,\n',
     "odd_spaces": "id,amount\n 1 ,  5\n".encode(),
+    "wide_amount": b"id,amount\n" + b"".join(b"%d,1.00\n" % i for i in range(9)) + b"9,1234567890123456789.00\n",
+    "wide_balance": b"id,amount,balance\n1,5,5\n2,1234567890123456789,1234567890123456794\n",
+    "fine_fractions": b"id,share,amount\n1,5.00000000001,1\n2,6.00000000001,2\n",
     "huge_field": b"id,amount\n1," + b"9" * 200_000 + b"\n",
 }
 NAMES = {hashlib.sha256(content).hexdigest(): name for name, content in FILES.items()}
@@ -215,6 +218,16 @@ def test_totals_and_balances(result):
     assert files["huge_field"]["error"] is None and files["huge_field"]["row_count"] == 1
 
 
+def test_no_figure_is_made_from_part_of_the_numbers(result):
+    files, columns, _ = result
+    nothing = dict(minimum_value=None, maximum_value=None, mean_value=None, median_value=None, standard_deviation=None)
+    values(columns["wide_amount"][1], inferred_data_type="currency", non_null_count=10, unique_count=2, **nothing)
+    values(files["wide_amount"], monetary_total=None, row_count=10)
+    values(files["wide_balance"], monetary_total=None, closing_balance=None, opening_balance=None, running_balance_valid=None)
+    values(columns["fine_fractions"][1], inferred_data_type="decimal", **nothing)
+    values(files["fine_fractions"], monetary_total="3")
+
+
 def test_column_figures(result):
     _, columns, issues = result
     values(columns["tidy"][2], standard_deviation="145")

@@ -38,6 +38,14 @@ def test_number_too_large_is_valid_without_value(spark):
     assert row.valid and row.value is None and row.text == "9" * 40
 
 
+def test_number_too_fine_is_never_rounded(spark):
+    cases = {"5.00000000001": None, "5.00000000000": Decimal(5), "0.0000000001": Decimal("0.0000000001"), "-1.12345678905": None}
+    rows = spark.createDataFrame([(v,) for v in cases], "v STRING").select("v", money.parse("v").alias("p")).collect()
+    assert {r.v: r.p.value for r in rows} == cases and all(r.p.valid for r in rows)
+    whole = spark.createDataFrame([("9" * 40,), ("5.00",), ("5.00000000001",)], "v STRING").select(money.is_whole(F.col("v"))).collect()
+    assert [r[0] for r in whole] == [True, True, False]
+
+
 def test_scale(spark):
     df = spark.createDataFrame([("12.50",), ("12",), ("-0.125",)], "v STRING")
     assert [r[0] for r in df.select(money.scale_of(F.col("v"))).collect()] == [2, 0, 3]
