@@ -11,7 +11,7 @@ from ledgerlens.config import RegistrationConfig
 from ledgerlens.durable import materialize
 from ledgerlens.operators.registration import MESSAGES, check_files, mark_duplicates
 from ledgerlens.sources.catalog import Catalog
-from ledgerlens.sources.corpus import EMPTY_FILE, read_corpus
+from ledgerlens.sources.corpus import EMPTY_FILE, listed_paths, read_corpus
 
 RUN_TYPE = "source_file_upload"
 STEP = "receive_and_register"
@@ -34,18 +34,20 @@ def read_landing(
 ) -> DataFrame:
     """Manifest rows (path, original_filename, mime_type, source_system_code, discovered_at) with size and checksum.
 
-    Files above the limit are listed but never opened. The bytes are hashed in the scan and go no further.
-    The file source lists no empty file, so a manifest row without a listed file stands for one.
+    Files above a limit are listed but never opened. The bytes are hashed in the scan and go no further. A file
+    that has not arrived has neither size nor checksum; the source reads no empty file, so the listing tells them apart.
     """
     listing = read_corpus(spark, directory).select("path", "length")
     hashes = read_corpus(spark, directory, config.max_bytes).select("path", F.sha2("content", 256).alias("sha256_checksum"))
-    landed = manifest.join(listing, "path", "left").join(hashes, "path", "left")
+    arrived = listed_paths(spark, directory).withColumn("_arrived", F.lit(True))
+    landed = manifest.join(listing, "path", "left").join(hashes, "path", "left").join(arrived, "path", "left")
+    empty = F.col("length").isNull() & F.col("_arrived")
     return landed.withColumns(
         {
-            "length": F.coalesce("length", F.lit(0).cast("bigint")),
-            "sha256_checksum": F.when(F.col("length").isNull(), EMPTY_FILE).otherwise(F.col("sha256_checksum")),
+            "length": F.when(empty, F.lit(0).cast("bigint")).otherwise(F.col("length")),
+            "sha256_checksum": F.when(empty, EMPTY_FILE).otherwise(F.col("sha256_checksum")),
         }
-    )
+    ).drop("_arrived")
 
 
 def landing_of(files: DataFrame, config: RegistrationConfig = RegistrationConfig()) -> DataFrame:

@@ -7,7 +7,9 @@ files may be too large for a task; tables of any size take the route of ``source
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Callable, Iterator
+from urllib.parse import unquote
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -27,6 +29,14 @@ CHUNK_RECORDS = 5_000
 FILE_SCHEMA = "path STRING, modificationTime TIMESTAMP, length BIGINT, content BINARY"
 
 
+def listed_paths(spark: SparkSession, directory: str) -> DataFrame:
+    """path of every file below ``directory``, empty ones too: Spark lists them, but reads none."""
+    files = spark.read.format("binaryFile").schema(FILE_SCHEMA).option("recursiveFileLookup", "true").load(directory)
+    # the listing has URLs, the column of the source plain paths
+    paths = [(re.sub(r"^([a-z]+):/+(?=[^/])", r"\1:/", unquote(f)) if f.startswith("file:") else unquote(f),) for f in files.inputFiles()]
+    return spark.createDataFrame(paths, "path STRING")
+
+
 def read_corpus(spark: SparkSession, directory: str, max_bytes: int | None = None) -> DataFrame:
     """Files below ``directory``: path, modificationTime, length, content.
 

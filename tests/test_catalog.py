@@ -74,6 +74,21 @@ def test_registration_outcomes(spark, systems, tmp_path):
     assert again.outcomes.filter("outcome = 'duplicate'").count() == 4
 
 
+def test_files_that_have_not_arrived_fail(spark, systems, tmp_path):
+    (tmp_path / "an empty é.csv").write_bytes(b"")
+    (tmp_path / "there.csv").write_bytes(GOOD)
+    names = ["an empty é.csv", "there.csv", "never.csv"]
+    manifest = spark.createDataFrame(
+        [(f"file:{tmp_path}/{n}", n, "text/csv", "bank", NOW) for n in names],
+        "path STRING, original_filename STRING, mime_type STRING, source_system_code STRING, discovered_at TIMESTAMP",
+    )
+    landed = R.read_landing(spark, str(tmp_path), manifest)
+    batch = R.register_batch(landed, systems, spark.createDataFrame([], "sha256_checksum STRING"), "b", NOW)
+    found = {r.path.rsplit("/", 1)[1]: (r.status, r.code) for r in R.upload_responses(batch.outcomes).collect()}
+    assert found == {"an empty é.csv": ("registered", None), "there.csv": ("registered", None), "never.csv": ("failed", "file_not_found")}
+    assert {r.original_filename: r.file_size_bytes for r in batch.files.collect()} == {"an empty é.csv": 0, "there.csv": len(GOOD)}
+
+
 def test_uncommitted_and_replayed_batches(spark, tmp_path):
     catalog = Catalog(spark, f"file:{tmp_path}/catalog")
     assert catalog.read("source_systems").count() == 0
