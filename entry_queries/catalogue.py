@@ -13,7 +13,7 @@ from ledgerlens.functions import dates, money, text
 from ledgerlens.operators import columns as C, concepts, ledger as L, ordered, reads, registration, rollup, rules, shaping
 from ledgerlens.plans import profile as P, register as R
 from ledgerlens.sources import corpus as K, tables
-from ledgerlens.sources.catalog import Catalog
+from ledgerlens.sources.catalog import Catalog, latest_of_files
 from ledgerlens.streaming.intake import landing_stream, start_intake
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -690,9 +690,41 @@ def t2_profile_page(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def t3_column_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     catalog = profile_catalog(spark, sf_dir)
-    wanted = catalog.latest_profiles().filter("source_file_id = '8'").select("profile_id")
-    columns = catalog.latest_column_profiles().join(wanted, "profile_id", "left_semi")
-    return reads.page(columns, [F.col("column_position")], 2, 4, 200).select("column_position", "column_name", "inferred_data_type")
+    wanted = catalog.latest_profiles().filter("source_file_id = '8'").first()["profile_id"]
+    page = reads.column_page(catalog.latest_column_profiles(), wanted, 2, 4)
+    return page.select("column_position", "column_name", "inferred_data_type")
+
+
+@query
+def t7_latest_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest profile of every file, where some have a profile of a newer version."""
+    profiles = profile_catalog(spark, sf_dir).latest_profiles()
+    newer = profiles.filter("CAST(source_file_id AS INT) % 2 = 0").withColumns(
+        {"profile_version": F.lit("2.0.0"), "run_id": F.lit("newer"), "generated_at": F.col("generated_at") + F.expr("INTERVAL 1 DAY")}
+    )
+    latest = latest_of_files(profiles.unionByName(newer))
+    return latest.select("source_file_id", "profile_version", "row_count", F.date_format("generated_at", "yyyy-MM-dd").alias("day"))
+
+
+@query
+def j9_profile_with_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every profile with its file's name and size: the ledgers as files of 100 bytes a row."""
+    profiles = profile_catalog(spark, sf_dir).latest_profiles()
+    counts = I.ledger(spark, sf_dir).groupBy(F.col("file_id").alias("source_file_id")).agg(F.count("*").alias("n"))
+    files = counts.withColumns({"original_filename": F.format_string("ledger %s.csv", "source_file_id"), "file_size_bytes": F.col("n") * 100})
+    return reads.profiles_with_files(profiles, files).select("source_file_id", "row_count", "original_filename", "registered_size_bytes")
+
+
+@query
+def f7_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The run and the profile of one ledger by their keys, with their parts."""
+    catalog = profile_catalog(spark, sf_dir)
+    wanted = catalog.latest_profiles().filter("source_file_id = '8'").first()
+    profile = reads.profile_by_id(catalog.latest_profiles(), catalog.latest_issues(), wanted["profile_id"])
+    run = reads.run_by_id(catalog.read("pipeline_runs"), catalog.read("pipeline_run_steps"), wanted["run_id"])
+    totals = [F.coalesce(F.col("issue_totals")[s], F.lit(0).cast("bigint")).alias(s) for s in ("critical", "error", "warning", "info")]
+    parts = profile.select("source_file_id", "row_count", *totals)
+    return parts.join(run.select("source_file_id", "status", F.size("steps").alias("n_steps"), F.array_join("steps.step_name", ",").alias("steps")), "source_file_id")
 
 
 @query

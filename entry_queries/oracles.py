@@ -607,6 +607,13 @@ ORACLES: dict[str, str] = {
     "t2_profile_page": _with([LEDGER], """SELECT file_id AS source_file_id, count(*) AS row_count, day FROM ledger, (VALUES ('2024-06-01'), ('2024-06-02')) AS v(day)
         WHERE file_id = '8' GROUP BY ALL"""),
     "t3_column_page": _with(STATS, "SELECT position AS column_position, name AS column_name, kind AS inferred_data_type FROM typed WHERE file_id = '8' ORDER BY position LIMIT 4 OFFSET 4"),
+    "t7_latest_profile": _with([LEDGER], """SELECT file_id AS source_file_id, count(*) AS row_count, CASE WHEN CAST(file_id AS INT) % 2 = 0 THEN '2.0.0' ELSE '1.0.0' END AS profile_version,
+        CASE WHEN CAST(file_id AS INT) % 2 = 0 THEN '2024-06-02' ELSE '2024-06-01' END AS day FROM ledger GROUP BY file_id"""),
+    "j9_profile_with_file": _with([LEDGER], """SELECT file_id AS source_file_id, count(*) AS row_count, concat('ledger ', file_id, '.csv') AS original_filename, count(*) * 100 AS registered_size_bytes
+        FROM ledger GROUP BY file_id"""),
+    "f7_by_key": _with(ISSUES, f"""SELECT l.file_id AS source_file_id, l.n AS row_count, {", ".join(f"count(*) FILTER (severity = '{s}') AS {s}" for s in ("critical", "error", "warning", "info"))},
+        {STATUS}, 9 AS n_steps, 'load_registered_file,detect_encoding_and_delimiter,inspect_schema,calculate_file_statistics,calculate_column_statistics,run_data_quality_rules,validate_running_balance,persist_profile,finalize_profile' AS steps
+        FROM (SELECT file_id, count(*) AS n FROM ledger WHERE file_id = '8' GROUP BY 1) l LEFT JOIN issues i ON i.file_id = l.file_id GROUP BY l.file_id, l.n"""),
     "a17_profile_totals": _with(ISSUES, f"""SELECT l.file_id AS source_file_id, {STATUS}, {", ".join(f"count(*) FILTER (severity = '{s}') AS {s}" for s in ("critical", "error", "warning", "info"))}
         FROM (SELECT DISTINCT file_id FROM ledger) l LEFT JOIN issues i ON i.file_id = l.file_id GROUP BY l.file_id"""),
     "k3_latest_profiles": _with(ISSUES, f"""SELECT l.file_id AS source_file_id, '2024-06-02' AS day, l.n AS row_count, {len(LEDGER_COLUMNS)} AS n_columns, coalesce(i.c, 0) AS n_issues, 2 AS n_runs

@@ -97,3 +97,31 @@ def profiles_with_totals(profiles: DataFrame, issues: DataFrame) -> DataFrame:
     return profiles.join(issue_totals(issues, "profile_id"), "profile_id", "left").withColumn(
         "issue_totals", F.coalesce("issue_totals", empty)
     )
+
+
+def profiles_with_files(profiles: DataFrame, files: DataFrame) -> DataFrame:
+    """Profiles with the name and the size of their files."""
+    size = F.col("file_size_bytes").alias("registered_size_bytes")
+    return profiles.join(files.select("source_file_id", "original_filename", size), "source_file_id")
+
+
+def file_by_id(files: DataFrame, systems: DataFrame, source_file_id: str) -> DataFrame:
+    """One file with its source system; no row if there is none."""
+    return files_with_system(files.filter(F.col("source_file_id") == source_file_id), systems)
+
+
+def run_by_id(runs: DataFrame, steps: DataFrame, run_id: str) -> DataFrame:
+    """One run with its steps; no row if there is none."""
+    own = F.col("run_id") == run_id
+    return runs_with_steps(runs.filter(own), steps.filter(own))
+
+
+def profile_by_id(profiles: DataFrame, issues: DataFrame, profile_id: str) -> DataFrame:
+    """One profile with its findings per severity; no row if there is none."""
+    own = F.col("profile_id") == profile_id
+    return profiles_with_totals(profiles.filter(own), issues.filter(own))
+
+
+def issue_by_id(issues: DataFrame, issue_fingerprint: str) -> DataFrame:
+    """One finding; no row if there is none."""
+    return issues.filter(F.col("issue_fingerprint") == issue_fingerprint)
