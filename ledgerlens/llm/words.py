@@ -20,7 +20,7 @@ PUNCTUATION = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 #: Bytes of text worked on at a time; a longer text is taken alone.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 #: Bytes whose hashes are summed at a time.
 _RUN = 1 << 19
 _BASE = 0x9E3779B97F4A7C15
