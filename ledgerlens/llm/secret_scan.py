@@ -12,6 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ledgerlens.llm.automaton import Automaton, compile_rules, matches, read
@@ -158,7 +159,7 @@ def redacted(text: Column | str, rules: tuple[Rule, ...] = RULES) -> Column:
                 mask[list(changed)] = True
                 # the changed ones are few; the others stay as they are
                 new = pa.array([changed[i] for i in sorted(changed)], texts.type)
-                texts = pa.compute.replace_with_mask(texts, pa.array(mask), new)
+                texts = pc.replace_with_mask(texts, pa.array(mask), new)
             yield texts
 
     return of(text)
