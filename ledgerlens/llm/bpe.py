@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -207,6 +208,31 @@ class _Memory:
         return self.ids[_spread(self.start[words], count)].astype(np.int32), np.diff(ends)
 
 
+def _ids_of(memory: _Memory, texts: pa.Array) -> pa.ListArray:
+    _, offsets = buffer_of(texts)
+    ids, counts = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+    for low, high in slices(offsets, STRETCH):
+        found, count = memory.encode([t or "" for t in texts.slice(low, high - low).to_pylist()])
+        ids.append(found)
+        counts.append(count)
+    ends = np.concatenate([[0], np.cumsum(np.concatenate(counts))])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(ids)))
+
+
+def _bytes_of(vocabulary: Vocabulary, lists: pa.ListArray) -> pa.Array:
+    counts = np.array(pc.fill_null(pc.list_value_length(lists), 0), np.int64)
+    ends, flat = np.concatenate([[0], np.cumsum(counts)]), lists.flatten()
+    offsets, parts, total = [[0]], [], 0
+    for low, high in slices(ends, 1 << 20):
+        data, at = vocabulary.pieces(flat.slice(ends[low], ends[high] - ends[low]))
+        offsets.append(total + at[ends[low + 1 : high + 1] - ends[low]])
+        parts.append(data)
+        total += len(data)
+    offsets = np.concatenate(offsets).astype(np.int32)
+    valid = pa.py_buffer(np.packbits(lists.is_valid().to_numpy(zero_copy_only=False), bitorder="little").tobytes())
+    return pa.Array.from_buffers(pa.binary(), len(lists), [valid, pa.py_buffer(offsets.tobytes()), pa.py_buffer(b"".join(parts))])
+
+
 def encode(text: Column | str, vocabulary: Vocabulary) -> Column:
     """Ids of every whole text, without special tokens; null and empty texts have none."""
 
@@ -214,14 +240,7 @@ def encode(text: Column | str, vocabulary: Vocabulary) -> Column:
     def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         memory = _Memory(vocabulary)
         for texts in batches:
-            _, offsets = buffer_of(texts)
-            ids, counts = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
-            for low, high in slices(offsets, STRETCH):
-                found, count = memory.encode([t or "" for t in texts.slice(low, high - low).to_pylist()])
-                ids.append(found)
-                counts.append(count)
-            ends = np.concatenate([[0], np.cumsum(np.concatenate(counts))])
-            yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(ids)))
+            yield _ids_of(memory, texts)
 
     return of(text)
 
@@ -232,27 +251,31 @@ def decode(ids: Column | str, vocabulary: Vocabulary) -> Column:
     @F.arrow_udf("binary")
     def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for lists in batches:
-            counts = np.array(pa.compute.fill_null(pa.compute.list_value_length(lists), 0), np.int64)
-            ends, flat = np.concatenate([[0], np.cumsum(counts)]), lists.flatten()
-            offsets, parts, total = [[0]], [], 0
-            for low, high in slices(ends, 1 << 20):
-                data, at = vocabulary.pieces(flat.slice(ends[low], ends[high] - ends[low]))
-                offsets.append(total + at[ends[low + 1 : high + 1] - ends[low]])
-                parts.append(data)
-                total += len(data)
-            offsets = np.concatenate(offsets).astype(np.int32)
-            valid = pa.py_buffer(np.packbits(lists.is_valid().to_numpy(zero_copy_only=False), bitorder="little").tobytes())
-            yield pa.Array.from_buffers(pa.binary(), len(lists), [valid, pa.py_buffer(offsets.tobytes()), pa.py_buffer(b"".join(parts))])
+            yield _bytes_of(vocabulary, lists)
 
     return of(ids)
 
 
+def both_ways(text: Column | str, vocabulary: Vocabulary) -> Column:
+    """A struct (ids, bytes): the ids of every whole text, and what they decode to. One worker does both."""
+
+    @F.arrow_udf("ids array<int>, bytes binary")
+    def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        memory = _Memory(vocabulary)
+        for texts in batches:
+            ids = _ids_of(memory, texts)
+            yield pa.StructArray.from_arrays([ids, _bytes_of(vocabulary, ids)], names=["ids", "bytes"])
+
+    return of(text)
+
+
 def encoded(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """The documents with their ids and n_tokens in place of the text, and whether decoding gave the text's bytes again."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    docs = docs.withColumn("ids", encode(text, vocabulary)).withColumn("_bytes", decode("ids", vocabulary))
-    docs = docs.withColumns({"n_tokens": F.size("ids").cast("bigint"), "exact": F.col("_bytes") == text.cast("binary")})
-    return docs.drop("text", "_bytes")
+    docs = docs.withColumn("_both", both_ways(text, vocabulary))
+    ids = F.col("_both.ids")
+    docs = docs.withColumns({"ids": ids, "n_tokens": F.size(ids).cast("bigint"), "exact": F.col("_both.bytes") == text.cast("binary")})
+    return docs.drop("text", "_both")
 
 
 _BUCKETS = 1 << 16

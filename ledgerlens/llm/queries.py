@@ -51,13 +51,13 @@ def op5_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = bpe.Vocabulary(bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")), public_tokenizers.PATTERN)
-    docs = table(spark, sf_dir, "documents").select("doc_id", bpe.encode(F.col("text").cast("string"), vocabulary).alias("ids"))
-    docs = docs.withColumn("bytes", bpe.decode("ids", vocabulary))
+    both = bpe.both_ways(F.col("text").cast("string"), vocabulary)
+    docs = table(spark, sf_dir, "documents").select("doc_id", both.alias("both"))
     return docs.select(
         "doc_id",
-        F.size("ids").cast("bigint").alias("n_tokens"),
-        F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"),
-        F.sha2("bytes", 256).alias("decoded_sha256"),
+        F.size("both.ids").cast("bigint").alias("n_tokens"),
+        F.sha2(F.array_join("both.ids", ","), 256).alias("ids_sha256"),
+        F.sha2("both.bytes", 256).alias("decoded_sha256"),
     )
 
 
