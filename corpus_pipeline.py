@@ -14,6 +14,8 @@ from ledgerlens.durable import materialize
 from ledgerlens.llm import bpe, decontamination, language_id, ngram_join, secret_scan
 
 TOKENIZER = "byte_bpe_multi_50k.tiktoken"
+#: What near copies share: so many percent of their shingles of so many words. The op8 query has values of its own.
+NEAR_COPY_WORDS, NEAR_COPY_PERCENT = 5, 80
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -23,7 +25,7 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return ngram_join.keep_one_of_each(docs)
+    return ngram_join.keep_one_of_each(docs, NEAR_COPY_WORDS, NEAR_COPY_PERCENT)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -7,6 +7,7 @@ import tiktoken
 import corpus_pipeline
 from ledgerlens.llm import bpe
 from llm_plain import leaks, links, secrets
+from test_ngram_join import brute_force
 
 SF_DIR = "/root/testdata/sf0.001"
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -69,3 +70,20 @@ def test_odd_rows(spark, stage):
     if stage == "secret_scan":
         assert sum("[assign]" in (r.text or "") for r in found) == 3 and {r.n_chars for r in found if r.doc_id == 1} == {len(text) - 27 + 8}
     assert dict(corpus_pipeline.STAGES)[stage](spark, docs.where("false"), SF_DIR).count() == 0
+
+
+def test_near_copies_of_five_words_and_80_percent(spark):
+    """Scattered edits and edited blocks between the stage's threshold and that of the op8 query."""
+    rows, texts = [], {}
+    for g, changed in enumerate([1, 2, 3, 4, 5, 6, 8, 12, 14, 16, 18, 20, 22, 24]):
+        base = [f"b{g}x{k}" for k in range(200)]
+        block, spread = list(base), list(base)
+        for k in range(changed):
+            block[80 + k], spread[(k * 200) // changed + 3] = f"c{g}x{k}", f"d{g}x{k}"
+        for k, text in enumerate((base, block, spread)):
+            texts[10 * g + k] = " ".join(text)
+            rows.append((10 * g + k, texts[10 * g + k], "en", "s", len(texts[10 * g + k])))
+    result, _ = kept(spark, "ngram_jaccard_join", rows)
+    firsts = {i for i, (_, component) in brute_force(texts, size=5, percent=80).items() if component == i}
+    assert {r.doc_id for r in result.collect()} == firsts
+    assert firsts != {i for i, (_, component) in brute_force(texts).items() if component == i}
