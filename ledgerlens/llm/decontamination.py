@@ -1,7 +1,7 @@
 """Finds benchmark passages in training documents: rare n-gram seeds, then Smith-Waterman alignment.
 
 Test items are cut into passages. How many documents hold each n-gram of a passage is counted over all documents, and in every few
-neighbouring n-grams of a passage the rarest becomes a seed: a passage keeps seeds all along even where it has been copied into very
+neighbouring n-grams of a passage the rarest that occurs at all becomes a seed: a passage keeps seeds all along even where it has been copied into very
 many documents, and common phrases stay out. Where a seed occurs in a document, the words around it are
 aligned with the passage; the score is the best local alignment over that of a verbatim copy, so that edited and
 paraphrased copies score in proportion to what is left.
@@ -79,13 +79,18 @@ def passages_of(items: list[tuple[int | None, str]], size: int = SEED_WORDS) ->
 
 
 def seeds_of(passages: Passages, frequency: dict[int, int], every: int = SEED_EVERY) -> Seeds:
-    """In every run of ``every`` n-grams of a passage the one in the fewest documents, the first of equals."""
-    rank = np.array([frequency.get(g, 0) for g in passages.gram.view(np.int64).tolist()], np.int64)
+    """In every run of ``every`` n-grams of a passage the one in the fewest documents, the first of equals.
+
+    N-grams that no document holds find nothing and take no other's place.
+    """
+    never = np.iinfo(np.int64).max
+    rank = np.array([frequency.get(g, 0) or never for g in passages.gram.view(np.int64).tolist()], np.int64)
     keep = np.zeros(len(rank), bool)
     begins = np.searchsorted(passages.passage, np.arange(len(passages.item) + 1))
     for low, high in zip(begins[:-1], begins[1:], strict=True):
         for at in range(low, max(low + 1, high - every + 1)):
             keep[at + int(rank[at : min(at + every, high)].argmin())] = True
+    keep &= rank < never
     order = np.flatnonzero(keep)[np.argsort(passages.gram[keep], kind="stable")]
     gram, first, count = np.unique(passages.gram[order], return_index=True, return_counts=True)
     bitmap = np.zeros(65536, bool)
@@ -96,6 +101,8 @@ def seeds_of(passages: Passages, frequency: dict[int, int], every: int = SEED_EV
 def _lookup(gram: np.ndarray, bitmap: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Which of ``wanted`` are in ``gram`` (sorted), and where."""
     near = np.flatnonzero(bitmap[(wanted & np.uint64(65535)).astype(np.int64)])
+    if not len(gram):
+        return near[:0], near[:0]
     at = np.minimum(np.searchsorted(gram, wanted[near]), len(gram) - 1)
     same = gram[at] == wanted[near]
     return near[same], at[same]

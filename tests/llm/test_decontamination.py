@@ -99,3 +99,33 @@ def test_no_rows(spark, documents):
     assert D.find_leaks(documents(["a b c d e f"]), none).count() == 0
     assert D.find_leaks(documents([]), spark.createDataFrame([(1, "a b c d e f")], ITEMS)).count() == 0
     assert D.without_leaks(documents(["a b c d e f"]), none).count() == 1
+
+
+def test_copies_with_unchanged_runs_of_three_words(spark, documents):
+    """Every fourth word is replaced; n-grams that no document holds take no seed's place."""
+    items = [(i, " ".join(f"q{i}w{j}" for j in range(15 + i))) for i in range(30)]
+    texts = []
+    for i, passage in items:
+        copy = [f"edit{i}x{j}" if j % 4 == i % 4 else w for j, w in enumerate(passage.split())]
+        texts.append(" ".join([*(f"own{i}x{j}" for j in range(40)), *copy, *(f"end{i}x{j}" for j in range(40))]))
+    got = {(r.doc_id, r.item_id): r.score for r in D.find_leaks(documents(texts), spark.createDataFrame(items, ITEMS)).collect()}
+    want = {i: plain_score(words(passage), words(texts[i])) / (D.MATCH * len(words(passage))) for i, passage in items}
+    assert min(want.values()) >= D.THRESHOLD
+    assert got.keys() == {(i, i) for i in want} and all(abs(got[i, i] - s) < 1e-9 for i, s in want.items())
+
+
+def test_recall_of_substituted_copies(spark, documents):
+    """Each item is copied once; every copy from the threshold on that still shares three words in a row is found."""
+    chance = random.Random(21)
+    items = [(i, " ".join(f"q{i}w{j}" for j in range(15))) for i in range(400)]
+    texts = []
+    for i, passage in items:
+        texts.append(" ".join(f"edit{i}x{j}" if chance.random() < 0.25 else w for j, w in enumerate(passage.split())))
+    got = {(r.doc_id, r.item_id) for r in D.find_leaks(documents(texts), spark.createDataFrame(items, ITEMS)).collect()}
+    want = set()
+    for i, passage in items:
+        one, two = words(passage), words(texts[i])
+        run = any(one[k : k + 3] == two[k : k + 3] for k in range(len(one) - 2))
+        if run and plain_score(one, two) >= D.THRESHOLD * D.MATCH * len(one):
+            want.add((i, i))
+    assert len(want) > 300 and got == want
