@@ -2,11 +2,12 @@
 
 Every rule says what a match is, which matches count, and what all those that count hold. The automaton of all
 rules accepts where it has read the latter. The few stretches of text around such places, up to bytes that no
-match holds, are then cut into matches, rule by rule.
+match holds, are then cut into matches, rule by rule. A private key goes on behind its first line, over the lines of its body.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -54,6 +55,15 @@ RULES = BASE + (
     Rule("slack", "xox[abprs]-[A-Za-z0-9-]+", "xox[abprs]-", lambda s: len(s) >= 15),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", r"\.eyJ", lambda s: True),
 )
+#: What ends a private key, and what its body is made of where no end follows: header fields, lines that hold base64 alone (line ends
+#: may be written as escapes), and long pieces of base64 that stand in one line.
+_KEY_BORDER = re.compile(rb"-----(?:BEGIN |END [A-Z ]*PRIVATE KEY-----)")
+_EDGE = rb"""[\x20\t>#|"',]"""
+_LINE_END = rb"(?:\r|\n|\\[nr])"
+_KEY_BODY = re.compile(
+    rb"(?:%(edge)s*+(?:%(end)s%(edge)s*+)++(?:(?:Proc-Type|DEK-Info):[^\r\n\\]++|[A-Za-z0-9+/=]++(?=%(edge)s*+(?:%(end)s|\Z)))"
+    rb"|(?:%(edge)s|%(end)s)++[A-Za-z0-9+/=]{40,}+)++" % {b"edge": _EDGE, b"end": _LINE_END}
+)
 SPANS = "array<struct<kind string, start int, end int>>"
 
 
@@ -92,18 +102,31 @@ class Scanner:
         found: list[tuple[int, int, int]] = []
         for k in range(len(which)):
             part = raw[begin[k] : borders[which[k]]]
-            shift = int(begin[k]) - int(ends[text[k] - 1] + 1 if text[k] else 0)
+            base = int(ends[text[k] - 1] + 1 if text[k] else 0)
+            shift = int(begin[k]) - base
             for number, rule in enumerate(self.rules):
                 if bits[k] >> number & 1:
                     for start, end in matches(*self.each[number], part):
                         if rule.counts(part[start:end].decode("ascii")):
-                            found.append((start + shift, number, end + shift))
+                            last = end + shift
+                            if rule.kind == "private_key":
+                                last = _key_end(raw, base + last, int(ends[text[k]])) - base
+                            found.append((start + shift, number, last))
             if k + 1 == len(which) or text[k + 1] != text[k]:
                 if found:
                     yield int(text[k]), sorted(found)
                 found = []
 
 
+def _key_end(raw: bytes, at: int, limit: int) -> int:
+    """Where the private key ends whose first line ends at ``at``."""
+    border = _KEY_BORDER.search(raw, at, limit)
+    if border and border[0].endswith(b"KEY-----"):
+        return border.end()
+    body = _KEY_BODY.match(raw, at, border.start() if border else limit)
+    return body.end() if body else at
+
+
 def _code_points(data: np.ndarray) -> np.ndarray:
     """How many code points begin before each byte, and in all."""
     return np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
