@@ -261,6 +261,9 @@ def similar_sets(
     shingles = by_ids(texts_of, rows.select("id"), "left_semi").mapInArrow(partial(_shingles, size=size), "id bigint, shingle bigint")
     private = shingles.groupBy("shingle").agg(F.count("*").alias("n"), F.min("id").alias("id")).where("n = 1")
     private = private.groupBy("id").agg(F.count("*").alias("private"))
+    # of an id with several texts it is not known whose they are
+    several_texts = texts_of.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id")
+    private = by_ids(private, several_texts, "left_anti")
     rows = rows.join(private, "id", "left").withColumn("most", n - F.coalesce("private", F.lit(0)))
     rows = rows.where(F.col("most") * 100 >= n * percent).select("key", "id", "info", "part", "main", n.alias("n"), "most")
     rows = materialize(rows, "open")

@@ -87,3 +87,23 @@ def test_odd_rows(documents):
 
 def test_no_rows(documents):
     assert similar_sets(documents([])).count() == 0
+
+
+def test_two_long_texts_under_one_id(documents):
+    """Pairs that stand in the buckets of a hub unlike them; a second text, all its own, stands under each id."""
+    chance = random.Random(3)
+    base, rows, texts = [f"b{k}" for k in range(60)], [], {}
+    for g in range(40):
+        own = chance.sample(range(60), 5)
+        for j, places in enumerate((own[1:3], own[3:])):
+            text = list(base)
+            text[own[0]] = f"g{g}"
+            for k in places:
+                text[k] = f"e{g}x{j}x{k}"
+            texts[2 * g + j] = " ".join(text)
+            rows.append((2 * g + j, texts[2 * g + j], None))
+            rows.append((2 * g + j, " ".join(f"own{g}x{j}x{k}" for k in range(61)), None))
+    got = {}
+    for r in similar_sets(documents(rows), size=1).collect():
+        got.setdefault(r.doc_id, set()).add(r.component_id)
+    assert got == {i: {c} for i, (_, c) in brute_force(texts, size=1).items()}
