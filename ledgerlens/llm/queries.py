@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ledgerlens.durable import scratch_path
-from ledgerlens.llm import bpe, decontamination, imatch, importance, language_id, ngram_join, passages, personal_data, secret_scan, warc
+from ledgerlens.llm import bpe, decontamination, imatch, importance, language_id, merkle, ngram_join, passages, personal_data, secret_scan, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -115,3 +115,54 @@ reach AS (
 SELECT doc_id, len(grams)::BIGINT AS n_shingles, component_id
 FROM sets JOIN (SELECT a, min(b) AS component_id FROM reach GROUP BY a) r ON r.a = sets.doc_id
 """
+
+
+@query
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf_dir, "documents"))
+
+
+# The checksum goes bit by bit over the digits of the id.
+ORACLES["op13_merkle_manifest"] = """
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS r, doc_id, lang, n_chars::HUGEINT AS n,
+    coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+      || coalesce(strlen(lang) || ':' || lang, '-') AS head,
+    coalesce(strlen(text) || ':' || text, '-') AS tail,
+    xor(list_reduce(
+      list_prepend(4294967295::BIGINT, list_transform(range(1, length(doc_id::VARCHAR) + 1), lambda i: ascii(substring(doc_id::VARCHAR, i, 1))::BIGINT)),
+      lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0],
+        lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)), 4294967295) AS crc
+  FROM documents),
+l AS (
+  SELECT r, doc_id, lang, sha256(head || coalesce(strlen(n::VARCHAR) || ':' || n, '-') || tail) AS leaf,
+    CASE WHEN crc % 7 = 0 AND n IS NOT NULL THEN sha256(head || strlen((n + 1)::VARCHAR) || ':' || (n + 1) || tail) END AS bad FROM d),
+ordered AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx, count(*) OVER (PARTITION BY lang) AS n FROM l),
+low AS (
+  SELECT 0 AS level, lang, idx::BIGINT AS idx, n::BIGINT AS n, leaf AS h FROM ordered
+  UNION ALL
+  SELECT level + 1, lang, idx // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY idx)) FROM low WHERE n > 1 GROUP BY level, lang, idx // 2, n),
+subroots AS (
+  SELECT lang, h AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS idx, count(*) OVER () AS n FROM low WHERE n = 1),
+high AS (
+  SELECT 0 AS level, idx::BIGINT AS idx, n::BIGINT AS n, subroot AS h FROM subroots
+  UNION ALL
+  SELECT level + 1, idx // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY idx)) FROM high WHERE n > 1 GROUP BY level, idx // 2, n),
+climb AS (
+  SELECT r, lang, false AS up, 0 AS level, idx::BIGINT AS idx, n::BIGINT AS n, '' AS proof, coalesce(bad, leaf) AS h FROM ordered
+  UNION ALL
+  SELECT r, lang, up, level, idx, n, proof, h FROM (
+    SELECT c.r, c.lang, c.up, c.level + 1 AS level, c.idx // 2 AS idx, (c.n + 1) // 2 AS n, c.proof || coalesce(s.h, '') AS proof,
+      sha256(CASE WHEN c.idx % 2 = 1 THEN s.h || c.h ELSE c.h || coalesce(s.h, '') END) AS h
+    FROM climb c LEFT JOIN (
+      SELECT false AS up, lang, level, idx, h FROM low UNION ALL SELECT true, NULL, level, idx, h FROM high) s
+      ON s.up = c.up AND (c.up OR s.lang IS NOT DISTINCT FROM c.lang) AND s.level = c.level AND s.idx = xor(c.idx, 1)
+    WHERE c.n > 1
+    UNION ALL
+    SELECT c.r, c.lang, true, 0, s.idx, s.n, c.proof, c.h
+    FROM climb c JOIN subroots s ON s.lang IS NOT DISTINCT FROM c.lang WHERE c.n = 1 AND NOT c.up)),
+done AS (SELECT r, proof, h FROM climb WHERE up AND n = 1)
+SELECT o.doc_id, o.leaf, s.subroot, root.h AS root, sha256(done.proof) AS proof_sha256, done.h AS folded_root, done.h = root.h AS verified
+FROM ordered o JOIN subroots s ON s.lang IS NOT DISTINCT FROM o.lang JOIN done ON done.r = o.r CROSS JOIN (SELECT h FROM high WHERE n = 1) root
+"""
