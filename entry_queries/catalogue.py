@@ -130,8 +130,8 @@ def s3_delimiter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def s4_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = K.with_file_id(K.read_corpus(spark, M.corpus_folder(spark, sf_dir)))
-    records = K.raw_records(K.parse_files(K.with_encoding(files)))
+    folder = M.corpus_folder(spark, sf_dir)
+    records = K.raw_records(K.parse_folder(spark, folder, K.with_file_id(K.read_corpus(spark, folder))))
     return records.select("file_id", "record_no", joined("fields"))
 
 

@@ -9,8 +9,6 @@ from decimal import Decimal
 # row numbers, joins back to rows). Groups above it are split into row blocks.
 BLOCK_ROWS = 100_000
 
-# Longest list of files that is broadcast (about 200 bytes each); a longer one is joined by shuffling.
-BROADCAST_FILES = 500_000
 # Longest list of columns (file and position) that is broadcast.
 BROADCAST_COLUMNS = 500_000
 

@@ -11,7 +11,7 @@ from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ledgerlens.config import BROADCAST_COLUMNS, BROADCAST_FILES, ProfilingConfig
+from ledgerlens.config import BROADCAST_COLUMNS, ProfilingConfig
 from ledgerlens.durable import materialize
 from ledgerlens.operators import columns as col_ops, ledger as ledger_ops, rollup, rules
 from ledgerlens.operators.reads import unprofiled
@@ -22,11 +22,13 @@ from ledgerlens.sources.corpus import (
     EMPTY_FILE,
     extract_headers,
     parse_files,
+    parse_folder,
     parsed_files,
     raw_records,
     read_corpus,
     with_encoding,
 )
+from ledgerlens.sources.delimited import Parsed
 
 RUN_TYPE = "csv_profile"
 # The recorded steps of a profile run, in order.
@@ -124,8 +126,12 @@ def profile_metadata(names: Column, concepts: Column, config: ProfilingConfig =
 
 
 def profile_files(files: DataFrame, config: ProfilingConfig = ProfilingConfig()) -> Profile:
-    """Profiles files (file_id, length, content); ``files.error`` is set where parsing failed."""
-    parsed = materialize(parse_files(with_encoding(files, config.encodings), config.max_rows), "parsed")
+    """Profiles files that are in the table (file_id, length, content)."""
+    return profile_parsed(parse_files(with_encoding(files, config.encodings), config.max_rows), config)
+
+
+def profile_parsed(parsed: Parsed, config: ProfilingConfig = ProfilingConfig()) -> Profile:
+    """Profiles parsed files; ``files.error`` is set where parsing failed."""
     facts = parsed_files(parsed)
     raw = raw_records(parsed)
     return _profile(
@@ -284,15 +290,15 @@ def profile_registered(
         registered = unprofiled(registered, catalog.read("source_file_profiles"), config.version)
     wanted = materialize(registered.select(F.col("source_file_id").alias("file_id")), "wanted")
     # Files are known by their checksum; of equal copies one is profiled.
-    hashes = read_corpus(catalog.spark, directory).select("path", F.sha2("content", 256).alias("file_id"))
-    found = materialize(hashes.groupBy("file_id").agg(F.min("path").alias("path")), "found")
+    hashes = read_corpus(catalog.spark, directory).select("path", "length", F.sha2("content", 256).alias("file_id"))
+    found = materialize(hashes.groupBy("file_id", "length").agg(F.min("path").alias("path")), "found")
     chosen = materialize(found.join(wanted, "file_id", "left_semi"), "chosen")
-    listed = F.broadcast(chosen) if chosen.count() <= BROADCAST_FILES else chosen
     empty = wanted.filter(F.col("file_id") == EMPTY_FILE).select(
-        "file_id", F.lit(0).cast("bigint").alias("length"), F.lit(b"").alias("content")
+        F.lit(None).cast("string").alias("path"), "file_id", F.lit(0).cast("bigint").alias("length")
     )
-    files = read_corpus(catalog.spark, directory).join(listed, "path").select("file_id", "length", "content").unionByName(empty)
+    files = chosen.select("path", "file_id", "length").unionByName(empty)
     missing = wanted.filter(F.col("file_id") != EMPTY_FILE).join(found, "file_id", "left_anti")
-    stored = stored_form(profile_files(files, config), missing, batch_id, now, config)
+    parsed = parse_folder(catalog.spark, directory, files, config.encodings, config.max_rows)
+    stored = stored_form(profile_parsed(parsed, config), missing, batch_id, now, config)
     store_profile(catalog, stored, batch_id, now)
     return stored

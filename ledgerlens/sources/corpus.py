@@ -1,30 +1,23 @@
-"""Corpora of delimited files: one row per file, then one row per record.
-
-One task parses one file, and the corpus is spread over files. ``RegistrationConfig.max_bytes`` bounds that work where
-files may be too large for a task; tables of any size take the route of ``sources.tables``.
-"""
+"""Corpora of delimited files: one row per file, then one row per record (``sources.delimited``)."""
 
 from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Callable, Iterator
 from urllib.parse import unquote
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ledgerlens.config import ProfilingConfig
+from ledgerlens.durable import materialize
 from ledgerlens.functions.text import strip
-from ledgerlens.operators.concepts import concepts_of
+from ledgerlens.sources.delimited import ENDINGS, Parsed, delimiter_of, parse_pieces, place_ranges, read_pieces, told_delimiters
 
 # Fixed value: the checksum of no bytes at all. The file source lists no empty file.
 EMPTY_FILE = hashlib.sha256(b"").hexdigest()
 BOM = b"\xef\xbb\xbf"
-# Fixed value: characters that the delimiter is judged by.
-SNIFF_CHARACTERS = 8192
-# Records per output row of the parser: keeps every row small however many records a file holds.
-CHUNK_RECORDS = 5_000
+# Longest list of files whose paths are given to the reader one by one.
+LISTED_FILES = 10_000
 
 FILE_SCHEMA = "path STRING, modificationTime TIMESTAMP, length BIGINT, content BINARY"
 
@@ -92,118 +85,111 @@ def classify_files(decoded: DataFrame) -> DataFrame:
     )
 
 
-def _delimiter_of() -> Callable[[str], str]:
-    # Made inside a function so that it reaches the workers by value, without this package installed there.
-    def delimiter(head: str) -> str:
-        import csv
-
-        try:
-            return csv.Sniffer().sniff(head, delimiters=",;\t|").delimiter
-        except csv.Error:
-            return ","
-
-    return delimiter
+def _pieces_of(decoded: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pieces and files of texts that are in the table already (file_id, length, encoding, text); one row is one range."""
+    files = classify_files(decoded).withColumn("text", F.when(F.col("file_class") == "readable", F.col("text")))
+    lines = F.split("text", "\n", -1)
+    # what follows the last line end is a line only if there is something
+    whole = F.slice(lines, F.lit(1), F.size(lines) - F.when(F.element_at(lines, -1) == "", 1).otherwise(0))
+    rows = files.where(F.col("text").isNotNull()).select("file_id", F.lit(0).cast("bigint").alias("block"), F.explode(whole).alias("line"), F.lit(True).alias("valid"))
+    files = files.select(
+        "file_id", F.col("file_id").alias("name"), "length", "encoding", "file_class",
+        F.lit(False).alias("latin"), F.lit("").alias("prefix"), F.coalesce(F.col("text").endswith("\n"), F.lit(False)).alias("ended"),
+    )
+    return materialize(read_pieces(rows), "pieces"), files
 
 
 def detect_delimiters(decoded: DataFrame) -> DataFrame:
-    """file_id, delimiter of every readable file, judged by its first characters; comma when undecided."""
+    """file_id, delimiter of every readable file, judged by all of its records; comma when undecided."""
+    pieces, files = _pieces_of(decoded)
+    told = told_delimiters(pieces, files, place_ranges(pieces)).where("kind IS NOT NULL")
+    return told.select("file_id", delimiter_of(F.col("kind")).alias("delimiter"))
 
-    delimiter = _delimiter_of()
 
-    def sniff(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for files in batches:
-            yield pd.DataFrame({"file_id": files["file_id"], "delimiter": files["head"].map(delimiter)})
-
-    heads = (
-        classify_files(decoded)
-        .filter(F.col("file_class") == "readable")
-        .select("file_id", F.left("text", F.lit(SNIFF_CHARACTERS)).alias("head"))
-    )
-    return heads.mapInPandas(sniff, "file_id STRING, delimiter STRING")
+def parse_files(decoded: DataFrame, max_rows: int | None = None) -> Parsed:
+    """Files and records of texts that are in the table (file_id, length, encoding, text); every file_id must be there once."""
+    return parse_pieces(*_pieces_of(decoded), max_rows)
 
 
-PARSED_SCHEMA = (
-    "file_id STRING, length BIGINT, encoding STRING, file_class STRING, chunk INT, delimiter STRING, error STRING, "
-    "header ARRAY<STRING>, records ARRAY<STRUCT<record_no: BIGINT, row_no: BIGINT, fields: ARRAY<STRING>>>"
-)
+def _plain_path(url: Column) -> Column:
+    """A path as the binary file source has it, of one as in the file metadata."""
+    return F.regexp_replace(F.url_decode(F.replace(url, F.lit("+"), F.lit("%2B"))), "^file:/+", "file:/")
 
 
-def parse_files(decoded: DataFrame, max_rows: int | None = None) -> DataFrame:
-    """Parses files in one pass over their bytes; see ``PARSED_SCHEMA``.
+def read_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """Lines of files of any size, read by ranges: file_id (the path), block (begin of the range), line, valid.
 
-    One output row (``chunk`` 0, 1, ...) holds some consecutive records of one file, with the first record
-    as written in ``header``. ``record_no`` counts every record, the header being 1; ``row_no`` is 2 for the
-    first record after it that is not blank, and NULL for the header and for blank records. Nothing is
-    emitted beyond the ``max_rows``-th such record. A file that is not readable, or that cannot be parsed
-    (``error``), has one row without records.
+    Lines end at LF only, which is left out. A line that is not UTF-8 is decoded as Latin-1.
     """
+    files = spark.read.format("text").option("lineSep", "\n").option("recursiveFileLookup", "true").load(paths)
+    valid = F.is_valid_utf8("value")
+    line = F.when(valid, F.col("value")).otherwise(F.decode(F.col("value").cast("binary"), "ISO-8859-1"))
+    return files.select(_plain_path(F.col("_metadata.file_path")).alias("file_id"), F.col("_metadata.file_block_start").alias("block"), line.alias("line"), valid.alias("valid"))
 
-    delimiter_of = _delimiter_of()
-
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import csv
-        import io
-        import sys
-
-        csv.field_size_limit(sys.maxsize)  # a field may be as long as its file
-        names = ["delimiter", "error", "header", "chunk", "records"]
-
-        def chunks(text: str | None) -> Iterator[tuple]:
-            if text is None:
-                yield None, None, None, 0, None
-                return
-            delimiter = delimiter_of(text[:SNIFF_CHARACTERS])
-            try:
-                records = list(csv.reader(io.StringIO(text, newline=""), delimiter=delimiter))
-            except csv.Error as problem:
-                yield delimiter, str(problem), None, 0, None
-                return
-            kept, number, chunk = 0, 0, []
-            for record_no, fields in enumerate(records, 1):
-                row_no = None
-                if record_no > 1 and any(field.strip() for field in fields):
-                    kept += 1
-                    row_no = kept + 1
-                chunk.append({"record_no": record_no, "row_no": row_no, "fields": fields})
-                last = record_no == len(records) or kept == max_rows
-                if last or len(chunk) == CHUNK_RECORDS:
-                    yield delimiter, None, records[0], number, chunk
-                    number, chunk = number + 1, []
-                if last:
-                    return
-
-        for files in batches:
-            for file in files.itertuples(index=False):
-                for chunk in chunks(file.text):
-                    whole = {"file_id": file.file_id, "length": file.length, "encoding": file.encoding}
-                    yield pd.DataFrame([{**whole, "file_class": file.file_class, **dict(zip(names, chunk))}])
-
-    readable = F.col("file_class") == "readable"
-    return (
-        classify_files(decoded)
-        .select("file_id", "length", "encoding", "file_class", F.when(readable, F.col("text")).alias("text"))
-        .mapInPandas(parse, PARSED_SCHEMA)
-    )
 
+def _file_facts(pieces: DataFrame, listed: DataFrame, encodings: tuple[str, ...]) -> DataFrame:
+    """Encoding and class of files that were read by ranges, see ``parse_pieces``. ``listed``: path, file_id, length.
 
-def parsed_files(parsed: DataFrame) -> DataFrame:
-    """One row per file: file_id, length, encoding, file_class, delimiter, error."""
-    return parsed.filter(F.col("chunk") == 0).select(
-        "file_id", "length", "encoding", "file_class", "delimiter", "error"
+    The reader leaves out a byte-order mark and the line end of the last line; the bytes that are missing tell of both.
+    """
+    size = F.when(F.col("valid"), F.octet_length("piece")).otherwise(F.length("piece"))
+    end = F.get(F.array(*[F.lit(len(e)) for e in ENDINGS]), F.col("ending"))
+    facts = pieces.groupBy("file_id").agg(
+        F.bool_and("valid").alias("valid"),
+        F.bool_and(F.octet_length("piece") == F.length("piece")).alias("ascii"),
+        F.bool_and(strip(F.col("piece")) == "").alias("blank"),
+        F.sum((size + end).cast("bigint")).alias("bytes"),
     )
+    files = listed.select(F.col("path").alias("file_id"), F.col("file_id").alias("name"), "length").join(facts, "file_id", "left")
+    missing = F.col("length") - F.coalesce("bytes", F.lit(0))
+    bom, valid, ascii_only = missing >= 2, F.coalesce("valid", F.lit(True)), F.coalesce("ascii", F.lit(True))
+    label, prefix, latin = F.lit(None).cast("string"), F.lit(""), F.lit(False)
+    for name in reversed(encodings):
+        fits = {"ascii": ascii_only & ~bom, "utf-8": valid, "utf-8-sig": valid}.get(name, F.lit(True))
+        mark = {"utf-8-sig": "", "utf-8": "\ufeff", "ascii": ""}.get(name, BOM.decode("latin-1"))
+        plain = "utf-8" if name == "utf-8-sig" else name
+        label = F.when(fits, F.when(bom, "utf-8-sig").otherwise(plain)).otherwise(label)
+        prefix = F.when(fits, F.when(bom, mark).otherwise("")).otherwise(prefix)
+        latin = F.when(fits, name in ("latin-1", "iso-8859-1")).otherwise(latin)
+    files = files.withColumns({"encoding": label, "prefix": prefix, "latin": latin, "ended": missing.isin(0, 3) & F.col("bytes").isNotNull()})
+    nothing = F.coalesce("blank", F.lit(True)) & (F.col("prefix") == "")
+    kind = F.when(F.col("encoding").isNull(), "unsupported_encoding").when(nothing, "empty_file").otherwise("readable")
+    return files.select("file_id", "name", "length", "encoding", kind.alias("file_class"), "latin", "prefix", "ended")
 
 
-def raw_records(parsed: DataFrame) -> DataFrame:
-    """file_id, record_no, row_no, fields as written, with the header's names and concepts on every record.
+def parse_folder(
+    spark: SparkSession, directory: str, listed: DataFrame, encodings: tuple[str, ...] = ProfilingConfig.encodings, max_rows: int | None = None
+) -> Parsed:
+    """Files and records of the files ``listed`` (path, file_id, length) below ``directory``, each read by as many tasks as it has ranges.
 
-    Names and concepts are worked out per chunk and travel with its records, so no record is joined.
+    A short list of paths is all that is opened; for a longer one the folder is read. A mark that the encoding does not take away is
+    kept before the first field, but does not hinder its quotes. A file whose lines end with CR alone is one range.
     """
-    named = parsed.filter(F.col("records").isNotNull()).withColumn("names", F.transform("header", strip))
-    return (
-        named.withColumn("concepts", concepts_of("names"))
-        .select("file_id", "names", "concepts", F.explode("records").alias("r"))
-        .select("file_id", "r.record_no", "r.row_no", "names", "concepts", "r.fields")
-    )
+    for name in encodings:
+        if name not in ("utf-8-sig", "utf-8", "ascii", "latin-1", "iso-8859-1"):
+            raise ValueError(f"unsupported encoding: {name}")
+    listed = materialize(listed.select("path", "file_id", "length"), "listed")
+    named = listed.where("path IS NOT NULL AND length > 0").select("path")
+    few = [r.path for r in named.limit(LISTED_FILES + 1).collect()]
+    if len(few) <= LISTED_FILES:
+        # the reader takes paths for patterns
+        lines = read_lines(spark, [re.sub(r"([\[\]{}*?\\])", r"\\\1", path) for path in few]) if few else None
+    else:
+        lines = read_lines(spark, directory)
+    if lines is None:
+        lines = spark.createDataFrame([], "file_id STRING, block BIGINT, line STRING, valid BOOLEAN")
+    pieces = materialize(read_pieces(lines), "pieces")
+    return parse_pieces(pieces, _file_facts(pieces, listed, encodings), max_rows)
+
+
+def parsed_files(parsed: Parsed) -> DataFrame:
+    """One row per file: file_id, length, encoding, file_class, delimiter, error (nothing that can be read fails to be parsed)."""
+    return parsed.files
+
+
+def raw_records(parsed: Parsed) -> DataFrame:
+    """file_id, record_no, row_no, fields as written, with the header's names and concepts on every record."""
+    return parsed.records
 
 
 def extract_headers(records: DataFrame) -> DataFrame:
