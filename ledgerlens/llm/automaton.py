@@ -16,6 +16,10 @@ from re import _constants as C, _parser
 import numpy as np
 
 #: Bytes of a lane.
+#: So few lanes are mended one after the other.
+FEW_LANES = 16
+#: Steps in vain that are not worth remembering.
+SHORT_TRAIL = 16
 LANE = 1024
 
 
@@ -182,7 +186,8 @@ def read(automaton: Automaton, data: np.ndarray) -> np.ndarray:
     while True:
         ended = np.concatenate([[0], after[-1, :-1]]).astype(np.int32) if lanes else began
         wrong = np.flatnonzero(ended != began)
-        if not len(wrong):
+        if len(wrong) <= FEW_LANES:
+            _mend(moves, kinds, after, began, wrong)
             break
         began = ended
         state = ended[wrong]
@@ -197,16 +202,42 @@ def read(automaton: Automaton, data: np.ndarray) -> np.ndarray:
     return (after // width).T.ravel()[:n]
 
 
+def _mend(moves: np.ndarray, kinds: np.ndarray, after: np.ndarray, began: np.ndarray, wrong: np.ndarray) -> None:
+    """Reads on from the lanes before the ``wrong`` ones until the states meet, byte by byte and across lanes: no byte is read twice."""
+    step, lanes = moves.tolist() if len(wrong) else [], after.shape[1]
+    for lane in wrong.tolist():
+        if after[-1, lane - 1] == began[lane]:
+            continue  # an earlier one has come by
+        state, met = int(after[-1, lane - 1]), False
+        while not met and lane < lanes:
+            # what this lane was read from, for the lanes behind to tell whether they are still wrong
+            began[lane] = state
+            own, old = kinds[:, lane].tolist(), after[:, lane].tolist()
+            for i, kind in enumerate(own):
+                state = step[state + kind]
+                if state == old[i]:
+                    met = True
+                    break
+                old[i] = state
+            after[:, lane] = old
+            lane += 1
+
+
 def matches(moves: list[list[int]], classes: bytes, accepts: list[int], dead: int, text: bytes) -> list[tuple[int, int]]:
-    """Leftmost longest matches that don't overlap, by an automaton of one expression that begins where it is put."""
+    """Leftmost longest matches that don't overlap, by an automaton of one expression that begins where it is put.
+
+    Linear in the text: where a state has led to no acceptance is remembered, and not read from again.
+    """
     found, at, n = [], 0, len(text)
     alive = [moves[0][c] != dead for c in range(len(moves[0]))]
     text = text.translate(classes)
+    vain: dict[int, bytearray] = {}
     while at < n:
         if not alive[text[at]]:
             at += 1
             continue
         state, end, i = 0, at, at
+        trail: list[int] = []  # states since the last acceptance
         while i < n:
             state = moves[state][text[i]]
             if state == dead:
@@ -214,6 +245,16 @@ def matches(moves: list[list[int]], classes: bytes, accepts: list[int], dead: in
             i += 1
             if accepts[state]:
                 end = i
+                trail = []
+            elif state in vain and vain[state][i - 1]:
+                break
+            else:
+                trail.append(state)
+        if len(trail) > SHORT_TRAIL:
+            for k, passed in enumerate(trail, end):
+                if passed not in vain:
+                    vain[passed] = bytearray(n)
+                vain[passed][k] = 1
         if end > at:
             found.append((at, end))
             at = end

@@ -3,9 +3,11 @@
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from hypothesis import given, settings, strategies as st
 
 from ledgerlens.llm import automaton as A, secret_scan as S
@@ -108,3 +110,44 @@ def test_private_keys_go_with_their_body(documents):
         'k = "[private_key]" after words', "é before [private_key] after words", "é before\n[private_key]", "é before [private_key] after words",
         "[private_key]\nand\n[private_key]\nafter words",
     ]
+
+
+LONG_LINES = {
+    "assign": ["password" * 125_000, "password" + " " * 1_000_000, "token = " * 125_000, "token" + "'" * 2 + " = " * 300_000],
+    "access": ["AKIA" * 250_000, "AKIAKIA" * 140_000 + "!"],
+    "hex": ["0123456789abcdef" * 62_500, "0g" * 500_000],
+    "private_key": ["-----BEGIN " * 90_000, "-----BEGIN " + "A" * 1_000_000, "-----BEGIN PRIVATE KEY" * 45_000 + " PRIVATE KEY-----"],
+    "github": ["ghp_" * 250_000, "ghp_gho_ghu_" * 83_000],
+    "slack": ["xoxb-" * 200_000],
+    "jwt": ["eyJ" * 333_000 + " .eyJ", "eyJa.eyJ" * 125_000, "eyJ" * 333_000 + ".eyJ", "eyJa.eyJ_" * 110_000 + "!.eyJ"],
+}
+
+
+@pytest.mark.parametrize("kind", LONG_LINES)
+def test_long_lines_take_linear_time(kind):
+    """A megabyte in one line; in quadratic time it would take hours."""
+    scanner = S.Scanner.of()
+    for text in LONG_LINES[kind]:
+        data = np.frombuffer(text.encode(), np.uint8)
+        begun = time.process_time()
+        list(scanner.spans(data, np.array([0, len(data)])))
+        assert time.process_time() - begun < 8, text[:20]
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_matches_of_crafted_texts(seed):
+    """Against Python's expressions, on texts made of parts of the rules."""
+    chance = random.Random(seed)
+    parts = ["eyJ", ".", "ab", "-----BEGIN ", "PRIVATE KEY-----", "A ", "AKIA", "ghp_", "xoxb-", "password", "=", " ", '"', "0123456789abcdef", "token:", "Z" * 14]
+    text = "".join(chance.choice(parts) for _ in range(400))
+    for rule in S.RULES:
+        automaton = A.compile_rules([rule.pattern], anywhere=False)
+        got = A.matches(automaton.moves.tolist(), automaton.classes.tobytes(), automaton.accepts.tolist(), automaton.dead, text.encode())
+        assert got == [m.span() for m in re.finditer(rule.pattern, text)], rule.kind
+    every = A.compile_rules([r.seen for r in S.RULES])
+    data = np.frombuffer((text * 40).encode(), np.uint8)
+    state, want = 0, []
+    for byte in data.tolist():
+        state = int(every.moves[state][every.classes[byte]])
+        want.append(state)
+    assert A.read(every, data).tolist() == want
