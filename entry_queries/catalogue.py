@@ -241,6 +241,25 @@ def a5_orders_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def a5_long_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers of 26 and of 40 digits: every figure but the deviation, which DuckDB has no type for; what 24 digits cannot hold is NULL."""
+    rows = M.long_amounts(spark, sf_dir)
+    found = []
+    for name in ("value", "large"):
+        cells = rows.select("file_id", "row_no", F.lit(0).alias("position"), F.lit(name).alias("name"), F.lit(None).cast("string").alias("concept"), F.col(name).alias("value"))
+        found.append(C.column_profiles(materialize(C.parsed_values(C.value_counts(cells)), "long")))
+    df = found[0].unionByName(found[1])
+    return df.select("file_id", "column_name", "inferred_data_type", "unique_count", "minimum_value", "maximum_value", *texts("mean_value", "median_value"))
+
+
+@query
+def a16_long_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    none = F.lit(None).cast("string")
+    ledger = M.long_amounts(spark, sf_dir).select("file_id", "row_no", none.alias("balance_name"), F.col("value").alias("amount"), none.alias("balance"), F.col("large").alias("debit"), none.alias("credit"))
+    return L.control_totals(ledger).select("file_id", *texts("monetary_total", "debit_total", "credit_total"))
+
+
 @query
 def a7_median(spark: SparkSession, sf_dir: str) -> DataFrame:
     parsed = C.parsed_values(counts(spark, sf_dir))

@@ -101,6 +101,18 @@ def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def long_amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prices of orders with twenty decimal places, and of every third with a minus sign: file_id, row_no, value, and the value with 16 zeros less."""
+    key = F.lpad(F.col("o_orderkey").cast("string"), 18, "0")
+    sign, price = F.when(F.col("o_orderkey") % 3 == 0, "-").otherwise(""), F.col("o_totalprice").cast("decimal(18,2)").cast("string")
+    return table(spark, sf_dir, "orders").select(
+        F.col("o_orderpriority").alias("file_id"),
+        (F.col("o_orderkey") + 2).alias("row_no"),
+        F.concat(sign, price, key).alias("value"),
+        F.concat(sign, F.replace(price, F.lit("."), F.lit("")), key, F.lit("0" * 14)).alias("large"),
+    )
+
+
 def encoded_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents as files: some with a byte-order mark, broken bytes or nothing but white space."""
     key = F.col("doc_id")

@@ -485,6 +485,21 @@ PRESENT = "file_key NOT LIKE '%3-0'"
 STEP_NAMES = ["load_registered_file", "detect_encoding_and_delimiter", "inspect_schema", "calculate_file_statistics",
               "calculate_column_statistics", "run_data_quality_rules", "validate_running_balance", "persist_profile", "finalize_profile"]
 
+# Numbers with twenty decimal places, as whole numbers of the last place.
+LONG_NUMBERS = """SELECT o_orderpriority AS file_id, CASE WHEN o_orderkey % 3 = 0 THEN -1 ELSE 1 END
+  * (CAST(o_totalprice AS DECIMAL(18,2)) * 100)::HUGEINT * 1000000000000000000 + CASE WHEN o_orderkey % 3 = 0 THEN -o_orderkey ELSE o_orderkey END AS x FROM orders"""
+
+
+def _places(x: str, places: int) -> str:
+    """Text of a whole number of the last place."""
+    return f"(CASE WHEN {x} < 0 THEN '-' ELSE '' END || abs({x}) // {10 ** places}::HUGEINT || '.' || lpad((abs({x}) % {10 ** places}::HUGEINT)::VARCHAR, {places}, '0'))"
+
+
+def _sixth(above: str, below: str) -> str:
+    """Text of a quotient with six places, halves away from zero; ``below`` is that of millionths."""
+    return _places(f"(CASE WHEN {above} < 0 THEN -1 ELSE 1 END * ((2 * abs({above}) + {below}) // (2 * {below})))", 6)
+
+
 ORACLES: dict[str, str] = {
     "x1_parse_money": _with([MONEY_TEXTS, numbers_cte("texts", "n", "true", "v")], NUMBER_SELECT),
     "x2_parse_number": _with([MONEY_TEXTS, numbers_cte("texts", "n", "false", "v")], NUMBER_SELECT),
@@ -523,6 +538,14 @@ ORACLES: dict[str, str] = {
         FROM typed LEFT JOIN spread USING (file_id, position) WHERE kind IN ('integer', 'decimal', 'currency')"""),
     "a5_orders_stats": _with([_ORDERS, _ORDER_CELLS, VALUE_COUNTS, PARSED, FACTS], f"""SELECT name AS column_name, kind AS inferred_data_type, n_distinct AS unique_count,
         {MINIMUM}, {MAXIMUM}, {MEAN}, {STDDEV}, {LENGTHS.split("maximum_length, ")[1]}, {DAYS.split(", CASE")[0]} FROM typed LEFT JOIN spread USING (file_id, position)"""),
+    "a5_long_numbers": f"""WITH v AS ({LONG_NUMBERS}),
+        f AS (SELECT file_id, count(*) AS n, min(x) AS low, max(x) AS high, sum(x)::HUGEINT AS total, list(x ORDER BY x) AS xs FROM v GROUP BY 1),
+        m AS (SELECT *, xs[(n + 1) // 2] + xs[n // 2 + 1] AS middle FROM f)
+        SELECT file_id, 'value' AS column_name, 'decimal' AS inferred_data_type, n AS unique_count, {_places("low", 20)} AS minimum_value,
+          {_places("high", 20)} AS maximum_value, {_sixth("total", "n * 100000000000000")} AS mean_value, {_sixth("middle", "200000000000000::HUGEINT")} AS median_value FROM m
+        UNION ALL SELECT file_id, 'large', 'integer', n, low || repeat('0', 14), high || repeat('0', 14), NULL, NULL FROM m""",
+    "a16_long_totals": f"""SELECT file_id, {_sixth("sum(x)::HUGEINT", "100000000000000::HUGEINT")} AS monetary_total, NULL::VARCHAR AS debit_total,
+        NULL::VARCHAR AS credit_total FROM ({LONG_NUMBERS}) GROUP BY 1""",
     "a7_median": _with(STATS, "SELECT file_id, position, CAST(median AS VARCHAR) AS median_value FROM med"),
     "a7_lineitem_median": """SELECT l_returnflag AS file_id, CAST(CAST(median(CAST(l_extendedprice AS DOUBLE)) AS DECIMAL(24,6)) AS VARCHAR) AS median_value
         FROM lineitem GROUP BY 1""",

@@ -10,9 +10,11 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import DecimalType
 
 from ledgerlens.config import ProfilingConfig
+from ledgerlens.durable import materialize
 from ledgerlens.functions import dates, money
 from ledgerlens.operators.concepts import MONEY
-from ledgerlens.operators.ordered import in_ordered_parts
+from ledgerlens.operators.exact import long_number_statistics
+from ledgerlens.operators.ordered import in_middle
 
 COLUMN = ["file_id", "position", "name", "concept"]
 MONEY_COLUMN = f"coalesce(concept IN {MONEY}, false)"
@@ -139,18 +141,22 @@ def _spread() -> Callable[..., Column]:
 
 
 def column_statistics(parsed: DataFrame, config: ProfilingConfig = ProfilingConfig()) -> DataFrame:
-    """All statistics of a column but samples and median; also ``numbers`` and ``distinct`` for the rules."""
+    """All statistics of a column but samples and median; also ``numbers`` and ``distinct`` for the rules.
+
+    Columns with numbers that no DECIMAL holds take their figures, and ``long_median``, from ``operators.exact``.
+    """
     kind = F.col("kind")
     numeric = kind.isin("integer", "decimal", "currency") & (F.col("numbers") > 0)
     dated = kind.isin("date", "datetime") & (F.col("dates") > 0)
     textual = kind.isin("text", "identifier") & F.col("min_text").isNotNull()
-    # a figure of all numbers is only given where all are held exactly, never from the rest
+    # where not all numbers are held exactly, the figures come from limbs
     exact = numeric & (F.col("too_large") == 0)
     counted = F.col("numbers")
     fractions = F.col("s_fraction").try_cast("decimal(26,0)") * F.lit(Decimal("0.0000000001"))
     total = F.col("s_whole").try_cast("decimal(27,0)") + fractions.cast("decimal(37,10)")
-    facts = _column_facts(parsed).withColumn("kind", inferred_type())
-    return facts.select(
+    facts = materialize(_column_facts(parsed).withColumn("kind", inferred_type()), "facts")
+    long_columns = facts.where(numeric & (F.col("too_large") > 0)).select("file_id", "position")
+    stats = facts.select(
         "file_id",
         F.col("position").cast("int").alias("column_position"),
         F.col("name").alias("column_name"),
@@ -192,7 +198,15 @@ def column_statistics(parsed: DataFrame, config: ProfilingConfig = ProfilingConf
         F.col("numbers").alias("number_count"),
         F.col("too_large").alias("overflow_count"),
         F.when(F.col("distinct") == 1, F.col("min_text")).alias("only_value"),
+        F.lit(None).cast("decimal(24,6)").alias("long_median"),
     )
+    if long_columns.isEmpty():
+        return stats
+    found = long_number_statistics(parsed, long_columns).withColumnRenamed("median_value", "long_median")
+    figures = [c for c in found.columns if c not in ("file_id", "column_position")]
+    found = found.select("file_id", "column_position", *[F.col(c).alias(f"_{c}") for c in figures])
+    joined = stats.join(found, ["file_id", "column_position"], "left")
+    return joined.select(*[F.coalesce(c, f"_{c}").alias(c) if c in figures else F.col(c) for c in stats.columns])
 
 
 def samples(counts: DataFrame, n: int = ProfilingConfig.max_samples) -> DataFrame:
@@ -220,47 +234,10 @@ def number_counts(parsed: DataFrame) -> DataFrame:
     )
 
 
-def medians(numbers: DataFrame, bounded: bool = False) -> DataFrame:
-    """Exact median of every column: file_id, position, median_value.
-
-    The two middle ranks are found by cumulating row counts in number order. A column may have any number
-    of distinct numbers, so they are cut into ordered parts; with ``bounded`` (files of limited length)
-    one window per column does.
-    """
+def medians(numbers: DataFrame) -> DataFrame:
+    """Exact median of every column: file_id, position, median_value."""
     column = ["file_id", "position"]
-    if bounded:
-        upto = Window.partitionBy(*column).orderBy("number").rowsBetween(Window.unboundedPreceding, 0)
-        whole = Window.partitionBy(*column)
-        ranked = numbers.withColumns({"upto": F.sum("cnt").over(upto), "n": F.sum("cnt").over(whole)})
-    else:
-        ranged = in_ordered_parts(numbers, [*column, "number"], "_part")
-        parts = ranged.groupBy(*column, "_part").agg(F.sum("cnt").alias("in_part"))
-        over_parts = Window.partitionBy(*column).orderBy("_part")
-        # Few rows: one per column and part. Only the parts that hold a middle rank are looked into.
-        located = (
-            parts.withColumns(
-                {
-                    "upto_part": F.sum("in_part").over(over_parts.rowsBetween(Window.unboundedPreceding, 0)),
-                    "n": F.sum("in_part").over(Window.partitionBy(*column)),
-                }
-            )
-            .withColumn("before_part", F.col("upto_part") - F.col("in_part"))
-            .filter(
-                (F.col("upto_part") >= F.floor((F.col("n") + 1) / 2))
-                & (F.col("before_part") < F.floor(F.col("n") / 2) + 1)
-            )
-            .select(*column, "_part", "n", "before_part")
-        )
-        inside = Window.partitionBy(*column, "_part").orderBy("number").rowsBetween(Window.unboundedPreceding, 0)
-        ranked = ranged.join(located, [*column, "_part"]).withColumn(
-            "upto", F.sum("cnt").over(inside) + F.col("before_part")
-        )
-    holds = lambda rank: (F.col("upto") - F.col("cnt") < rank) & (F.col("upto") >= rank)
-    lower, upper = F.floor((F.col("n") + 1) / 2), F.floor(F.col("n") / 2) + 1
-    middle = ranked.groupBy(*column).agg(
-        F.max(F.when(holds(lower), F.col("number"))).alias("a"), F.max(F.when(holds(upper), F.col("number"))).alias("b")
-    )
-    return middle.select(
+    return in_middle(numbers, column).select(
         *column,
         ((F.col("a").cast("decimal(30,10)") + F.col("b")) / F.lit(2).cast("decimal(1,0)"))
         .try_cast("decimal(24,6)")
@@ -273,7 +250,6 @@ def column_profiles(
     config: ProfilingConfig = ProfilingConfig(),
     *,
     headers: DataFrame | None = None,
-    bounded: bool = False,
 ) -> DataFrame:
     """One row per column. With ``headers`` columns of files without rows are included.
 
@@ -286,18 +262,19 @@ def column_profiles(
         empty = header_columns_without_rows(headers, stats)
         stats = stats.unionByName(empty)
     extra = samples(counts, config.max_samples).withColumnRenamed("position", "column_position")
-    middle = medians(number_counts(parsed), bounded).withColumnRenamed("position", "column_position")
+    middle = medians(number_counts(parsed)).withColumnRenamed("position", "column_position")
     numeric = F.col("inferred_data_type").isin("integer", "decimal", "currency")
     return (
         stats.join(extra, key, "left")
         .join(middle, key, "left")
         .withColumns(
             {
-                "median_value": F.when(numeric & (F.col("overflow_count") == 0), F.col("median_value")),
+                "median_value": F.when(numeric & (F.col("overflow_count") == 0), F.col("median_value")).otherwise(F.col("long_median")),
                 "sample_values": F.coalesce("sample_values", F.array().cast("array<string>")),
                 "original_data_type": F.lit("string"),
             }
         )
+        .drop("long_median")
     )
 
 

@@ -8,8 +8,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ledgerlens.config import ProfilingConfig
+from ledgerlens.durable import materialize
 from ledgerlens.functions import money
 from ledgerlens.operators.concepts import MONEY, concept_position
+from ledgerlens.operators.exact import long_totals
 from ledgerlens.operators.ordered import block_of
 
 SUM_TYPE = "decimal(37,10)"
@@ -56,15 +58,19 @@ def movements(ledger: DataFrame) -> DataFrame:
 
 
 def control_totals(ledger: DataFrame) -> DataFrame:
-    """file_id, monetary_total, debit_total, credit_total; NULL where nothing parses, or a number is not held exactly."""
+    """file_id, monetary_total, debit_total, credit_total; NULL where nothing parses, or the total does not fit.
+
+    Files with numbers that no DECIMAL holds take their totals from limbs.
+    """
     sums = {"monetary_total": "amount", "debit_total": "debit", "credit_total": "credit"}
     parsed = ledger.select("file_id", *[money.parse(c).alias(c) for c in sums.values()])
-
-    def total(c: str) -> Column:
-        all_held = F.count_if(F.col(f"{c}.valid") & F.col(f"{c}.value").isNull()) == 0
-        return F.when(all_held, F.sum(f"{c}.value")).try_cast(RESULT_TYPE)
-
-    return parsed.groupBy("file_id").agg(*[total(c).alias(name) for name, c in sums.items()])
+    too_large = [F.coalesce(F.col(f"{c}.valid") & F.col(f"{c}.value").isNull(), F.lit(False)) for c in sums.values()]
+    totals = [F.sum(f"{c}.value").try_cast(RESULT_TYPE).alias(name) for name, c in sums.items()]
+    held = parsed.groupBy("file_id").agg(*totals, F.max(too_large[0] | too_large[1] | too_large[2]).alias("long"))
+    held = materialize(held, "totals")
+    long_files = held.where("long").select("file_id")
+    held = held.where("NOT long").drop("long")
+    return held if long_files.isEmpty() else held.unionByName(long_totals(parsed, long_files, sums))
 
 
 def _block_totals(rows: DataFrame) -> DataFrame:

@@ -63,3 +63,33 @@ def number_rows(
         .withColumn(name, F.col("_inside") + F.coalesce(F.col("_offset"), F.lit(0)) + F.lit(first - 1))
         .drop("_part", "_inside", "_offset")
     )
+
+
+def in_middle(numbers: DataFrame, groups: list[str]) -> DataFrame:
+    """Per group the numbers at the two middle ranks, as a and b; ``numbers``: distinct ``number`` (of any type that sorts) with its ``cnt``.
+
+    Row counts are cumulated in the order of the numbers. A group may have any number of them, so they are cut into ordered parts,
+    and only the parts that hold a middle rank are looked into.
+    """
+    ranged = in_ordered_parts(numbers, [*groups, "number"], "_part")
+    parts = ranged.groupBy(*groups, "_part").agg(F.sum("cnt").alias("in_part"))
+    over_parts = Window.partitionBy(*groups).orderBy("_part")
+    # Few rows: one per group and part.
+    located = (
+        parts.withColumns(
+            {
+                "upto_part": F.sum("in_part").over(over_parts.rowsBetween(Window.unboundedPreceding, 0)),
+                "n": F.sum("in_part").over(Window.partitionBy(*groups)),
+            }
+        )
+        .withColumn("before_part", F.col("upto_part") - F.col("in_part"))
+        .filter((F.col("upto_part") >= F.floor((F.col("n") + 1) / 2)) & (F.col("before_part") < F.floor(F.col("n") / 2) + 1))
+        .select(*groups, "_part", "n", "before_part")
+    )
+    inside = Window.partitionBy(*groups, "_part").orderBy("number").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = ranged.join(located, [*groups, "_part"]).withColumn("upto", F.sum("cnt").over(inside) + F.col("before_part"))
+    holds = lambda rank: (F.col("upto") - F.col("cnt") < rank) & (F.col("upto") >= rank)
+    lower, upper = F.floor((F.col("n") + 1) / 2), F.floor(F.col("n") / 2) + 1
+    return ranked.groupBy(*groups).agg(
+        F.max(F.when(holds(lower), F.col("number"))).alias("a"), F.max(F.when(holds(upper), F.col("number"))).alias("b")
+    )

@@ -59,12 +59,11 @@ def _profile(
     headers: DataFrame,
     file_findings: list[DataFrame],
     config: ProfilingConfig,
-    bounded: bool,
 ) -> Profile:
     cells = to_cells(rows)
     parsed = materialize(col_ops.parsed_values(col_ops.value_counts(cells)), "values")
     columns = materialize(
-        col_ops.column_profiles(parsed, config, headers=header_cells(headers), bounded=bounded), "columns"
+        col_ops.column_profiles(parsed, config, headers=header_cells(headers)), "columns"
     )
     few_columns = rules.mostly_numeric(columns).limit(BROADCAST_COLUMNS + 1).count() <= BROADCAST_COLUMNS
     file_counts = materialize(rollup.file_counts(raw, rows), "file-counts")
@@ -141,7 +140,6 @@ def profile_parsed(parsed: Parsed, config: ProfilingConfig = ProfilingConfig())
         materialize(extract_headers(raw), "headers"),
         [rules.file_class_rules(facts)],
         config,
-        bounded=True,
     )
 
 
@@ -156,7 +154,7 @@ def profile_records(records: DataFrame, config: ProfilingConfig = ProfilingConfi
     unknown = {"length": "bigint", "encoding": "string", "delimiter": "string", "error": "string"}
     facts = headers.select("file_id", *[F.lit(None).cast(kind).alias(name) for name, kind in unknown.items()])
     # A table has no header record and no blank one, so its rows are also its records as written.
-    return _profile(facts, records, records, headers, [], config, bounded=False)
+    return _profile(facts, records, records, headers, [], config)
 
 
 class StoredProfile(NamedTuple):
