@@ -54,7 +54,13 @@ def _of_limbs() -> dict[str, Callable]:
 
     def together(parts: object, least: int) -> int:
         """The sum of limbs as a whole number of 10 ** (9 * least)."""
-        return sum(int(p["v"]) * 10 ** (9 * (p["i"] - least)) for p in parts)
+        found: dict[int, int] = {p["i"] - least: int(p["v"]) for p in parts}
+        values, base = [found.get(k, 0) for k in range(max(found, default=0) + 1)], 10**9
+        while len(values) > 1:  # neighbours first, so that long numbers meet once only
+            values += [0] * (len(values) % 2)
+            values = [low + high * base for low, high in zip(values[::2], values[1::2])]
+            base *= base
+        return values[0]
 
     def least_of(parts: object) -> int:
         return min((p["i"] for p in parts), default=0)
