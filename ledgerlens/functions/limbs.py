@@ -166,3 +166,27 @@ def middle(low: Column, high: Column) -> Column:
         return pd.Series(out, dtype=object)
 
     return F.pandas_udf(of, RESULT)(low, high)
+
+
+def followed(sums: Column, reported: Column, scale: Column, tolerance: str) -> Column:
+    """A struct of the number that added limbs make: text with ``scale`` places, that with six (value), and whether ``reported``, normalized
+    number text, is as near as the tolerance."""
+    made = _of_limbs()
+    scaled, together, least_of, rounded = made["scaled"], made["together"], made["least_of"], made["rounded"]
+
+    def of(rows: pd.Series, texts: pd.Series, scales: pd.Series) -> pd.DataFrame:
+        out = []
+        bound, places = scaled(tolerance)
+        for parts, text, scale in zip(rows, texts, scales):
+            least = min(least_of(parts), 0)
+            value, unit = together(parts, least), 10 ** (-9 * least)
+            size = abs(value) * 10 ** int(scale) // unit
+            digits = str(size).rjust(int(scale) + 1, "0")
+            written = digits if not scale else f"{digits[: -int(scale)]}.{digits[-int(scale) :]}"
+            told, n = scaled(text)
+            most = max(-least, n, places)
+            apart = abs(value * 10 ** (9 * (most + least)) - told * 10 ** (9 * (most - n)))
+            out.append(("-" + written if value < 0 else written, rounded(value, unit), apart <= bound * 10 ** (9 * (most - places))))
+        return pd.DataFrame(out, columns=["text", "value", "matches"])
+
+    return F.pandas_udf(of, "text string, value decimal(24,6), matches boolean")(sums, reported, scale)

@@ -7,8 +7,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ledgerlens.durable import materialize
 from ledgerlens.functions import limbs
-from ledgerlens.operators.ordered import in_middle
+from ledgerlens.operators.ordered import in_middle, running_sum
 
 
 def added_limbs(rows: DataFrame, keys: list[str], parts: Column, weight: Column, name: str) -> DataFrame:
@@ -58,3 +59,43 @@ def long_totals(parsed: DataFrame, files: DataFrame, sums: dict[str, str]) -> Da
     added = added_limbs(each, ["file_id", "name"], limbs.limbs_of(F.col("text")), F.lit(1), "sums").withColumn("total", limbs.total(F.col("sums")))
     found = added.groupBy("file_id").agg(*[F.max(F.when(F.col("name") == name, F.col("total"))).alias(name) for name in sums])
     return files.join(found, "file_id", "left")
+
+
+def _limb_rows(rows: DataFrame, texts: dict[str, int], keys: list[str]) -> DataFrame:
+    """keys, i, v: the limbs of the numbers in columns of text, each times 1 or -1."""
+
+    def signed_limbs(text: Column, sign: int) -> Column:
+        return F.transform(limbs.limbs_of(text), lambda p: F.struct(p["i"].alias("i"), (p["v"] * sign).alias("v")))
+
+    signed = [signed_limbs(F.col(c), sign) for c, sign in texts.items()]
+    # a row of zeros, or without a number, counts with a limb of zero
+    nothing = F.array(F.struct(F.lit(0).alias("i"), F.lit(0).cast("bigint").alias("v"))).cast(limbs.LIMBS)
+    parts = F.concat(nothing, *[part.cast(limbs.LIMBS) for part in signed])
+    return rows.select(*keys, F.explode(parts).alias("p")).groupBy(*keys, "p.i").agg(F.sum("p.v").alias("v"))
+
+
+def long_balances(rows: DataFrame, tolerance: str) -> DataFrame:
+    """What the rows of ledgers with long numbers must say: file_id, row_no, verifiable, opening, expected, expected_text, matches.
+
+    ``rows``: file_id, row_no, reported_text, scale, complete (balance and movement are numbers), and the movement as text to add (plus) and to take
+    away (minus). The balance expected in a row is that of the first one and the movements of all others so far. Every limb is summed up
+    on its own, in blocks of rows; the limbs of a row are put together at the end.
+    """
+    key = ["file_id", "row_no"]
+    verifiable = rows.groupBy("file_id").agg(F.bool_and("complete").alias("verifiable"))
+    good = rows.join(verifiable.where("verifiable").select("file_id"), "file_id", "left_semi")
+    first = F.col("row_no") == 2
+    given = good.select(*key, F.when(first, F.col("reported_text")).otherwise(F.col("plus")).alias("plus"), F.when(~first, F.col("minus")).alias("minus"))
+    parts = materialize(_limb_rows(given, {"plus": 1, "minus": -1}, key), "limbs")
+    kinds = parts.select("file_id", "i").distinct().groupBy("file_id").agg(F.collect_list("i").alias("kinds"))
+    # one row per row and limb of its file, so that every limb runs through
+    dense = good.select(*key).join(kinds, "file_id").select(*key, F.explode("kinds").alias("i")).join(parts, [*key, "i"], "left")
+    run = running_sum(dense.withColumn("v", F.coalesce("v", F.lit(0).cast("bigint"))), ["file_id", "i"], "row_no", F.col("v"), "s")
+    sums = run.groupBy(*key).agg(F.collect_list(F.struct("i", F.col("s").cast("decimal(38,0)").alias("v"))).alias("sums"))
+    told = sums.join(good.select(*key, "reported_text", "scale"), key)
+    told = told.select(*key, limbs.followed(F.col("sums"), F.col("reported_text"), F.col("scale"), tolerance).alias("f"))
+    opening = _limb_rows(good.where(first), {"reported_text": 1, "plus": -1, "minus": 1}, ["file_id"])
+    opening = opening.groupBy("file_id").agg(F.collect_list(F.struct("i", F.col("v").cast("decimal(38,0)").alias("v"))).alias("sums"))
+    opening = opening.select("file_id", limbs.total(F.col("sums")).alias("opening"))
+    found = rows.select(*key).join(verifiable, "file_id").join(opening, "file_id", "left").join(told, key, "left")
+    return found.select(*key, "verifiable", "opening", F.col("f.value").alias("expected"), F.col("f.text").alias("expected_text"), F.col("f.matches").alias("matches"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ledgerlens.config import ProfilingConfig
 from ledgerlens.functions import dates, money
-from ledgerlens.functions.text import decimal_text, issue_fingerprint, let_sql
+from ledgerlens.functions.text import issue_fingerprint, let_sql
 from ledgerlens.operators.columns import NULL_SHARE
 from ledgerlens.operators.concepts import MONEY, NOT_NULL
 from ledgerlens.operators.ordered import block_of
@@ -237,11 +237,10 @@ def column_rules(columns: DataFrame, config: ProfilingConfig = ProfilingConfig()
 def balance_rules(running: DataFrame) -> DataFrame:
     """``running`` as from ``running_balance``."""
     where = dict(column="balance_name", row="row_no", observed="reported_text")
-    texts = running.withColumn("expected_text", decimal_text(F.col("expected"), F.col("scale")))
     return _emit(
-        texts,
+        running,
         _case(("NOT matches", _finding("invalid_running_balance", **where, expected="expected_text"))),
-        _case(("reported < 0", _finding("unexpected_negative_balance", **where))),
+        _case(("negative", _finding("unexpected_negative_balance", **where))),
     )
 
 

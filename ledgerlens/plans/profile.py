@@ -68,7 +68,8 @@ def _profile(
     few_columns = rules.mostly_numeric(columns).limit(BROADCAST_COLUMNS + 1).count() <= BROADCAST_COLUMNS
     file_counts = materialize(rollup.file_counts(raw, rows), "file-counts")
     ledger = ledger_ops.ledger_view(rows)
-    summary = materialize(ledger_ops.balance_summary(ledger, config), "balances")
+    followed = materialize(ledger_ops.followed(ledger, config), "followed")
+    summary = materialize(ledger_ops.summary_of(followed), "balances")
     findings = rules.all_issues(
         *file_findings,
         rules.header_rules(headers),
@@ -80,7 +81,7 @@ def _profile(
         rules.numeric_rules(cells, columns, few_columns=few_columns),
         rules.column_rules(columns, config),
         rules.verifiability_rules(summary),
-        rules.balance_rules(ledger_ops.running_balance(ledger, config)),
+        rules.balance_rules(ledger_ops.balances_of(followed)),
     )
     issues = materialize(rules.dedupe_issues(rules.with_fingerprints(findings, config.version)), "issues")
     before_balance = (

@@ -71,3 +71,52 @@ def test_totals(spark):
     found = {r.file_id: (r.monetary_total, r.debit_total, r.credit_total) for r in L.control_totals(df).collect()}
     want = {"a": Decimal("-4.6"), "b": Decimal("1.5"), "c": None, "d": Decimal("3.25"), "e": None}
     assert found == {f: (t, None, t) for f, t in want.items()}
+
+
+def plain_balances(rows):
+    """(summary, [(row_no, expected text, matches, negative)]) of one ledger of texts (amount, balance)."""
+    moved, balances = [Fraction(a) for a, _ in rows], [Fraction(b) for _, b in rows]
+    expected, scale, out = balances[0] - moved[0], 0, []
+    for n, ((a, b), m, told) in enumerate(zip(rows, moved, balances)):
+        expected += m
+        scale = max(scale, len(a.partition(".")[2]), len(b.partition(".")[2]) if n == 0 else 0)
+        size = abs(expected) * 10**scale
+        assert size.denominator == 1
+        digits = str(int(size)).rjust(scale + 1, "0")
+        text = ("-" if expected < 0 else "") + (f"{digits[:-scale]}.{digits[-scale:]}" if scale else digits)
+        out.append((n + 2, text, abs(expected - told) <= Fraction(1, 100), told < 0))
+    return (sixth(balances[0] - moved[0]), sixth(balances[-1]), sixth(expected), all(r[2] for r in out)), out
+
+
+@pytest.mark.parametrize("block", [1, 7, 100_000])
+def test_balances(spark, block):
+    chance, ledgers = random.Random(9), {}
+    for name in ("fine", "wide", "plain", "mixed"):
+        rows, balance = [], Fraction(0)
+        for n in range(40):
+            whole = chance.randrange(-(10 ** (30 if name == "wide" else 6)), 10 ** (30 if name == "wide" else 6))
+            places = 25 if name == "fine" or (name == "mixed" and n == 20) else 2
+            amount = f"{whole}." + "".join(chance.choice("0123456789") for _ in range(places))
+            balance += Fraction(amount)
+            told = balance + (5 if n in (13, 27) else 0) + (Fraction(1, 10**25) if name == "fine" else 0)
+            digits = str(abs(int(told * 10**25))).rjust(26, "0")
+            rows.append((amount, ("-" if told < 0 else "") + f"{digits[:-25]}.{digits[-25:]}"))
+        ledgers[name] = [(a, b.rstrip("0").rstrip(".") if name != "fine" else b) for a, b in rows]
+    data = [(f, n + 2, "balance", a, b, None, None) for f, rows in ledgers.items() for n, (a, b) in enumerate(rows)]
+    # by sides, and one that cannot be verified
+    data += [("sides", 2, "balance", None, "0.30000000000000004", "", "0.30000000000000004"), ("sides", 3, "balance", None, "-0.7", "1.00000000000000004", "")]
+    data += [("broken", 2, "balance", "9" * 30, "9" * 30, None, None), ("broken", 3, "balance", "x", "1", None, None), ("broken", 4, "balance", "1", "2.00000000000000000004", None, None)]
+    df = spark.createDataFrame(data, "file_id string, row_no bigint, balance_name string, amount string, balance string, debit string, credit string").repartition(3)
+    running = {}
+    for r in L.running_balance(df, block_rows=block).collect():
+        running.setdefault(r.file_id, []).append((r.row_no, r.expected_text, r.matches, r.negative))
+    summary = {r.file_id: r for r in L.balance_summary(df, block_rows=block).collect()}
+    for name, rows in ledgers.items():
+        told, want = plain_balances(rows)
+        s = summary[name]
+        assert sorted(running[name]) == want, name
+        assert (s.opening_balance, s.closing_balance, s.calculated_closing_balance, s.running_balance_valid) == told
+    assert sorted(running["sides"]) == [(2, "0.30000000000000004", True, False), (3, "-0.70000000000000000", True, True)]
+    assert summary["sides"].running_balance_valid and summary["sides"].opening_balance == 0
+    s = summary["broken"]
+    assert "broken" not in running and not s.verifiable and s.opening_balance is None and s.closing_balance == 2 and s.running_balance_valid is None

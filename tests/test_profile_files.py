@@ -219,13 +219,13 @@ def test_totals_and_balances(result):
 
 
 def test_long_numbers_are_exact(result):
-    """Figures are there wherever 24 digits hold them; balances of such ledgers are still left open."""
+    """Figures are there wherever 24 digits hold them; balances are followed whether they do or not."""
     files, columns, _ = result
     values(columns["wide_amount"][1], inferred_data_type="currency", non_null_count=10, unique_count=2, median_value="1")
     values(columns["wide_amount"][1], mean_value="123456789012345679.8", standard_deviation="370370367037037036.4")
     assert (columns["wide_amount"][1]["minimum_value"], columns["wide_amount"][1]["maximum_value"]) == ("1.00", "1234567890123456789.00")
     values(files["wide_amount"], monetary_total=None, row_count=10)
-    values(files["wide_balance"], monetary_total=None, closing_balance=None, opening_balance=None, running_balance_valid=None)
+    values(files["wide_balance"], monetary_total=None, closing_balance=None, opening_balance="0", calculated_closing_balance=None, running_balance_valid=True, status="completed")
     values(columns["fine_fractions"][1], inferred_data_type="decimal", mean_value="5.5", median_value="5.5", standard_deviation="0.5")
     assert (columns["fine_fractions"][1]["minimum_value"], columns["fine_fractions"][1]["maximum_value"]) == ("5.00000000001", "6.00000000001")
     values(files["fine_fractions"], monetary_total="3")
