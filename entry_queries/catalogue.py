@@ -771,7 +771,7 @@ def k3_latest_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     n_runs = catalog.read("pipeline_runs").groupBy("source_file_id").agg(F.count("*").alias("n_runs"))
     return (
         latest.join(n_columns, "profile_id", "left").join(n_issues, "profile_id", "left").join(n_runs, "source_file_id", "left")
-        .select("source_file_id", F.date_format("generated_at", "yyyy-MM-dd").alias("day"), "row_count", "n_columns",
+        .select("source_file_id", *[F.date_format(c, "yyyy-MM-dd").alias(n) for c, n in (("generated_at", "day"), ("created_at", "created"), ("updated_at", "updated"))], "row_count", "n_columns",
                 F.coalesce("n_issues", F.lit(0).cast("bigint")).alias("n_issues"), "n_runs")
     )
 

@@ -639,7 +639,7 @@ ORACLES: dict[str, str] = {
         FROM (SELECT file_id, count(*) AS n FROM ledger WHERE file_id = '8' GROUP BY 1) l LEFT JOIN issues i ON i.file_id = l.file_id GROUP BY l.file_id, l.n"""),
     "a17_profile_totals": _with(ISSUES, f"""SELECT l.file_id AS source_file_id, {STATUS}, {", ".join(f"count(*) FILTER (severity = '{s}') AS {s}" for s in ("critical", "error", "warning", "info"))}
         FROM (SELECT DISTINCT file_id FROM ledger) l LEFT JOIN issues i ON i.file_id = l.file_id GROUP BY l.file_id"""),
-    "k3_latest_profiles": _with(ISSUES, f"""SELECT l.file_id AS source_file_id, '2024-06-02' AS day, l.n AS row_count, {len(LEDGER_COLUMNS)} AS n_columns, coalesce(i.c, 0) AS n_issues, 2 AS n_runs
+    "k3_latest_profiles": _with(ISSUES, f"""SELECT l.file_id AS source_file_id, '2024-06-02' AS day, '2024-06-01' AS created, '2024-06-02' AS updated, l.n AS row_count, {len(LEDGER_COLUMNS)} AS n_columns, coalesce(i.c, 0) AS n_issues, 2 AS n_runs
         FROM (SELECT file_id, count(*) AS n FROM ledger GROUP BY 1) l LEFT JOIN (SELECT file_id, count(*) AS c FROM issues GROUP BY 1) i USING (file_id)"""),
     "b3_profile_corpus": _with(CORPUS, f"""SELECT k.file_id AS source_file_id, s.status, 'utf-8' AS encoding, k.delimiter, l.n AS row_count, {len(FILE_COLUMNS)} AS column_count,
         0 AS empty_row_count, d AS duplicate_row_count, strlen(k.text) AS file_size_bytes, total_null_count, total_non_null_count, total_numeric_columns, total_date_columns,

@@ -59,9 +59,15 @@ class Catalog:
 
 
 def latest_profiles(profiles: DataFrame) -> DataFrame:
-    """The newest row of every (file, version). The rank limit also applies before the shuffle."""
-    newest = Window.partitionBy("source_file_id", "profile_version").orderBy(F.desc("generated_at"), F.desc("run_id"))
-    return profiles.withColumn("_rank", F.row_number().over(newest)).filter("_rank = 1").drop("_rank")
+    """The newest row of every (file, version), with the times of its first and of its last run (created_at, updated_at).
+
+    The rank limit also applies before the shuffle, and so do the least and greatest times.
+    """
+    key = ["source_file_id", "profile_version"]
+    newest = Window.partitionBy(*key).orderBy(F.desc("generated_at"), F.desc("run_id"))
+    latest = profiles.withColumn("_rank", F.row_number().over(newest)).filter("_rank = 1").drop("_rank")
+    times = profiles.groupBy(*key).agg(F.min("generated_at").alias("created_at"), F.max("generated_at").alias("updated_at"))
+    return latest.join(times, key)
 
 
 def latest_of_files(profiles: DataFrame) -> DataFrame:
