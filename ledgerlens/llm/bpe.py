@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ledgerlens.llm.words import buffer_of, slices
+from ledgerlens.llm.words import buffer_of, slices, tidied
 
 #: Longer words are folded one by one.
 LONG_WORD = 256
@@ -237,6 +237,7 @@ def encode(text: Column | str, vocabulary: Vocabulary) -> Column:
     """Ids of every whole text, without special tokens; null and empty texts have none."""
 
     @F.arrow_udf("array<int>")
+    @tidied
     def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         memory = _Memory(vocabulary)
         for texts in batches:
@@ -249,6 +250,7 @@ def decode(ids: Column | str, vocabulary: Vocabulary) -> Column:
     """The bytes of a list of ids; null stays null, and an id that the vocabulary lacks is an error."""
 
     @F.arrow_udf("binary")
+    @tidied
     def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for lists in batches:
             yield _bytes_of(vocabulary, lists)
@@ -260,6 +262,7 @@ def both_ways(text: Column | str, vocabulary: Vocabulary) -> Column:
     """A struct (ids, bytes): the ids of every whole text, and what they decode to. One worker does both."""
 
     @F.arrow_udf("ids array<int>, bytes binary")
+    @tidied
     def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         memory = _Memory(vocabulary)
         for texts in batches:

@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ledgerlens.llm.words import PUNCTUATION, buffer_of, distinct, shingles_of, slices, words_of
+from ledgerlens.llm.words import PUNCTUATION, buffer_of, distinct, shingles_of, slices, tidied, words_of
 
 SEED_WORDS = 3
 #: Neighbouring n-grams of which the rarest becomes a seed.
@@ -247,6 +247,7 @@ def leaks(
 
 def _leak_column(text: Column, seeds: Seeds, size: int, threshold: float) -> Column:
     @F.arrow_udf(FOUND)
+    @tidied
     def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
             yield _leaks(texts, seeds, size, threshold)

@@ -17,7 +17,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ledgerlens.llm.words import LOWER, buffer_of, slices
+from ledgerlens.llm.words import LOWER, buffer_of, slices, tidied
 
 WIDTHS = (2, 3, 4)
 FILTERS = 16
@@ -194,6 +194,7 @@ def predict(model: Model, text: Column | str) -> Column:
     """
 
     @F.arrow_udf("label string, score double")
+    @tidied
     def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
             yield _predict(model, texts)

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ledgerlens.durable import materialize
 from ledgerlens.llm.components import components
-from ledgerlens.llm.words import buffer_of, distinct, mix, seeds, shingles_of, slices, words_of
+from ledgerlens.llm.words import buffer_of, distinct, mix, seeds, shingles_of, slices, words_of, tidied
 
 SHINGLE_WORDS = 4
 PERCENT = 85
@@ -123,6 +123,7 @@ def _set_slices(batch: pa.RecordBatch, size: int) -> Iterator[tuple[int, int, np
         yield low, high, *distinct(text, shingle)
 
 
+@tidied
 def _sizes(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     names = ["id", "n", "one", "two"]
     for batch in batches:
@@ -135,6 +136,7 @@ def _sizes(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBa
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
 
+@tidied
 def _rows(batches: Iterator[pa.RecordBatch], size: int, percent: int, narrow: bool) -> Iterator[pa.RecordBatch]:
     """Keys of all sets. ``narrow``: key and weight only; a weight is 1, and 2 ** 32 more for a key that is probed."""
     for batch in batches:
@@ -169,6 +171,7 @@ def _rows(batches: Iterator[pa.RecordBatch], size: int, percent: int, narrow: bo
                 yield pa.RecordBatch.from_arrays([key, ids.take(pa.array(text + low)), info], names=["key", "id", "info"])
 
 
+@tidied
 def _shingles(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for low, _, text, shingle in _set_slices(batch, size):
@@ -176,6 +179,7 @@ def _shingles(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Recor
             yield pa.RecordBatch.from_arrays(columns, names=["id", "shingle"])
 
 
+@tidied
 def _sketches(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     """Size and sketch of every set: bit b is the parity of the number of its shingles in bucket b."""
     names = ["id", "n", *[f"bits_{w}" for w in range(SKETCH_WORDS)]]
@@ -189,6 +193,7 @@ def _sketches(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Recor
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
 
+@tidied
 def _verify(batches: Iterator[pa.RecordBatch], size: int, percent: int) -> Iterator[pa.RecordBatch]:
     """Keeps the pairs (a, b, text_a, text_b) whose whole sets are similar enough."""
 

@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ledgerlens.llm.automaton import Automaton, compile_rules, matches, read
-from ledgerlens.llm.words import buffer_of, slices
+from ledgerlens.llm.words import buffer_of, slices, tidied
 
 
 @dataclass(frozen=True)
@@ -149,6 +149,7 @@ def find(text: Column | str, rules: tuple[Rule, ...] = RULES) -> Column:
     kinds = [r.kind for r in rules]
 
     @F.arrow_udf(SPANS)
+    @tidied
     def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
         for texts in batches:
@@ -167,6 +168,7 @@ def redacted(text: Column | str, rules: tuple[Rule, ...] = RULES) -> Column:
     kinds = [r.kind for r in rules]
 
     @F.arrow_udf("string")
+    @tidied
     def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
             changed = {}

@@ -7,7 +7,9 @@ that a batch costs a few numpy passes and no Python object per word.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import functools
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,6 +28,20 @@ _RUN = 1 << 19
 _BASE = 0x9E3779B97F4A7C15
 
 
+def tidied(work: Callable[..., Iterator]) -> Callable[..., Iterator]:
+    """The generator, giving back at its end what it has freed: workers are used again, and idle ones count as well."""
+
+    @functools.wraps(work)
+    def run(*args, **settings):
+        yield from work(*args, **settings)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:
+            trim(0)
+
+    return run
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Scatters 64-bit numbers (the finalizer of splitmix64)."""
     x = np.asarray(x, np.uint64)
