@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ledgerlens.llm.words import buffer_of, slices, tidied
+from ledgerlens.llm.words import buffer_of, free_name, slices, tidied
 
 #: Longer words are folded one by one.
 LONG_WORD = 256
@@ -273,12 +273,17 @@ def both_ways(text: Column | str, vocabulary: Vocabulary) -> Column:
 
 
 def encoded(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """The documents with their ids and n_tokens in place of the text, and whether decoding gave the text's bytes again."""
+    """The documents with their ids and n_tokens in place of the text, and whether decoding gave the text's bytes again (exact).
+
+    Null texts have no ids and count as exact. Columns of the input named ids, n_tokens or exact, in any spelling, give way; others stay.
+    """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    docs = docs.withColumn("_both", both_ways(text, vocabulary))
-    ids = F.col("_both.ids")
-    docs = docs.withColumns({"ids": ids, "n_tokens": F.size(ids).cast("bigint"), "exact": F.col("_both.bytes") == text.cast("binary")})
-    return docs.drop("text", "_both")
+    docs = docs.drop(*[c for c in docs.columns if c.lower() in ("ids", "n_tokens", "exact")])
+    name = free_name(docs.columns, "_both")
+    docs = docs.withColumn(name, both_ways(text, vocabulary))
+    ids = F.col(f"{name}.ids")
+    docs = docs.withColumns({"ids": ids, "n_tokens": F.size(ids).cast("bigint"), "exact": F.col(f"{name}.bytes") == text.cast("binary")})
+    return docs.drop("text", name)
 
 
 _BUCKETS = 1 << 16

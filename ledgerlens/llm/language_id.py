@@ -17,7 +17,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ledgerlens.llm.words import LOWER, buffer_of, slices, tidied
+from ledgerlens.llm.words import LOWER, buffer_of, free_name, slices, tidied
 
 WIDTHS = (2, 3, 4)
 FILTERS = 16
@@ -209,14 +209,22 @@ def held_out(doc_id: Column | str) -> Column:
 
 
 def identified(docs: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
-    """The documents whose language can be told: a text with letters, and a likeliest language of at least this score."""
-    model = fit(docs.where(~held_out("doc_id")))
-    found = docs.withColumn("_language", predict(model, F.col("text").cast("string")))
-    return found.where((F.col("_language.label") != UNKNOWN) & (F.col("_language.score") >= least)).drop("_language")
+    """The documents whose language can be told: a text with letters, and a likeliest language of at least this score.
+
+    Documents without id teach nothing. Of equally likely languages the first in order counts. Repeated rows and ids are judged each, and stay or go
+    as their text says; other columns of any name and type stay.
+    """
+    model, name = fit(docs.where(~held_out("doc_id"))), free_name(docs.columns, "_language")
+    found = docs.withColumn(name, predict(model, F.col("text").cast("string")))
+    return found.where((F.col(f"{name}.label") != UNKNOWN) & (F.col(f"{name}.score") >= least)).drop(name)
 
 
 def identify(docs: DataFrame) -> DataFrame:
-    """(doc_id, held_out, lang_pred, score) of every row of documents, learned from its labelled rows not held out."""
+    """(doc_id, held_out, lang_pred, score) of every row of documents, learned from its labelled rows not held out.
+
+    A null id is not held out, and teaches nothing. Of equally likely languages the first in order counts. Repeated rows and ids have a row each;
+    other columns are left out.
+    """
     model = fit(docs.where(~held_out("doc_id")))
     found = docs.select("doc_id", held_out("doc_id").alias("held_out"), predict(model, F.col("text").cast("string")).alias("p"))
     return found.select("doc_id", "held_out", F.col("p.label").alias("lang_pred"), F.col("p.score").alias("score"))

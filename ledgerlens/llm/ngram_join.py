@@ -308,11 +308,12 @@ def similar_sets(
 def keep_one_of_each(docs: DataFrame, size: int = SHINGLE_WORDS, percent: int = PERCENT) -> DataFrame:
     """The documents (doc_id, text, ...) without those that link, directly or not, to one with a smaller id.
 
-    Of rows that repeat an id the smallest one stays, in the order of the other columns. Rows with a null id stay.
+    Of rows that repeat an id the one whose other columns are the smallest text in JSON stays. Rows with a null id stay. Other columns may be
+    of any name and type.
     """
     found = materialize(similar_sets(docs, size=size, percent=percent), "groups").where("doc_id IS NOT NULL")
     docs = by_ids(docs, found.where("doc_id <> component_id").select("doc_id"), "left_anti")
     several = materialize(found.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "several")
     rest = [c for c in docs.columns if c != "doc_id"]
-    smallest = by_ids(docs, several, "left_semi").groupBy("doc_id").agg(F.min(F.struct(*rest)).alias("row"))
+    smallest = by_ids(docs, several, "left_semi").groupBy("doc_id").agg(F.min_by(F.struct(*rest), F.to_json(F.struct(*rest))).alias("row"))
     return by_ids(docs, several, "left_anti").unionByName(smallest.select("doc_id", "row.*").select(docs.columns))

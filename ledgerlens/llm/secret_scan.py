@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ledgerlens.llm.automaton import Automaton, compile_rules, matches, read
-from ledgerlens.llm.words import buffer_of, slices, tidied
+from ledgerlens.llm.words import buffer_of, free_name, slices, tidied
 
 
 @dataclass(frozen=True)
@@ -191,7 +191,10 @@ def redacted(text: Column | str, rules: tuple[Rule, ...] = RULES) -> Column:
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """One row per row of documents: its id, counts of the base kinds, their digest, and all spans as text."""
+    """One row per row of documents: its id, counts of the base kinds, their digest, and all spans as text.
+
+    Null and empty texts have no spans. Repeated rows, null and repeated ids have a row each; other columns are left out.
+    """
     found = docs.select("doc_id", find(F.col("text").cast("string")).alias("found"))
     label = lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])
     base = [r.kind for r in BASE]
@@ -201,8 +204,11 @@ def scan(docs: DataFrame) -> DataFrame:
 
 
 def without_secrets(docs: DataFrame) -> DataFrame:
-    """The documents with their secrets redacted; where the text changes, so does n_chars."""
-    text = F.col("text").cast("string")
-    new = docs.withColumn("_new", redacted(text))
-    n_chars = F.when(F.col("_new").eqNullSafe(text), F.col("n_chars")).otherwise(F.length("_new").cast("bigint"))
-    return new.withColumns({"n_chars": n_chars, "text": F.col("_new")}).drop("_new")
+    """The documents with their secrets redacted; where the text changes, so does n_chars.
+
+    Null texts stay null. Repeated rows, null and repeated ids are treated each; other columns of any name and type stay.
+    """
+    text, name = F.col("text").cast("string"), free_name(docs.columns, "_new")
+    new = docs.withColumn(name, redacted(text))
+    n_chars = F.when(F.col(name).eqNullSafe(text), F.col("n_chars")).otherwise(F.length(name).cast("bigint"))
+    return new.withColumns({"n_chars": n_chars, "text": F.col(name)}).drop(name)

@@ -28,6 +28,14 @@ _RUN = 1 << 19
 _BASE = 0x9E3779B97F4A7C15
 
 
+def free_name(columns: list[str], name: str) -> str:
+    """``name``, made longer until no column has it in any spelling."""
+    taken = {c.lower() for c in columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def tidied(work: Callable[..., Iterator]) -> Callable[..., Iterator]:
     """The generator, giving back at its end what it has freed: workers are used again, and idle ones count as well."""
 
