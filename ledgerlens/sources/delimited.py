@@ -215,7 +215,7 @@ def place_ranges(pieces: DataFrame) -> DataFrame:
 def _placed(pieces: DataFrame, kind: Column) -> DataFrame:
     """Adds begins_inside, ends_inside, record_no under the candidate number ``kind``."""
     stream = kind + F.lit(_KINDS) * F.get("inside_at", kind)
-    bit = lambda c: F.col(c).bitwiseAND(F.expr(f"shiftleft(1, _stream)")) != 0
+    bit = lambda c: F.col(c).bitwiseAND(F.expr("shiftleft(1, _stream)")) != 0
     counts = F.array(*[f"c{j}" for j in range(_STREAMS)])
     number = F.get("records_before", kind) + F.col("seq") + 1 - F.get(counts, F.col("_stream"))
     rows = pieces.withColumn("_stream", stream)
