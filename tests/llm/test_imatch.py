@@ -54,6 +54,19 @@ def test_lexicon_is_the_band(spark):
     assert imatch.lexicon(df, 0.2, 0.5) == sorted(r.h for r in hashes.collect())
 
 
+def test_every_term_of_the_band_counts(spark, documents):
+    """Long texts make a large lexicon, and none of its terms is left out."""
+    words = [f"w{i}" for i in range(130_000)]
+    long = " ".join(words)
+    texts = spark.createDataFrame([(long,), (long,), ("other",)], "text string")
+    chosen = imatch.lexicon(texts, 0.5, 0.7)
+    assert len(chosen) == len(words)
+    # texts that differ in one such term, whichever, have other fingerprints
+    pair = documents([f"common {words[0]}", f"common {words[-1]}", "common"]).withColumn("text", F.col("text").cast("string"))
+    got = [r.own for r in imatch.fingerprinted(pair, "text", "own", chosen).collect()]
+    assert got[0][0] != got[1][0] != got[2][0] != got[0][0]
+
+
 @pytest.mark.parametrize("count", [1, 2, 57])
 def test_next_ids(spark, count):
     ids = random.Random(count).sample(range(-1000, 1000), count)
