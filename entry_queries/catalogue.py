@@ -833,7 +833,7 @@ def j3_unprofiled(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def st1_incremental_intake(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Files land in two waves, the second repeating some of the first; each wave is taken in as a stream."""
+    """Files land in two waves, each with an empty one, the second repeating some of the first; each wave is taken in as a stream."""
     catalog = Catalog(spark, scratch_path(spark, "catalog"))
     folder, checkpoint = scratch_path(spark, "landing"), scratch_path(spark, "intake-checkpoint")
     systems = spark.createDataFrame([("bank", "Bank", "", "csv", True)], "code STRING, name STRING, description STRING, source_type STRING, is_active BOOLEAN")
@@ -841,8 +841,11 @@ def st1_incremental_intake(spark: SparkSession, sf_dir: str) -> DataFrame:
     config = RegistrationConfig(extensions=(".csv", ".txt"))
     for number, wave in enumerate((F.col("file_key") < "3", F.col("file_key") >= "2")):
         M.write_files(files.filter(wave), f"{folder}/wave={number}")
+        # a writer that has no row leaves one file without a byte
+        M.write_files(files.limit(0), f"{folder}/empty={number}")
+        stream = landing_stream(spark, folder, config)
         start_intake(
-            catalog, landing_stream(spark, folder, config), checkpoint, systems, F.lit("bank"), F.lit("text/plain"), config
+            catalog, stream, checkpoint, systems, F.lit("bank"), F.lit("text/plain"), config, directory=folder
         ).awaitTermination()
     runs = catalog.read("pipeline_runs")
     return runs.groupBy("source_file_id", "status").agg(F.count("*").alias("n"))

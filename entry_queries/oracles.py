@@ -655,5 +655,6 @@ ORACLES: dict[str, str] = {
     "j3_unprofiled": _with([LEDGER, CLEAN_FILES], f"""SELECT file_id AS source_file_id, file_key, '1.0.0' AS version FROM known WHERE NOT ({PRESENT})
         UNION ALL SELECT file_id, file_key, '2.0.0' FROM known"""),
     "st1_incremental_intake": _with([LEDGER, CLEAN_FILES], """SELECT file_id AS source_file_id, 'registered' AS status, 1 AS n FROM known
-        UNION ALL SELECT file_id, 'duplicate', 1 FROM known WHERE file_key < '3' AND file_key >= '2'"""),
+        UNION ALL SELECT file_id, 'duplicate', 1 FROM known WHERE file_key < '3' AND file_key >= '2'
+        UNION ALL SELECT sha256(''), unnest(['registered', 'duplicate']), 1"""),
 }

@@ -11,7 +11,7 @@ from ledgerlens.operators import reads, registration
 from ledgerlens.plans import profile as P, register as R
 from ledgerlens.schemas import SOURCE_FILES, SOURCE_SYSTEMS
 from ledgerlens.sources.catalog import Catalog
-from ledgerlens.streaming.intake import landing_stream, start_intake
+from ledgerlens.streaming.intake import landing_stream, new_empty_files, start_intake
 
 NOW = datetime(2024, 6, 1)
 CONFIG = RegistrationConfig(max_bytes=128)
@@ -202,3 +202,45 @@ def test_intake_equals_batch_and_survives_replay(spark, systems, tmp_path):
     expected = {"registered": 3, "duplicate": 2, "failed": 1}, {hashlib.sha256(c).hexdigest() for c in (GOOD, b"b", b"f")}
     assert state() == expected
     assert catalog.read("source_files").count() == 3
+
+
+def test_intake_takes_every_empty_file_once(spark, systems, tmp_path):
+    folder = tmp_path / "landing"
+    (folder / "deep").mkdir(parents=True)
+    catalog = Catalog(spark, f"file:{tmp_path}/catalog")
+
+    def run(checkpoint="checkpoint"):
+        stream = landing_stream(spark, f"file:{folder}", CONFIG, files_per_batch=2)
+        start_intake(
+            catalog, stream, f"file:{tmp_path}/{checkpoint}", systems, F.lit("bank"), F.lit("text/csv"), CONFIG, lambda: NOW, f"file:{folder}"
+        ).awaitTermination()
+
+    def statuses():
+        return {r.status: r["count"] for r in catalog.read("pipeline_runs").groupBy("status").count().collect()}
+
+    (folder / "empty one.csv").write_bytes(b"")
+    run()  # nothing but an empty file
+    assert statuses() == {"registered": 1}
+    (folder / "a.csv").write_bytes(GOOD)
+    (folder / "deep" / "empty.csv").write_bytes(b"")
+    (folder / "empty.exe").write_bytes(b"")
+    run()
+    assert statuses() == {"registered": 2, "duplicate": 1, "failed": 1}
+    run()
+    (folder / "empty one.csv").write_bytes(b"filled too late")  # a path counts once
+    run()
+    assert statuses() == {"registered": 2, "duplicate": 1, "failed": 1}
+    files = {r.sha256_checksum: r.file_size_bytes for r in catalog.read("source_files").collect()}
+    assert files == {hashlib.sha256(c).hexdigest(): len(c) for c in (b"", GOOD)}
+
+
+def test_empty_files_of_a_replayed_batch(spark, tmp_path):
+    """A batch that runs again takes in what it took in before, and nothing that a later listing holds."""
+    folder, seen = tmp_path / "landing", f"file:{tmp_path}/seen"
+    folder.mkdir()
+    take = lambda number: sorted(r.path.rsplit("/", 1)[1] for r in new_empty_files(spark, f"file:{folder}", seen, number, NOW).collect())
+    (folder / "a").write_bytes(b"")
+    assert take(0) == ["a"]
+    (folder / "b").write_bytes(b"")
+    (folder / "c").write_bytes(b"full")
+    assert take(0) == ["a"] and take(1) == ["b"] and take(1) == ["b"] and take(2) == []
