@@ -11,6 +11,7 @@ from ledgerlens.operators import reads, registration
 from ledgerlens.plans import profile as P, register as R
 from ledgerlens.schemas import SOURCE_FILES, SOURCE_SYSTEMS
 from ledgerlens.sources.catalog import Catalog
+from ledgerlens.streaming import intake
 from ledgerlens.streaming.intake import landing_stream, new_empty_files, start_intake
 
 NOW = datetime(2024, 6, 1)
@@ -234,6 +235,23 @@ def test_intake_takes_every_empty_file_once(spark, systems, tmp_path):
     assert files == {hashlib.sha256(c).hexdigest(): len(c) for c in (b"", GOOD)}
 
 
+def test_a_run_of_many_batches_lists_its_folder_once(spark, systems, tmp_path, monkeypatch):
+    """The cost of a batch must not grow with the files of the batches before it."""
+    folder, listed = tmp_path / "landing", []
+    folder.mkdir()
+    for name, content in (("a.csv", GOOD), ("b.csv", b"b"), ("c.csv", b"c"), ("d.csv", b"")):
+        (folder / name).write_bytes(content)
+    listing = intake.listed_paths
+    monkeypatch.setattr(intake, "listed_paths", lambda *a: listed.append(a) or listing(*a))
+    catalog = Catalog(spark, f"file:{tmp_path}/catalog")
+    stream = landing_stream(spark, f"file:{folder}", CONFIG, files_per_batch=1)
+    start_intake(
+        catalog, stream, f"file:{tmp_path}/checkpoint", systems, F.lit("bank"), F.lit("text/csv"), CONFIG, lambda: NOW, f"file:{folder}"
+    ).awaitTermination()
+    assert catalog.commits().count() > 2 and len(listed) == 1
+    assert {r.sha256_checksum for r in catalog.read("source_files").collect()} == {hashlib.sha256(c).hexdigest() for c in (GOOD, b"b", b"c", b"")}
+
+
 def test_empty_files_of_a_replayed_batch(spark, tmp_path):
     """A batch that runs again takes in what it took in before, and nothing that a later listing holds."""
     folder, seen = tmp_path / "landing", f"file:{tmp_path}/seen"
