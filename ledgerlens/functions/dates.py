@@ -30,6 +30,9 @@ _ISO_WEEK = rf"{_YEAR}(?:-W\d\d(?:-\d(?!\d))?|W\d\d(?:\d(?!\d))?){_TAIL}"
 _SLASH = r"\A(\d{1,2})/(\d{1,2})/(\d{4})\z"
 _CLOCK = r"(2[0-3]|[01]?\d):([0-5]?\d):([0-5]?\d)\z"
 _DASH_CLOCK = rf"{_YEAR}-(?:1[0-2]|0?[1-9])-(?:3[01]|[12]\d|0?[1-9]| [1-9])\s+{_CLOCK}"
+# The common texts, and what every text of an accepted format has, whatever white space is before it.
+_PLAIN = r"\A(?!0000)\d{4}-\d\d-\d\d(?:[ T](?:[01]\d|2[0-3]):[0-5]\d:[0-5]\d)?\z"
+_LIKELY = r"/|\A[^!-~]*+\d{4}(?:[W-]|\d{4})"
 _SLASH_CLOCK = rf"\A(?:1[0-2]|0?[1-9])/(?:3[01]|[12]\d|0?[1-9]| [1-9])/(?!0000)\d{{4}}\s+{_CLOCK}"
 
 
@@ -108,7 +111,13 @@ def parse_sql(column: str) -> str:
     result = """named_struct('value', _day, 'format', if(_day IS NULL, NULL, _form.format),
         'ambiguous', coalesce(_form.format = '', false))"""
     typed = let_sql("_day", "try_cast(_form.moment AS TIMESTAMP_NTZ)", result)
-    return let_sql("_form", let_sql("_t", strip_sql(column), forms), typed)
+    parsed = let_sql("_form", let_sql("_t", strip_sql(column), forms), typed)
+    # Lambdas are interpreted, so the common texts are told by one pattern each.
+    day = f"try_cast({column} AS TIMESTAMP_NTZ)"
+    label = f"if({day} IS NULL, NULL, if(contains({column}, 'T'), 'ISO-8601', '%Y-%m-%d'))"
+    plain = f"named_struct('value', {day}, 'format', {label}, 'ambiguous', false)"
+    nothing = "named_struct('value', CAST(NULL AS TIMESTAMP_NTZ), 'format', CAST(NULL AS STRING), 'ambiguous', false)"
+    return f"CASE WHEN {column} rlike {_raw(_PLAIN)} THEN {plain} WHEN NOT {column} rlike {_raw(_LIKELY)} THEN {nothing} ELSE {parsed} END"
 
 
 def parse(column: str) -> Column:

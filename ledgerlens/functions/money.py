@@ -19,6 +19,9 @@ _NUMBER = r"r'\A[+-]?(?:[0-9]+(?:\.[0-9]+)?|\.[0-9]+)\z'"
 _LEADING = r"r'^[+-]?0*(?=[0-9.])'"
 # Further decimal places than VALUE_TYPE has.
 _FINER = r"r'\.[0-9]{10,}[1-9]'"
+# Numbers that stand as they are normalized, and what no number has: letters but those of PHP, marks of dates, a sign behind a digit.
+_NORMAL = r"r'\A-?(?:0|[1-9][0-9]*+)(?:\.[0-9]{1,10})?\z'"
+_NEVER = r"r'[A-GI-OQ-Za-gi-oq-z/:_]|[0-9]-'"
 
 
 def parse_sql(column: str, money: str = "true") -> str:
@@ -37,7 +40,10 @@ def parse_sql(column: str, money: str = "true") -> str:
     number = f"named_struct('valid', true, 'value', {value}, 'text', _text)"
     nothing = f"named_struct('valid', false, 'value', CAST(NULL AS {VALUE_TYPE}), 'text', CAST(NULL AS STRING))"
     parsed = f"if(_digits rlike {_NUMBER}, {let_sql('_text', text, number)}, {nothing})"
-    return let_sql("_whole", strip_sql(column), let_sql("_digits", digits, parsed))
+    parsed = let_sql("_whole", strip_sql(column), let_sql("_digits", digits, parsed))
+    # Lambdas are interpreted, so the common texts are told by one pattern each.
+    normal = f"named_struct('valid', true, 'value', try_cast({column} AS {VALUE_TYPE}), 'text', {column})"
+    return f"CASE WHEN {column} rlike {_NORMAL} THEN {normal} WHEN {column} rlike {_NEVER} THEN {nothing} ELSE {parsed} END"
 
 
 def parse(column: str, money: str = "true") -> Column:

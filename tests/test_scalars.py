@@ -149,3 +149,13 @@ def test_strip_is_what_python_strips():
     spaces = {chr(c) for c in range(0x110000) if chr(c).isspace()}
     assert set(text.WHITESPACE) == spaces
     assert all(unicodedata.category(d) == "Nd" for d in text._DIGITS)
+
+
+def test_common_texts_are_parsed_as_by_the_general_way(spark):
+    """The patterns that tell plain numbers, plain dates and neither agree with the parsers behind them, which white space leads to."""
+    texts = ["1.50", "-0.00", "007", "5-", "T12", "1:2", "", "9" * 30, "0." + "1" * 11, "2024-02-30", "2024-02-29", "2024-02-29T10:20:30", "2024-02-29 24:00:00", "0000-01-01", "20240229", "1/2/2024", "13/2/2024", "2024", "x2024-01-01"]
+    df = spark.createDataFrame([(t, f"\u2003{t} ") for t in texts], "v STRING, w STRING")
+    df = df.select("v", money.parse("v").alias("a"), money.parse("w").alias("b"), dates.parse("v").alias("c"), dates.parse("w").alias("d"))
+    assert [r.v for r in df.filter("NOT (a <=> b) OR NOT (c <=> d)").collect()] == []
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "RLIKE(v" in plan
