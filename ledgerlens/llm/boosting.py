@@ -72,40 +72,53 @@ def _grow(x: np.ndarray, binned: np.ndarray, limits: list[np.ndarray], gradient:
     return Tree(feature, limit, leaf)
 
 
-def train(x: np.ndarray, y: np.ndarray) -> Model:
-    """Fits the logistic loss by second-order steps."""
-    share = np.clip(y.mean(), 1e-3, 1 - 1e-3)
+def cuts_of(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Where a feature may be split: quantiles of its ``values``, each of which is there ``counts`` times."""
+    if not len(values):
+        return np.zeros(0)
+    order = np.argsort(values, kind="stable")
+    upto = np.cumsum(counts[order])
+    ranks = np.floor(np.linspace(0, 1, BINS + 1)[1:-1] * (upto[-1] - 1))
+    cuts = np.unique(values[order][np.searchsorted(upto, ranks, side="right")])
+    return cuts[cuts < values.max()]
+
+
+def train(x: np.ndarray, y: np.ndarray, counts: np.ndarray | None = None, limits: list[np.ndarray] | None = None) -> Model:
+    """Fits the logistic loss by second-order steps. Rows stand for ``counts`` rows each; ``limits``: the cuts of every feature."""
+    counts = np.ones(len(x)) if counts is None else counts
+    share = np.clip((y * counts).sum() / counts.sum(), 1e-3, 1 - 1e-3)
     model = Model(base=float(np.log(share / (1 - share))))
-    limits = [np.unique(np.quantile(x[:, f], np.linspace(0, 1, BINS + 1)[1:-1], method="lower")) for f in range(x.shape[1])]
-    limits = [cuts[cuts < x[:, f].max()] for f, cuts in enumerate(limits)]
+    limits = limits or [cuts_of(x[:, f], counts) for f in range(x.shape[1])]
     binned = np.column_stack([np.searchsorted(cuts, x[:, f]) for f, cuts in enumerate(limits)])
     margin = np.full(len(x), model.base)
     for _ in range(TREES):
         p = _logistic(margin)
-        tree = _grow(x, binned, limits, p - y, np.maximum(p * (1 - p), 1e-6))
+        tree = _grow(x, binned, limits, counts * (p - y), counts * np.maximum(p * (1 - p), 1e-6))
         model.trees.append(tree)
         margin += RATE * tree(x)
     return model
 
 
-def calibrate(model: Model, x: np.ndarray, y: np.ndarray) -> None:
+def calibrate(model: Model, x: np.ndarray, y: np.ndarray, counts: np.ndarray | None = None) -> None:
     """Fits slope and offset of the margin to rows that were not trained on, by Newton steps."""
+    counts = np.ones(len(x)) if counts is None else counts
     margin = model.margin(x)
     design = np.column_stack([margin, np.ones(len(margin))])
     weights = np.array([1.0, 0.0])
     for _ in range(25):
         p = _logistic(design @ weights)
-        slope = design.T @ (p - y) + 0.01 * (weights - [1, 0])
-        curve = (design * (p * (1 - p))[:, None]).T @ design + 0.01 * np.eye(2)
+        slope = design.T @ (counts * (p - y)) + 0.01 * (weights - [1, 0])
+        curve = (design * (counts * p * (1 - p))[:, None]).T @ design + 0.01 * np.eye(2)
         weights = weights - np.linalg.solve(curve, slope)
     if np.isfinite(weights).all() and weights[0] > 0:
         model.slope, model.offset = map(float, weights)
 
 
-def threshold(probability: np.ndarray, y: np.ndarray, precision: float) -> float:
+def threshold(probability: np.ndarray, y: np.ndarray, precision: float, counts: np.ndarray | None = None) -> float:
     """The lowest probability from which on up the rows have this precision; 2 (nothing passes) if there is none."""
+    counts = np.ones(len(y)) if counts is None else counts
     order = np.argsort(-probability, kind="stable")
-    right = np.cumsum(y[order]) / np.arange(1, len(y) + 1)
+    right = np.cumsum((y * counts)[order]) / np.cumsum(counts[order])
     last = np.append(probability[order][1:] != probability[order][:-1], True) if len(y) else np.zeros(0, bool)
     good = np.flatnonzero((right >= precision) & last)
     return float(probability[order][good[-1]]) if len(good) else 2.0

@@ -19,14 +19,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ledgerlens.durable import materialize
 from ledgerlens.llm import boosting
 
 BASE = ("email", "ip", "card", "phone")
 #: Generators beyond the base, in the order in which their spans are listed behind the base kinds.
 MORE = ("number", "account", "ip6", "address")
 KINDS = BASE + MORE
-#: Candidates that the trees are fitted on, chosen by hash; half of them calibrate.
-SAMPLE = 20_000
 PRECISION = 0.9
 #: Characters before a span that are its context.
 CONTEXT = 40
@@ -203,9 +202,11 @@ class Judge:
         return sorted(found)
 
 
-def fit(docs: DataFrame, rows: int = SAMPLE, precision: float = PRECISION) -> Judge:
-    """Learns from at most ``rows`` candidates of the whole texts of ``docs`` (doc_id, text), chosen by hash.
+def fit(docs: DataFrame, precision: float = PRECISION) -> Judge:
+    """Learns from all candidates of the whole texts of ``docs`` (doc_id, text); those of every other document calibrate.
 
+    Spark counts equal candidates. Trees split at ``boosting.BINS`` quantiles of a feature, so candidates that no split can part are counted
+    together, too: what comes to the driver is one row for each of these, however many texts there are.
     Without both kinds of candidates there is nothing to learn, and only base spans are found.
     """
 
@@ -216,17 +217,34 @@ def fit(docs: DataFrame, rows: int = SAMPLE, precision: float = PRECISION) -> Ju
             yield pa.array([[{"good": g, "x": x} for g, x in examples(t or "")] for t in texts.to_pylist()], kind)
 
     found = docs.select("doc_id", F.explode(candidates(F.col("text").cast("string"))).alias("c"))
-    order = F.xxhash64("doc_id", "c.good", "c.x")
-    drawn = found.select(F.pmod(F.xxhash64("doc_id"), F.lit(2)).alias("fold"), "c.good", "c.x", order.alias("o")).orderBy("o").limit(rows).toArrow()
+    fold = F.pmod(F.xxhash64("doc_id"), F.lit(2)).alias("fold")
+    counted = materialize(found.groupBy(fold, "c.good", "c.x").agg(F.count(F.lit(1)).alias("n")), "candidates")
+    values = counted.where("fold = 0").select("n", F.posexplode("x").alias("f", "v")).groupBy("f", "v").agg(F.sum("n").alias("n")).toArrow()
+    f, v, n = (values.column(c).to_numpy() for c in ("f", "v", "n"))
+    if not len(f):
+        return Judge(None, 2.0)
+    limits = [boosting.cuts_of(v[f == k], n[f == k]) for k in range(int(f.max()) + 1)]
+
+    @F.arrow_udf("array<double>")
+    def between_cuts(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        # every value becomes the cut that ends its bin, so that it stays on the same side of all cuts
+        for vectors in batches:
+            x = np.array(vectors.to_pylist(), float).reshape(len(vectors), len(limits))
+            ended = [np.append(cuts, np.inf)[np.searchsorted(cuts, x[:, k])] for k, cuts in enumerate(limits)]
+            yield pa.array(np.column_stack(ended).tolist(), pa.list_(pa.float64()))
+
+    drawn = counted.select("fold", "good", between_cuts("x").alias("x"), "n").groupBy("fold", "good", "x").agg(F.sum("n").alias("n")).toArrow()
     x = np.array(drawn.column("x").to_pylist(), float)
-    y, fold = drawn.column("good").to_numpy().astype(float), drawn.column("fold").to_numpy()
+    y, fold, counts = (drawn.column(c).to_numpy().astype(float) for c in ("good", "fold", "n"))
+    order = np.lexsort([*x.T, y, fold])  # sums of floats hang on the order
+    x, y, fold, counts = x[order], y[order], fold[order], counts[order]
     one, two = fold == 0, fold == 1
-    if len(y) == 0 or any(len(np.unique(y[f])) < 2 for f in (one, two)):
+    if any(len(np.unique(y[f])) < 2 for f in (one, two)):
         return Judge(None, 2.0)
-    model = boosting.train(x[one], y[one])
-    boosting.calibrate(model, x[two], y[two])
+    model = boosting.train(x[one], y[one], counts[one], limits)
+    boosting.calibrate(model, x[two], y[two], counts[two])
     # precise on all that was held out, and likelier than not each
-    return Judge(model, max(0.5, boosting.threshold(model.probability(x[two]), y[two], precision)))
+    return Judge(model, max(0.5, boosting.threshold(model.probability(x[two]), y[two], precision, counts[two])))
 
 
 def find(text: Column | str, judge: Judge) -> Column:

@@ -98,6 +98,31 @@ def test_more_spans_are_selected_by_context(documents):
     assert kinds("see page 12 version 300.400.500.600 order 123456789") == []
 
 
+def test_counted_rows_teach_as_rows_do():
+    chance = np.random.default_rng(2)
+    x, n = chance.integers(0, 5, size=(60, 4)).astype(float), chance.integers(1, 9, size=60)
+    y = (x[:, 0] + x[:, 1] > 4).astype(float)
+    y[::7] = 1 - y[::7]
+    full = np.repeat(x, n, axis=0), np.repeat(y, n)
+    one, many = boosting.train(x, y, n), boosting.train(*full)
+    boosting.calibrate(one, x, y, n)
+    boosting.calibrate(many, *full)
+    assert np.allclose(one.probability(x), many.probability(x))
+    for wanted in (0.6, 0.8, 0.9):
+        assert np.isclose(boosting.threshold(one.probability(x), y, wanted, n), boosting.threshold(many.probability(full[0]), full[1], wanted))
+
+
+def test_every_candidate_is_learned_from(documents, monkeypatch):
+    rows, seen = rows_with_numbers(), []
+    train, calibrate = boosting.train, boosting.calibrate
+    monkeypatch.setattr(boosting, "train", lambda x, y, counts, *a: seen.append(counts.sum()) or train(x, y, counts, *a))
+    monkeypatch.setattr(boosting, "calibrate", lambda m, x, y, counts: seen.append(counts.sum()) or calibrate(m, x, y, counts))
+    # more copies than any sample that was drawn before
+    many = [(100 * i + k, t, None) for i, t, _ in rows for k in range(60)]
+    assert P.fit(documents(many)).model is not None
+    assert sum(seen) == sum(len(list(P.examples(t))) for _, t, _ in many) > 20_000
+
+
 def test_rows_of_the_query(documents):
     texts = ["é a.b@c.de 42.144.35.254 4111 1111 1111 1111 +1 (988) 555-2485", None, "", "none", "x " * 200_000 + "a@b.co"]
     rows = [(i + 1000, t, None) for i, t in enumerate(texts)] + [(1000, texts[0], None), (None, texts[0], None)]
