@@ -42,7 +42,8 @@ def counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.column_statistics(C.parsed_values(counts(spark, sf_dir)))
+    # counting, parsing and sorting in one task would need memory as the parts of the shuffle grow; what is read back comes by ranges
+    return C.column_statistics(materialize(C.parsed_values(counts(spark, sf_dir)), "values"))
 
 
 def texts(*names: str) -> list[Column]:

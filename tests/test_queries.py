@@ -30,3 +30,12 @@ def test_query(spark, con, name):
 
 def test_entry(spark):
     assert entry_module.entry(spark).count() > 0
+
+
+def test_statistics_are_made_from_written_values(spark, monkeypatch):
+    """Counting, parsing and the statistics of columns must not share a task, whose memory would grow with the parts of a shuffle."""
+    columns, given = entry_queries.catalogue.C, []
+    made = columns.column_statistics
+    monkeypatch.setattr(columns, "column_statistics", lambda parsed: given.append(parsed) or made(parsed))
+    entry_queries.catalogue.statistics(spark, SF_DIR)
+    assert [("Aggregate" in p._jdf.queryExecution().optimizedPlan().toString()) for p in given] == [False]
