@@ -31,7 +31,7 @@ def order_key(text: Column) -> Column:
     return F.when(negative, F.concat(F.lit("0"), F.translate(digits, _DIGITS, _COMPLEMENT), F.lit("~"))).otherwise(F.concat(F.lit("1"), digits))
 
 
-def _of_limbs() -> dict[str, Callable]:
+def python_parts() -> dict[str, Callable]:
     # Made inside a function so that it reaches the workers by value, without this package installed there.
     def scaled(text: str) -> tuple[int, int]:
         """A number as a whole number of 10 ** (-9 * n), and n."""
@@ -86,16 +86,16 @@ def _of_limbs() -> dict[str, Callable]:
     return locals()
 
 
-def limbs_of(text: Column, squared: bool = False) -> Column:
-    """Limbs of normalized number text, or of its square; zero limbs are left out."""
-    made = _of_limbs()
+def limbs_of(text: Column) -> Column:
+    """Limbs of normalized number text; zero limbs are left out."""
+    made = python_parts()
     scaled, cut = made["scaled"], made["cut"]
 
     def limbs(texts: pd.Series) -> pd.Series:
         out = []
         for text in texts:
             value, n = scaled(text) if text is not None else (0, 0)
-            out.append(cut(value * value, 2 * n) if squared else cut(value, n))
+            out.append(cut(value, n))
         return pd.Series(out, dtype=object)
 
     return F.pandas_udf(limbs, LIMBS)(text)
@@ -103,7 +103,7 @@ def limbs_of(text: Column, squared: bool = False) -> Column:
 
 def total(sums: Column) -> Column:
     """The number that added limbs make, with six places; null if it is too large."""
-    made = _of_limbs()
+    made = python_parts()
     together, least_of, rounded = made["together"], made["least_of"], made["rounded"]
 
     def of(rows: pd.Series) -> pd.Series:
@@ -117,7 +117,7 @@ def total(sums: Column) -> Column:
 
 
 def mean(count: Column, sums: Column) -> Column:
-    made = _of_limbs()
+    made = python_parts()
     together, least_of, rounded = made["together"], made["least_of"], made["rounded"]
 
     def of(counts: pd.Series, rows: pd.Series) -> pd.Series:
@@ -132,7 +132,7 @@ def mean(count: Column, sums: Column) -> Column:
 
 def deviation(count: Column, sums: Column, squares: Column) -> Column:
     """The population standard deviation."""
-    made = _of_limbs()
+    made = python_parts()
     together, least_of, rounded = made["together"], made["least_of"], made["rounded"]
 
     def of(counts: pd.Series, rows: pd.Series, square_rows: pd.Series) -> pd.Series:
@@ -154,7 +154,7 @@ def deviation(count: Column, sums: Column, squares: Column) -> Column:
 
 def middle(low: Column, high: Column) -> Column:
     """The mean of two numbers given by their keys."""
-    made = _of_limbs()
+    made = python_parts()
     from_key, rounded = made["from_key"], made["rounded"]
 
     def of(lows: pd.Series, highs: pd.Series) -> pd.Series:
@@ -171,7 +171,7 @@ def middle(low: Column, high: Column) -> Column:
 def followed(sums: Column, reported: Column, scale: Column, tolerance: str) -> Column:
     """A struct of the number that added limbs make: text with ``scale`` places, that with six (value), and whether ``reported``, normalized
     number text, is as near as the tolerance."""
-    made = _of_limbs()
+    made = python_parts()
     scaled, together, least_of, rounded = made["scaled"], made["together"], made["least_of"], made["rounded"]
 
     def of(rows: pd.Series, texts: pd.Series, scales: pd.Series) -> pd.DataFrame:

@@ -5,6 +5,9 @@ Only such columns and files come here. Numbers are parsed into limbs by distinct
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ledgerlens.durable import materialize
@@ -20,6 +23,49 @@ def added_limbs(rows: DataFrame, keys: list[str], parts: Column, weight: Column,
     return sums.groupBy(*keys).agg(F.collect_list(F.when(F.col("i").isNotNull(), F.struct("i", "v"))).alias(name))
 
 
+def _batch_sums() -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    # Made inside a function so that it reaches the workers by value, without this package installed there.
+    made = limbs.python_parts()
+    scaled, cut = made["scaled"], made["cut"]
+
+    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from decimal import Decimal
+
+        for rows in batches:
+            # sum and sum of squares by column and unit
+            found: dict[tuple, list[int]] = {}
+            for file_id, position, text, weight in zip(rows["file_id"], rows["position"], rows["text"], rows["cnt"].tolist()):
+                value, n = scaled(text)
+                both = found.setdefault((file_id, position, n), [0, 0])
+                weighed = value * weight
+                both[0] += weighed
+                both[1] += weighed * value
+            out = []
+            for (file_id, position, n), both in found.items():
+                for squared, value in enumerate(both):
+                    parts = cut(value, n * (squared + 1)) or [{"i": None, "v": 0}]
+                    out += [(file_id, position, squared, p["i"], Decimal(p["v"])) for p in parts]
+            made = pd.DataFrame(out, columns=["file_id", "position", "squared", "i", "v"])
+            yield made.astype({"i": "Int32"})
+
+    return sums
+
+
+def sums_of_numbers(rows: DataFrame) -> DataFrame:
+    """Per column the limbs of the sum and of the sum of squares: file_id, position, sums, squares. ``rows``: file_id, position, text, cnt.
+
+    The numbers of a batch are added up where they are read, so little is shuffled. A column of zeros has no limb.
+    """
+    kind = rows.schema["position"].dataType.simpleString()
+    schema = f"file_id string, position {kind}, squared int, i int, v decimal(38,0)"
+    each = rows.select("file_id", "position", "text", "cnt").mapInPandas(_batch_sums(), schema)
+    added = each.groupBy("file_id", "position", "squared", "i").agg(F.sum("v").cast("decimal(38,0)").alias("v"))
+    limb = F.struct("i", "v")
+    return added.groupBy("file_id", "position").agg(
+        *[F.collect_list(F.when(F.col("i").isNotNull() & (F.col("squared") == k), limb)).alias(name) for k, name in enumerate(("sums", "squares"))]
+    )
+
+
 def long_number_statistics(parsed: DataFrame, columns: DataFrame) -> DataFrame:
     """file_id, column_position and the five figures of ``columns`` (file_id, position); ``parsed`` as from ``parsed_values``.
 
@@ -35,8 +81,7 @@ def long_number_statistics(parsed: DataFrame, columns: DataFrame) -> DataFrame:
         F.max(F.struct("key", (-F.col("first_row")).alias("r"), "text")).alias("high"),
     )
     middles = in_middle(rows.groupBy(*column, F.col("key").alias("number")).agg(F.sum("cnt").alias("cnt")), column)
-    for name, squared in (("sums", False), ("squares", True)):
-        facts = facts.join(added_limbs(rows, column, limbs.limbs_of(F.col("text"), squared), F.col("cnt"), name), column)
+    facts = facts.join(sums_of_numbers(rows), column)
     return facts.join(middles, column).select(
         "file_id",
         F.col("position").cast("int").alias("column_position"),

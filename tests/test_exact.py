@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerlens.functions import limbs
-from ledgerlens.operators import columns as C, ledger as L
+from ledgerlens.operators import columns as C, exact, ledger as L
 
 
 def numbers(count, seed):
@@ -120,3 +120,19 @@ def test_balances(spark, block):
     assert summary["sides"].running_balance_valid and summary["sides"].opening_balance == 0
     s = summary["broken"]
     assert "broken" not in running and not s.verifiable and s.opening_balance is None and s.closing_balance == 2 and s.running_balance_valid is None
+
+
+def test_long_numbers_are_added_up_where_they_are_read(spark):
+    """The sums and squares of a batch make a few rows, not some for every number; a column of zeros stays."""
+    texts = numbers(800, 7)
+    rows = spark.createDataFrame([("f", 0, t, 1 + n % 3) for n, t in enumerate(texts)] + [("z", 1, "-0.00", 2)], "file_id string, position int, text string, cnt bigint").coalesce(1)
+    found = exact.sums_of_numbers(rows)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Aggregate") < plan.index("MapInPandas") and "Generate" not in plan
+
+    def value(parts):
+        return sum(Fraction(int(p.v)) * Fraction(10) ** (9 * p.i) for p in parts)
+
+    got = {r.file_id: (value(r.sums), value(r.squares)) for r in found.collect()}
+    weighed = [(Fraction(t), 1 + n % 3) for n, t in enumerate(texts)]
+    assert got == {"f": (sum(x * w for x, w in weighed), sum(x * x * w for x, w in weighed)), "z": (0, 0)}
