@@ -177,9 +177,12 @@ def landed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def write_files(files: DataFrame, path: str) -> None:
-    """One real file per row of text ``content``; the writer ends each file with the last newline."""
+    """One real file per row of text ``content``; the writer ends each file with the last newline.
+
+    Tasks move their own files to the folder: there are as many as rows, and the driver would move them one after the other.
+    """
     text = F.regexp_replace(F.decode("content", "UTF-8"), r"\n\z", "")
-    files.select(text.alias("value")).write.option("maxRecordsPerFile", 1).text(path)
+    files.select(text.alias("value")).write.option("maxRecordsPerFile", 1).option("mapreduce.fileoutputcommitter.algorithm.version", 2).text(path)
 
 
 def corpus_folder(spark: SparkSession, sf_dir: str, keep: Column | None = None) -> str:

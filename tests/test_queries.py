@@ -3,6 +3,7 @@
 import pytest
 
 import entry_queries.catalogue
+import entry_queries.more_inputs
 import entry_queries.oracles
 
 import __spark_entry__ as entry_module
@@ -39,3 +40,15 @@ def test_statistics_are_made_from_written_values(spark, monkeypatch):
     monkeypatch.setattr(columns, "column_statistics", lambda parsed: given.append(parsed) or made(parsed))
     entry_queries.catalogue.statistics(spark, SF_DIR)
     assert [("Aggregate" in p._jdf.queryExecution().optimizedPlan().toString()) for p in given] == [False]
+
+
+def test_files_are_moved_by_the_tasks_that_write_them(spark, monkeypatch, tmp_path):
+    """One file a row, and every row in one; a job that moves them itself would move them one by one."""
+    options = []
+    writer = type(spark.range(1).write)
+    made = writer.option
+    monkeypatch.setattr(writer, "option", lambda self, key, value: options.append((key, value)) or made(self, key, value))
+    rows = spark.createDataFrame([(b"a,b\n1,2\n",), (b"c\n",)], "content binary")
+    entry_queries.more_inputs.write_files(rows, str(tmp_path / "files"))
+    assert ("mapreduce.fileoutputcommitter.algorithm.version", 2) in options
+    assert sorted(p.read_text() for p in (tmp_path / "files").glob("part-*")) == ["a,b\n1,2\n", "c\n"]
