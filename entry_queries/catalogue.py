@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from entry_queries import inputs as I, more_inputs as M
 from ledgerlens.config import ProfilingConfig, RegistrationConfig
-from ledgerlens.durable import materialize, scratch_path
+from ledgerlens.durable import scratch_path
 from ledgerlens.functions import dates, money, text
 from ledgerlens.operators import columns as C, concepts, ledger as L, ordered, reads, registration, rollup, rules, shaping
 from ledgerlens.plans import profile as P, register as R
@@ -43,7 +43,7 @@ def counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     # counting, parsing and sorting in one task would need memory as the parts of the shuffle grow; what is read back comes by ranges
-    return C.column_statistics(materialize(C.parsed_values(counts(spark, sf_dir)), "values"))
+    return C.column_statistics(C.written_values(counts(spark, sf_dir)))
 
 
 def texts(*names: str) -> list[Column]:
@@ -249,7 +249,7 @@ def a5_long_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = []
     for name in ("value", "large"):
         cells = rows.select("file_id", "row_no", F.lit(0).alias("position"), F.lit(name).alias("name"), F.lit(None).cast("string").alias("concept"), F.col(name).alias("value"))
-        found.append(C.column_profiles(materialize(C.parsed_values(C.value_counts(cells)), "long")))
+        found.append(C.column_profiles(C.written_values(C.value_counts(cells))))
     df = found[0].unionByName(found[1])
     return df.select("file_id", "column_name", "inferred_data_type", "unique_count", "minimum_value", "maximum_value", *texts("mean_value", "median_value"))
 
@@ -534,7 +534,7 @@ def full_profile(columns: DataFrame) -> DataFrame:
 @query
 def column_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: every statistic of every column of every ledger."""
-    values = materialize(C.parsed_values(counts(spark, sf_dir)), "values")
+    values = C.written_values(counts(spark, sf_dir))
     return full_profile(C.column_profiles(values))
 
 

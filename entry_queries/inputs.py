@@ -10,6 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ledgerlens.config import RECORD_ROWS
 from ledgerlens.durable import materialize
 from ledgerlens.operators.ordered import number_rows, running_sum
 from ledgerlens.sources.tables import records_from_table
@@ -45,7 +46,7 @@ def staged(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], Data
     """An input table, derived once per session and folder and written to the shared folder."""
     key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _staged:
-        _staged[key] = materialize(build(), name)
+        _staged[key] = materialize(build(), name, RECORD_ROWS)
     return _staged[key]
 
 

@@ -9,6 +9,9 @@ from decimal import Decimal
 # row numbers, joins back to rows). Groups above it are split into row blocks.
 BLOCK_ROWS = 100_000
 
+# Rows of a file of records: tasks that count the values of cells hold all different ones that they read.
+RECORD_ROWS = 8_192
+
 # Longest list of columns (file and position) that is broadcast.
 BROADCAST_COLUMNS = 500_000
 

@@ -20,10 +20,17 @@ COLUMN = ["file_id", "position", "name", "concept"]
 MONEY_COLUMN = f"coalesce(concept IN {MONEY}, false)"
 # Percentage of NULL values as a DOUBLE, 0 without rows.
 NULL_SHARE = "coalesce(try_divide(CAST(null_count AS DOUBLE), row_count) * 100, 0D)"
+# Rows of a file of parsed values; a row takes some 400 bytes in a sort.
+VALUE_ROWS = 32_768
 # Texts that count as booleans.
 BOOLEANS = ("true", "false", "yes", "no", "0", "1")
 
 
+def written_values(counts: DataFrame) -> DataFrame:
+    """Parsed values, written in files so small that the sorts of those who read them stay small."""
+    return materialize(parsed_values(counts), "values", VALUE_ROWS)
+
+
 def value_counts(cells: DataFrame) -> DataFrame:
     """file_id, position, name, concept, value, cnt, first_row. Counted before the shuffle, too."""
     return cells.groupBy(*COLUMN, "value").agg(F.count(F.lit(1)).alias("cnt"), F.min("row_no").alias("first_row"))

@@ -11,7 +11,7 @@ from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ledgerlens.config import BROADCAST_COLUMNS, ProfilingConfig
+from ledgerlens.config import BROADCAST_COLUMNS, RECORD_ROWS, ProfilingConfig
 from ledgerlens.durable import materialize
 from ledgerlens.operators import columns as col_ops, ledger as ledger_ops, rollup, rules
 from ledgerlens.operators.reads import unprofiled
@@ -61,7 +61,7 @@ def _profile(
     config: ProfilingConfig,
 ) -> Profile:
     cells = to_cells(rows)
-    parsed = materialize(col_ops.parsed_values(col_ops.value_counts(cells)), "values")
+    parsed = col_ops.written_values(col_ops.value_counts(cells))
     columns = materialize(
         col_ops.column_profiles(parsed, config, headers=header_cells(headers)), "columns"
     )
@@ -148,7 +148,7 @@ def profile_records(records: DataFrame, config: ProfilingConfig = ProfilingConfi
     """Profiles records of a table (see ``records_from_table``); groups may be of any size."""
     if config.max_rows is not None:
         records = limit_rows(records, config.max_rows)
-    records = materialize(records, "records")
+    records = materialize(records, "records", RECORD_ROWS)
     headers = records.filter(F.col("row_no") == 2).select(
         "file_id", "names", "concepts", F.exists("names", lambda name: name != "").alias("usable")
     )

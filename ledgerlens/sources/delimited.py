@@ -17,6 +17,7 @@ from typing import NamedTuple
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ledgerlens.config import RECORD_ROWS
 from ledgerlens.durable import materialize
 from ledgerlens.functions.text import strip
 from ledgerlens.operators.concepts import concepts_of
@@ -355,4 +356,4 @@ def parse_pieces(pieces: DataFrame, files: DataFrame, max_rows: int | None = Non
     records = records if max_rows is None else limit_rows(records, max_rows)
     error = F.lit(None).cast("string").alias("error")
     known = files.select(F.col("name").alias("file_id"), "length", "encoding", "file_class", delimiter_of(F.col("kind")).alias("delimiter"), error)
-    return Parsed(known, materialize(records, "records"))
+    return Parsed(known, materialize(records, "records", RECORD_ROWS))

@@ -1,8 +1,10 @@
 """Every registered query against its DuckDB restatement on the smallest given tables."""
 
 import pytest
+from pyspark.sql import functions as F
 
 import entry_queries.catalogue
+import entry_queries.inputs
 import entry_queries.more_inputs
 import entry_queries.oracles
 
@@ -42,6 +44,18 @@ def test_statistics_are_made_from_written_values(spark, monkeypatch):
     assert [("Aggregate" in p._jdf.queryExecution().optimizedPlan().toString()) for p in given] == [False]
 
 
+def test_files_of_values_and_records_are_short(spark, monkeypatch):
+    """A task reads a bounded number of files, so short ones bound what it sorts and counts."""
+    monkeypatch.setattr(entry_queries.catalogue.C, "VALUE_ROWS", 50)
+    monkeypatch.setattr(entry_queries.inputs, "RECORD_ROWS", 40)
+    monkeypatch.setattr(entry_queries.inputs, "_staged", {})
+    ledger = entry_queries.inputs.ledger(spark, SF_DIR)
+    values = entry_queries.catalogue.C.written_values(entry_queries.catalogue.counts(spark, SF_DIR))
+    for table, most in ((ledger, 40), (values, 50)):
+        rows = [r["count"] for r in table.groupBy(F.input_file_name()).count().collect()]
+        assert sum(rows) > most >= max(rows)
+
+
 def test_files_are_moved_by_the_tasks_that_write_them(spark, monkeypatch, tmp_path):
     """One file a row, and every row in one; a job that moves them itself would move them one by one."""
     options = []
