@@ -117,7 +117,18 @@ def parse_sql(column: str) -> str:
     label = f"if({day} IS NULL, NULL, if(contains({column}, 'T'), 'ISO-8601', '%Y-%m-%d'))"
     plain = f"named_struct('value', {day}, 'format', {label}, 'ambiguous', false)"
     nothing = "named_struct('value', CAST(NULL AS TIMESTAMP_NTZ), 'format', CAST(NULL AS STRING), 'ambiguous', false)"
-    return f"CASE WHEN {column} rlike {_raw(_PLAIN)} THEN {plain} WHEN NOT {column} rlike {_raw(_LIKELY)} THEN {nothing} ELSE {parsed} END"
+    # slash dates in ASCII digits
+    first, second = f"substring_index({column}, '/', 1)", f"substring_index(substring_index({column}, '/', 2), '/', -1)"
+    year, late = f"right({column}, 4)", f"CAST({first} AS INT) > 12"
+    parts = f"if({late}, concat_ws('-', {year}, {second}, {first}), concat_ws('-', {year}, {first}, {second}))"
+    day = f"if({year} = '0000', CAST(NULL AS TIMESTAMP_NTZ), try_cast({parts} AS TIMESTAMP_NTZ))"
+    slash = f"named_struct('value', {day}, 'format', if({day} IS NULL, NULL, if({late}, '%d/%m/%Y', '%m/%d/%Y')), 'ambiguous', false)"
+    unsure = nothing.replace("'ambiguous', false", "'ambiguous', true")
+    return f"""CASE WHEN {column} IS NULL THEN {nothing}
+        WHEN {column} rlike {_raw(_PLAIN)} THEN {plain}
+        WHEN NOT {column} rlike {_raw(_LIKELY)} THEN {nothing}
+        WHEN {column} rlike {_raw(_SLASH)} THEN if(NOT {late} AND CAST({second} AS INT) <= 12, {unsure}, {slash})
+        ELSE {parsed} END"""
 
 
 def parse(column: str) -> Column:
@@ -125,7 +136,7 @@ def parse(column: str) -> Column:
 
 
 def is_midnight(ts: Column) -> Column:
-    return ts == F.date_trunc("day", ts).cast("timestamp_ntz")
+    return ts == ts.cast("date").cast("timestamp_ntz")
 
 
 def format_bit(label: Column) -> Column:

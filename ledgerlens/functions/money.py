@@ -22,6 +22,9 @@ _FINER = r"r'\.[0-9]{10,}[1-9]'"
 # Numbers that stand as they are normalized, and what no number has: letters but those of PHP, marks of dates, a sign behind a digit.
 _NORMAL = r"r'\A-?(?:0|[1-9][0-9]*+)(?:\.[0-9]{1,10})?\z'"
 _NEVER = r"r'[A-GI-OQ-Za-gi-oq-z/:_]|[0-9]-'"
+# The same numbers behind a symbol, and in parentheses.
+_MARKED = r"r'\A(?:[$€£₱]|(?i:PHP)) ?(?:0|[1-9][0-9]*+)(?:\.[0-9]{1,10})?\z'"
+_ENCLOSED = r"r'\A\((?:0|[1-9][0-9]*+)(?:\.[0-9]{1,10})?\)\z'"
 
 
 def parse_sql(column: str, money: str = "true") -> str:
@@ -42,8 +45,16 @@ def parse_sql(column: str, money: str = "true") -> str:
     parsed = f"if(_digits rlike {_NUMBER}, {let_sql('_text', text, number)}, {nothing})"
     parsed = let_sql("_whole", strip_sql(column), let_sql("_digits", digits, parsed))
     # Lambdas are interpreted, so the common texts are told by one pattern each.
-    normal = f"named_struct('valid', true, 'value', try_cast({column} AS {VALUE_TYPE}), 'text', {column})"
-    return f"CASE WHEN {column} rlike {_NORMAL} THEN {normal} WHEN {column} rlike {_NEVER} THEN {nothing} ELSE {parsed} END"
+    def known(text: str) -> str:
+        return f"named_struct('valid', true, 'value', try_cast({text} AS {VALUE_TYPE}), 'text', {text})"
+
+    marked = known(f"trim(LEADING '$€£₱PHphp ' FROM {column})")
+    enclosed = known(f"concat(if({column} rlike '[1-9]', '-', ''), substring({column}, 2, char_length({column}) - 2))")
+    return f"""CASE WHEN {column} IS NULL OR {column} = '' THEN {nothing}
+        WHEN {column} rlike {_NORMAL} THEN {known(column)}
+        WHEN {column} rlike {_ENCLOSED} THEN {enclosed}
+        WHEN {money} AND {column} rlike {_MARKED} THEN {marked}
+        WHEN {column} rlike {_NEVER} THEN {nothing} ELSE {parsed} END"""
 
 
 def parse(column: str, money: str = "true") -> Column:

@@ -124,23 +124,20 @@ def _spread() -> Callable[..., Column]:
     def spread(
         n: pd.Series, s_whole: pd.Series, s_fraction: pd.Series, q_whole: pd.Series, q_cross: pd.Series, q_fraction: pd.Series
     ) -> pd.Series:
-        from decimal import ROUND_HALF_UP, Context, Decimal
+        import math
+        from decimal import Context, Decimal
 
         wide = Context(prec=200)
-        unit = Decimal(10) ** 10
+        unit = 10**10
 
         def one(parts: tuple) -> Decimal | None:
             if any(p is None for p in parts) or not parts[0]:
                 return None
-            count, sw, sf, qw, qc, qf = (Decimal(int(p)) for p in parts)
-            total = wide.add(wide.multiply(sw, unit), sf)
-            squares = wide.multiply(wide.multiply(qw, unit), unit)
-            squares = wide.add(wide.add(squares, wide.multiply(wide.add(qc, qc), unit)), qf)
-            variance = wide.divide(
-                wide.subtract(wide.multiply(count, squares), wide.multiply(total, total)),
-                wide.multiply(wide.multiply(count, count), wide.multiply(unit, unit)),
-            )
-            return wide.sqrt(variance).quantize(Decimal("0.000001"), ROUND_HALF_UP, wide)
+            count, sw, sf, qw, qc, qf = map(int, parts)
+            total, squares = sw * unit + sf, (qw * unit + 2 * qc) * unit + qf
+            # twice the deviation in millionths, cut off, so that a half is seen exactly
+            twice = math.isqrt(4 * 10**12 * (count * squares - total * total) // (count * unit) ** 2)
+            return Decimal((twice + 1) // 2).scaleb(-6, wide)
 
         return pd.Series([one(p) for p in zip(n, s_whole, s_fraction, q_whole, q_cross, q_fraction)], dtype=object)
 

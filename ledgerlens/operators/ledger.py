@@ -35,8 +35,10 @@ def movements(ledger: DataFrame) -> DataFrame:
     """Adds parsed ``*_number`` structs, the ``movement`` of a row and its ``movement_text`` scale.
 
     Amounts are movements if the file has an amount column, whether they parse or not; otherwise credit less
-    debit, a blank side counting as zero. NULL marks a row without a usable movement.
+    debit, a blank side counting as zero. NULL marks a row without a usable movement. A ledger that has its movements stays as it is.
     """
+    if "movement" in ledger.columns:
+        return ledger
     numbers = ledger.withColumns({f"{c}_number": money.parse(c) for c in MONEY})
 
     def side(c: str) -> Column:
@@ -62,10 +64,11 @@ def movements(ledger: DataFrame) -> DataFrame:
 def control_totals(ledger: DataFrame) -> DataFrame:
     """file_id, monetary_total, debit_total, credit_total; NULL where nothing parses, or the total does not fit.
 
-    Files with numbers that no DECIMAL holds take their totals from limbs.
+    Files with numbers that no DECIMAL holds take their totals from limbs. ``ledger`` may be parsed already (``movements``).
     """
+    known = "movement" in ledger.columns
     sums = {"monetary_total": "amount", "debit_total": "debit", "credit_total": "credit"}
-    parsed = ledger.select("file_id", *[money.parse(c).alias(c) for c in sums.values()])
+    parsed = ledger.select("file_id", *[(F.col(f"{c}_number") if known else money.parse(c)).alias(c) for c in sums.values()])
     too_large = [F.coalesce(F.col(f"{c}.valid") & F.col(f"{c}.value").isNull(), F.lit(False)) for c in sums.values()]
     totals = [F.sum(f"{c}.value").try_cast(RESULT_TYPE).alias(name) for name, c in sums.items()]
     held = parsed.groupBy("file_id").agg(*totals, F.max(too_large[0] | too_large[1] | too_large[2]).alias("long"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ledgerlens.config import ProfilingConfig
 from ledgerlens.functions import dates, money
-from ledgerlens.functions.text import issue_fingerprint, let_sql
+from ledgerlens.functions.text import issue_fingerprint
 from ledgerlens.operators.columns import NULL_SHARE
 from ledgerlens.operators.concepts import MONEY, NOT_NULL
 from ledgerlens.operators.ordered import block_of
@@ -124,7 +124,7 @@ def shape_rules(records: DataFrame) -> DataFrame:
     """Blank records and records wider or narrower than the header; ``records`` as written, header included."""
     sized = dict(row="record_no", observed="size(fields)", expected="size(names)")
     return _emit(
-        records.filter(f"record_no > 1 AND {_USABLE}"),
+        records.filter(f"record_no > 1 AND (row_no IS NULL OR size(fields) <> size(names)) AND {_USABLE}"),
         _case(
             ("row_no IS NULL", _finding("completely_empty_row", row="record_no")),
             ("size(fields) > size(names)", _finding("row_too_many_fields", **sized)),
@@ -152,16 +152,20 @@ def cell_rules(cells: DataFrame) -> DataFrame:
         ("_day.ambiguous", _finding("ambiguous_date", **observed)),
         ("_day.value IS NULL", _finding("invalid_date_value", **observed)),
     )
+    # Findings are made by interpreted code, so what most cells pass is told before, and only the others go on.
+    told = cells.filter("concept IS NOT NULL").withColumns(
+        {
+            "_money": F.expr(f"CASE WHEN concept IN {MONEY} THEN {money.parse_sql('value')}.valid END"),
+            "_day": F.expr(f"CASE WHEN concept = 'transaction_date' THEN {dates.parse_sql('value')} END"),
+        }
+    )
     return _emit(
-        cells.filter("concept IS NOT NULL"),
+        told.filter("value = '' OR NOT _money OR (concept = 'transaction_date' AND (_day.ambiguous OR _day.value IS NULL))"),
         _case(
             (f"value = '' AND concept IN {NOT_NULL}", _finding("unexpected_null_value", **where)),
             ("value = '' AND concept = 'identifier'", _finding("missing_transaction_identifier", **where)),
-            (
-                f"concept IN {MONEY} AND NOT {money.parse_sql('value')}.valid",
-                _finding("invalid_monetary_value", **observed),
-            ),
-            ("concept = 'transaction_date'", let_sql("_day", dates.parse_sql("value"), day)),
+            ("NOT _money", _finding("invalid_monetary_value", **observed)),
+            ("concept = 'transaction_date'", day),
         ),
     )
 
@@ -210,7 +214,7 @@ def numeric_rules(
             "left_semi",
         )
     other = _finding("invalid_numeric_value", column="name", row="row_no", observed="value")
-    return _emit(found, _case((f"NOT {money.parse_sql('value', 'false')}.valid", other)))
+    return _emit(found.filter(f"NOT {money.parse_sql('value', 'false')}.valid"), other)
 
 
 def column_rules(columns: DataFrame, config: ProfilingConfig = ProfilingConfig()) -> DataFrame:
@@ -238,7 +242,7 @@ def balance_rules(running: DataFrame) -> DataFrame:
     """``running`` as from ``running_balance``."""
     where = dict(column="balance_name", row="row_no", observed="reported_text")
     return _emit(
-        running,
+        running.filter("NOT matches OR negative"),
         _case(("NOT matches", _finding("invalid_running_balance", **where, expected="expected_text"))),
         _case(("negative", _finding("unexpected_negative_balance", **where))),
     )

@@ -67,7 +67,8 @@ def _profile(
     )
     few_columns = rules.mostly_numeric(columns).limit(BROADCAST_COLUMNS + 1).count() <= BROADCAST_COLUMNS
     file_counts = materialize(rollup.file_counts(raw, rows), "file-counts")
-    ledger = ledger_ops.ledger_view(rows)
+    # block totals, balances and control totals all read the parsed amounts
+    ledger = materialize(ledger_ops.movements(ledger_ops.ledger_view(rows)), "movements")
     followed = materialize(ledger_ops.followed(ledger, config), "followed")
     summary = materialize(ledger_ops.summary_of(followed), "balances")
     findings = rules.all_issues(

@@ -159,3 +159,14 @@ def test_common_texts_are_parsed_as_by_the_general_way(spark):
     assert [r.v for r in df.filter("NOT (a <=> b) OR NOT (c <=> d)").collect()] == []
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     assert "RLIKE(v" in plan
+
+
+def test_marked_amounts_and_slash_dates_are_told_by_patterns(spark):
+    """Symbols, parentheses, slash dates and nothing take no interpreted way either, and mean what they mean there."""
+    texts = ["$1.50", "€ 0.5", "php0", "PHP 12.00", "₱007", "$ 1,000.5", "$-1", "$(1)", "(1.50)", "(0.00)", "(-1)", "($1)", "(01)", "()", "(1", "$", "$" + "9" * 30, "(0." + "1" * 10 + ")", "(0." + "1" * 11 + ")",
+             "13/2/2024", "02/13/2024", "2/13/2024", "12/12/2024", "0/13/2024", "13/0/2024", "13/13/2024", "31/02/2024", "29/02/2024", "13/02/0000", "1/2/0000", "13/2/2024 ", "1/13/2024 1:2:3", "/", "", None]
+    df = spark.createDataFrame([(t, None if t is None else f" {t} ") for t in texts], "v STRING, w STRING")
+    df = df.select("v", *[f(c).alias(f"{n}_{c}") for n, f in (("a", money.parse), ("b", lambda c: money.parse(c, "false")), ("c", dates.parse)) for c in "vw"])
+    assert [r.v for r in df.filter("NOT (a_v <=> a_w) OR NOT (b_v <=> b_w) OR NOT (c_v <=> c_w)").collect()] == []
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "substring_index(v" in plan and "isnull(v" in plan
