@@ -62,7 +62,7 @@ def test_files_are_moved_by_the_tasks_that_write_them(spark, monkeypatch, tmp_pa
     writer = type(spark.range(1).write)
     made = writer.option
     monkeypatch.setattr(writer, "option", lambda self, key, value: options.append((key, value)) or made(self, key, value))
-    rows = spark.createDataFrame([(b"a,b\n1,2\n",), (b"c\n",)], "content binary")
+    rows = spark.createDataFrame([(b"a,b\n1,2\n",), (b"c\n",)], "content binary").coalesce(1)
     entry_queries.more_inputs.write_files(rows, str(tmp_path / "files"))
     assert ("mapreduce.fileoutputcommitter.algorithm.version", 2) in options
     assert sorted(p.read_text() for p in (tmp_path / "files").glob("part-*")) == ["a,b\n1,2\n", "c\n"]
