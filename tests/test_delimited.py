@@ -164,3 +164,19 @@ def test_only_listed_files_are_opened(spark, tmp_path):
     listed = spark.createDataFrame([(f"file:{tmp_path}/f.csv", hashlib.sha256(b"a,b\n").hexdigest(), 4)], "path string, file_id string, length bigint")
     assert K.read_lines(spark, [listed.first().path]).select(F.input_file_name()).distinct().count() == 1
     assert K.parse_folder(spark, f"file:{tmp_path}", listed).records.count() == 1
+
+
+def test_texts_are_made_once(spark):
+    """Pieces and facts of files come from the same texts; to make these again for each would double the work."""
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            made.add(len(batch))
+            yield batch
+
+    files = spark.createDataFrame([(str(i), 8, bytearray(b"a,b\n1,%d\n" % (i % 10))) for i in range(40)], SCHEMA)
+    files = K.with_encoding(files).mapInPandas(counted, "file_id string, length bigint, content binary, encoding string, text string")
+    parsed = K.parse_files(files)
+    assert parsed.files.count() == 40 and parsed.records.count() == 80
+    assert made.value == 40
