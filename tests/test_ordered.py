@@ -119,3 +119,15 @@ def test_limit_rows_keeps_blank_records_up_to_the_last_row(spark):
     kept = lambda n: sorted((r.file_id, r.record_no) for r in shaping.limit_rows(records, n).collect())
     assert kept(2) == [("f", 1), ("f", 2), ("f", 3), ("f", 4), ("g", 1), ("g", 2)]
     assert len(kept(3)) == len(kept(9)) == 8
+
+
+def test_materialized_rows_are_packed(spark):
+    """What is written to the shared folder takes a good deal less than the default of the session."""
+    import glob
+
+    from ledgerlens.durable import materialize
+
+    rows = spark.range(20_000).selectExpr("id", "concat('T', id * 7919 % 20011) AS value", "cast(id * 37 % 90001 / 100 AS string) AS amount")
+    found = materialize(rows, "packed")
+    assert found.count() == 20_000 and found.subtract(rows).isEmpty()
+    assert glob.glob(found.inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0] + "/*.zstd.parquet")
