@@ -8,20 +8,20 @@ one-deletion neighbourhood is chosen per set by cost: small subsets are common,
 
 Only keys that occur twice survive the first aggregation. Copies collapse before pairs are formed, and buckets are
 contracted around their most central member, so a group of copies costs its rows, not its pairs. Pairs are listed only
-between parts that are still apart, and only of sets that can be partners: shingles that no other candidate holds
+between parts that are still apart, and only of sets that can be partners: in large buckets, shingles that no other candidate holds
 bound from above what a set shares with any of them, and the bits in which two sketches differ, one bit for the parity
-of each of many buckets of shingles, bound from below in how many shingles two sets differ. Every candidate is verified on both
-whole texts.
+of each of many buckets of shingles, bound from below in how many shingles two sets differ. Every candidate that sketches leave is
+verified on both whole texts, and only then are texts shuffled.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import partial
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ledgerlens.durable import materialize
 from ledgerlens.llm.components import components
@@ -42,6 +42,10 @@ COMMON, RARER = 1e5, 0.25
 
 #: 64-bit words of a sketch.
 SKETCH_WORDS = 16
+#: Words of the sketch that goes with every row of a bucket.
+FOLDED_WORDS = 4
+#: In buckets of more rows, shingles that nobody else holds leave out sets before pairs are compared; in others that costs more than it saves.
+CROWD = 1024
 
 _CONTENT = seeds(1, 21)[0]
 
@@ -236,15 +240,32 @@ def similar_sets(
     named = texts.where("id IS NOT NULL")
     keys = named.mapInArrow(partial(_rows, size=size, percent=percent, narrow=True), "key bigint, weight bigint")
     shared = keys.groupBy("key").agg(F.sum("weight").alias("w")).where("w % 4294967296 > 1 AND w >= 4294967296")
+    # written, so that the shuffle of all keys is gone before that of all rows begins; joined in one way at any size
+    shared = materialize(shared.select("key"), "shared")
     rows = named.mapInArrow(partial(_rows, size=size, percent=percent, narrow=False), "key bigint, id bigint, info bigint")
-    rows = rows.join(shared.select("key"), "key").join(members, "id")
+    rows = rows.join(shared.hint("merge"), "key").join(members, "id")
     rows = materialize(rows.select("key", F.col("rep").alias("id"), "info").distinct(), "keys")
 
     verified = partial(_verify, size=size, percent=percent)
     texts_of = materialize(by_ids(named, rows.select("id"), "left_semi"), "texts")
 
+    bits = [f"bits_{w}" for w in range(SKETCH_WORDS)]
+    kinds = ", ".join(f"{b} bigint" for b in bits)
+    sketches = materialize(texts_of.mapInArrow(partial(_sketches, size=size), f"id bigint, n bigint, {kinds}").distinct(), "sketches")
+
+    def few_differ(one: list[Column], two: list[Column], both: Column) -> Column:
+        """Whether sets of ``both`` shingles together can be similar enough, by bits of their sketches."""
+        differ = sum((F.bit_count(x.bitwiseXOR(y)) for x, y in zip(one, two, strict=True)), F.lit(0))
+        return differ * (100 + percent) <= both * (100 - percent)
+
     def links(pairs: DataFrame) -> DataFrame:
-        left, right = (texts_of.select(F.col("id").alias(x), F.col("text").alias(f"text_{x}")) for x in "ab")
+        # sketches are a tenth of the texts or less, and few pairs are left by them
+        left, right = (sketches.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), *[F.col(b).alias(f"{b}_{x}") for b in bits]) for x in "ab")
+        alike = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent
+        alike &= few_differ([F.col(f"{b}_a") for b in bits], [F.col(f"{b}_b") for b in bits], F.col("n_a") + F.col("n_b"))
+        pairs = materialize(pairs.join(left, "a").join(right, "b").where(alike).select("a", "b").distinct(), "alike")
+        wanted = by_ids(texts_of, pairs.select(F.explode(F.array("a", "b")).alias("id")), "left_semi")
+        left, right = (wanted.select(F.col("id").alias(x), F.col("text").alias(f"text_{x}")) for x in "ab")
         both = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
         return materialize(both.mapInArrow(verified, "a bigint, b bigint"), "links")
 
@@ -260,26 +281,27 @@ def similar_sets(
     parts = components(found).withColumnRenamed("node", "id")
     rows = rows.join(parts, "id", "left").select("key", "id", "info", F.coalesce("component", "id").alias("part"))
     counts = rows.groupBy("key", "part").agg(F.count("*").alias("n"))
-    split = counts.groupBy("key").agg(F.max_by("part", "n").alias("main"), F.count("*").alias("parts")).where("parts > 1")
-    rows = materialize(rows.join(split.select("key", "main"), "key"), "parts")
+    split = counts.groupBy("key").agg(F.max_by("part", "n").alias("main"), F.count("*").alias("parts"), F.sum("n").alias("n"))
+    split = split.where("parts > 1").select("key", "main", (F.col("n") > CROWD).alias("crowded"))
+    rows = materialize(rows.join(split, "key"), "parts")
     n = F.expr("info DIV 32")
-    shingles = by_ids(texts_of, rows.select("id"), "left_semi").mapInArrow(partial(_shingles, size=size), "id bigint, shingle bigint")
+    # partners in a crowded bucket are both among these
+    shingles = by_ids(texts_of, rows.where("crowded").select("id"), "left_semi").mapInArrow(partial(_shingles, size=size), "id bigint, shingle bigint")
     private = shingles.groupBy("shingle").agg(F.count("*").alias("n"), F.min("id").alias("id")).where("n = 1")
     private = private.groupBy("id").agg(F.count("*").alias("private"))
     # of an id with several texts it is not known whose they are
     several_texts = texts_of.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id")
     private = by_ids(private, several_texts, "left_anti")
-    rows = rows.join(private, "id", "left").withColumn("most", n - F.coalesce("private", F.lit(0)))
+    rows = rows.join(private, "id", "left").withColumn("most", n - F.when(F.col("crowded"), F.coalesce("private", F.lit(0))).otherwise(0))
     rows = rows.where(F.col("most") * 100 >= n * percent).select("key", "id", "info", "part", "main", n.alias("n"), "most")
     rows = materialize(rows, "open")
-    bits = [f"bits_{w}" for w in range(SKETCH_WORDS)]
-    kinds = ", ".join(f"{b} bigint" for b in bits)
-    sketches = by_ids(texts_of, rows.select("id"), "left_semi").mapInArrow(partial(_sketches, size=size), f"id bigint, n bigint, {kinds}")
-    rows = materialize(rows.join(sketches, ["id", "n"]), "sketched")
+    # a sketch folded upon itself is one of fewer bits; the whole ones are compared pair by pair
+    folded = [reduce(Column.bitwiseXOR, [F.col(b) for b in bits[k::FOLDED_WORDS]]).alias(f"fold_{k}") for k in range(FOLDED_WORDS)]
+    folds = [f"fold_{k}" for k in range(FOLDED_WORDS)]
+    rows = materialize(rows.join(sketches.select("id", "n", *folded).distinct(), ["id", "n"]), "sketched")
     one = rows.where("part <> main")
-    two = rows.select("key", *[F.col(c).alias(f"other_{c}") for c in ("id", "info", "part", "n", "most", *bits)])
+    two = rows.select("key", *[F.col(c).alias(f"other_{c}") for c in ("id", "info", "part", "n", "most", *folds)])
     both, common = F.col("n") + F.col("other_n"), F.least("most", "other_most")
-    differ = sum((F.bit_count(F.col(b).bitwiseXOR(F.col(f"other_{b}"))) for b in bits), F.lit(0))
     roles = [(PROBE, INDEX), (PROBE_NEAR, INDEX_DELETED), (PROBE_DELETED, INDEX)]
     meets = F.lit(False)
     for probe, index in roles:
@@ -290,7 +312,7 @@ def similar_sets(
         & ((F.col("other_part") == F.col("main")) | (F.col("id") < F.col("other_id")))
         & (common * 100 >= (both - common) * percent)
         & meets
-        & (differ * (100 + percent) <= both * (100 - percent))
+        & few_differ([F.col(f) for f in folds], [F.col(f"other_{f}") for f in folds], both)
     )
     pairs = pairs.select(F.least("id", "other_id").alias("a"), F.greatest("id", "other_id").alias("b")).distinct()
     found = found.unionByName(links(pairs.join(tried, ["a", "b"], "left_anti")))

@@ -5,6 +5,7 @@ import re
 
 import pytest
 
+from ledgerlens.llm import ngram_join
 from ledgerlens.llm.ngram_join import similar_sets
 
 
@@ -107,3 +108,39 @@ def test_two_long_texts_under_one_id(documents):
     for r in similar_sets(documents(rows), size=1).collect():
         got.setdefault(r.doc_id, set()).add(r.component_id)
     assert got == {i: {c} for i, (_, c) in brute_force(texts, size=1).items()}
+
+
+def _written(monkeypatch):
+    """Rows of what similar_sets writes, by name."""
+    kept, write = {}, ngram_join.materialize
+    monkeypatch.setattr(ngram_join, "materialize", lambda df, name: kept.setdefault(name, []).append(out := write(df, name)) or out)
+    return kept
+
+
+def _lines_in_common(chance, count=60):
+    """Texts with a common line and a near copy of each of some; the line is too little to link them."""
+    line = [f"line{k}" for k in range(8)]
+    texts = []
+    for i in range(count):
+        own = [f"t{i}x{k}" for k in range(chance.randint(12, 40))]
+        texts.append(" ".join([*line, *own]))
+        if i % 5 == 0:
+            texts.append(" ".join([*line, *own, f"end{i}"]))
+    return texts
+
+
+def test_texts_are_shuffled_only_for_pairs_that_sketches_leave(documents, monkeypatch):
+    kept = _written(monkeypatch)
+    texts = _lines_in_common(random.Random(11))
+    got = result(similar_sets(documents(texts), size=1, percent=80))
+    assert got == brute_force(dict(enumerate(texts)), 1, 80)
+    linked = len(texts) - len({c for _, c in got.values()})
+    alike = sum(df.count() for df in kept["alike"])
+    assert linked <= alike <= 2 * linked < kept["pairs"][0].count()
+
+
+@pytest.mark.parametrize("crowd", [0, 1, 1024])
+def test_links_do_not_depend_on_what_counts_as_crowded(documents, monkeypatch, crowd):
+    monkeypatch.setattr(ngram_join, "CROWD", crowd)
+    texts = _lines_in_common(random.Random(12), 30)
+    assert result(similar_sets(documents(texts), size=1, percent=80)) == brute_force(dict(enumerate(texts)), 1, 80)

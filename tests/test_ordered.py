@@ -131,3 +131,21 @@ def test_materialized_rows_are_packed(spark):
     found = materialize(rows, "packed")
     assert found.count() == 20_000 and found.subtract(rows).isEmpty()
     assert glob.glob(found.inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0] + "/*.zstd.parquet")
+
+
+def test_materializing_leaves_no_shuffle_files(spark):
+    """They go at the end of the write, not at some collection of garbage, and the session's setting is as before."""
+    import time
+
+    from ledgerlens.durable import CLEANUP, materialize
+
+    blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: {name for f in blocks.getAllFiles().mkString("|").split("|") if (name := f.rpartition("/")[2]).startswith("shuffle_")}
+    before = files()
+    found = materialize(spark.range(1000).groupBy((F.col("id") % 77).alias("k")).count(), "counted")
+    for _ in range(50):
+        if not files() - before:
+            break
+        time.sleep(0.1)
+    assert not files() - before
+    assert found.count() == 77 and spark.conf.get(CLEANUP, "false") == "false"
