@@ -21,6 +21,7 @@ from ledgerlens.sources.catalog import Catalog
 from ledgerlens.sources.corpus import (
     EMPTY_FILE,
     extract_headers,
+    in_few_tasks,
     parse_files,
     parse_folder,
     parsed_files,
@@ -290,7 +291,7 @@ def profile_registered(
         registered = unprofiled(registered, catalog.read("source_file_profiles"), config.version)
     wanted = materialize(registered.select(F.col("source_file_id").alias("file_id")), "wanted")
     # Files are known by their checksum; of equal copies one is profiled.
-    hashes = read_corpus(catalog.spark, directory).select("path", "length", F.sha2("content", 256).alias("file_id"))
+    hashes = in_few_tasks(read_corpus(catalog.spark, directory)).select("path", "length", F.sha2("content", 256).alias("file_id"))
     found = materialize(hashes.groupBy("file_id", "length").agg(F.min("path").alias("path")), "found")
     chosen = materialize(found.join(wanted, "file_id", "left_semi"), "chosen")
     empty = wanted.filter(F.col("file_id") == EMPTY_FILE).select(

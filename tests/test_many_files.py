@@ -39,10 +39,25 @@ def test_a_batch_is_read_by_few_tasks(spark, tmp_path):
     """Spark alone makes a part for 32 files; here there are no more than so many for each core."""
     folder, parts = tmp_path / "landing", []
     folder.mkdir()
-    for n in range(40 * intake.TASKS_A_CORE * spark.sparkContext.defaultParallelism):
+    for n in range(40 * K.TASKS_A_CORE * spark.sparkContext.defaultParallelism):
         (folder / f"{n}.txt").write_text(f"{n}\n")
     stream = intake.landing_stream(spark, str(folder))
     stream.writeStream.foreachBatch(lambda rows, _: parts.append((rows.rdd.getNumPartitions(), rows.count()))).option(
         "checkpointLocation", str(tmp_path / "checkpoint")
     ).trigger(availableNow=True).start().awaitTermination()
-    assert parts == [(intake.TASKS_A_CORE * spark.sparkContext.defaultParallelism, len(list(folder.iterdir())))]
+    assert parts == [(K.TASKS_A_CORE * spark.sparkContext.defaultParallelism, len(list(folder.iterdir())))]
+
+
+def test_files_of_a_folder_are_parsed_by_few_tasks(spark, tmp_path, monkeypatch):
+    """Ranges of long files still get tasks of their own."""
+    (tmp_path / "a.csv").write_text("x,y\n1,2\n")
+    listed = spark.createDataFrame([(f"file:{tmp_path}/a.csv", "a", 8)], "path STRING, file_id STRING, length BIGINT")
+    most, made = [], K.read_pieces
+    monkeypatch.setattr(K, "read_lines", lambda spark, paths: spark.range(9_000, numPartitions=900).selectExpr(
+        f"'file:{tmp_path}/a.csv' AS file_id", "0L AS block", "'1,2' AS line", "true AS valid"))
+    monkeypatch.setattr(K, "read_pieces", lambda lines: most.append(lines.rdd.getNumPartitions()) or made(lines))
+    cores = spark.sparkContext.defaultParallelism
+    for task_bytes, expected in ((K.TASK_BYTES, K.TASKS_A_CORE * cores), (0.05, 160)):
+        monkeypatch.setattr(K, "TASK_BYTES", task_bytes)
+        assert K.parse_folder(spark, str(tmp_path), listed).records.count() == 9_000
+        assert most.pop() == expected
