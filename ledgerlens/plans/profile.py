@@ -290,9 +290,13 @@ def profile_registered(
     if only_unprofiled:
         registered = unprofiled(registered, catalog.read("source_file_profiles"), config.version)
     wanted = materialize(registered.select(F.col("source_file_id").alias("file_id")), "wanted")
-    # Files are known by their checksum; of equal copies one is profiled.
-    hashes = in_few_tasks(read_corpus(catalog.spark, directory)).select("path", "length", F.sha2("content", 256).alias("file_id"))
-    found = materialize(hashes.groupBy("file_id", "length").agg(F.min("path").alias("path")), "found")
+    # Files are known by their checksum; of equal copies one is profiled. No name is kept for the table: it holds the whole listing.
+    found = materialize(
+        in_few_tasks(read_corpus(catalog.spark, directory))
+        .groupBy(F.sha2("content", 256).alias("file_id"), "length")
+        .agg(F.min("path").alias("path")),
+        "found",
+    )
     chosen = materialize(found.join(wanted, "file_id", "left_semi"), "chosen")
     empty = wanted.filter(F.col("file_id") == EMPTY_FILE).select(
         F.lit(None).cast("string").alias("path"), "file_id", F.lit(0).cast("bigint").alias("length")

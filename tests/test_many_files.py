@@ -1,5 +1,8 @@
 """Folders of very many short files: what a file costs beside its bytes."""
 
+import gc
+import weakref
+
 import entry_queries.more_inputs as M
 from ledgerlens.sources import corpus as K
 from ledgerlens.streaming import intake
@@ -61,3 +64,25 @@ def test_files_of_a_folder_are_parsed_by_few_tasks(spark, tmp_path, monkeypatch)
         monkeypatch.setattr(K, "TASK_BYTES", task_bytes)
         assert K.parse_folder(spark, str(tmp_path), listed).records.count() == 9_000
         assert most.pop() == expected
+
+
+def test_the_listing_of_a_folder_is_let_go(spark, tmp_path, monkeypatch):
+    """What reads the folder holds a row a file on the driver; nothing names it once the lines are written."""
+    (tmp_path / "a.csv").write_text("x,y\n1,2\n")
+    listed = spark.createDataFrame([(f"file:{tmp_path}/a.csv", "a", 8)], "path STRING, file_id STRING, length BIGINT")
+    made, alive, read, parse = [], [], K.read_lines, K.parse_pieces
+
+    def reading(*given):
+        lines = read(*given)
+        made.append(weakref.ref(lines))
+        return lines
+
+    def parsing(*given):
+        gc.collect()
+        alive.append(made[0]() is not None)
+        return parse(*given)
+
+    monkeypatch.setattr(K, "read_lines", reading)
+    monkeypatch.setattr(K, "parse_pieces", parsing)
+    assert K.parse_folder(spark, str(tmp_path), listed).records.count() == 2
+    assert alive == [False]
