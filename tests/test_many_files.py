@@ -57,10 +57,10 @@ def test_files_of_a_folder_are_parsed_by_few_tasks(spark, tmp_path, monkeypatch)
     listed = spark.createDataFrame([(f"file:{tmp_path}/a.csv", "a", 8)], "path STRING, file_id STRING, length BIGINT")
     most, made = [], K.read_pieces
     monkeypatch.setattr(K, "read_lines", lambda spark, paths: spark.range(9_000, numPartitions=900).selectExpr(
-        f"'file:{tmp_path}/a.csv' AS file_id", "0L AS block", "'1,2' AS line", "true AS valid"))
+        f"'file:{tmp_path}/a.csv' AS file_id", "id DIV 10 AS block", "'1,2' AS line", "true AS valid"))
     monkeypatch.setattr(K, "read_pieces", lambda lines: most.append(lines.rdd.getNumPartitions()) or made(lines))
     cores = spark.sparkContext.defaultParallelism
-    for task_bytes, expected in ((K.TASK_BYTES, K.TASKS_A_CORE * cores), (0.05, 160)):
+    for task_bytes, expected in ((K.TASK_BYTES, K.TASKS_A_CORE * cores), (0.0625, 128)):
         monkeypatch.setattr(K, "TASK_BYTES", task_bytes)
         assert K.parse_folder(spark, str(tmp_path), listed).records.count() == 9_000
         assert most.pop() == expected
